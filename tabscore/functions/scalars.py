@@ -60,7 +60,12 @@ def ratio_or(num: Column, den: Column, default: float = 0.0) -> Column:
 
 
 def round_half_even(c: Column, digits: int) -> Column:
-    return F.bround(c, digits)
+    """Round halves to even on the binary value, as array libraries do.
+
+    ``bround`` works on the shortest decimal text instead and rounds 9/60000 up.
+    """
+    scale = float(10**digits)
+    return F.rint(c * scale) / scale
 
 
 def join_text(*cols: Column, sep: str = " ") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.functions.scalars import at_most
+from tabscore.functions.scalars import at_most, round_half_even
 from tabscore.operators.metrics import sq_error
 
 
@@ -23,7 +23,7 @@ def gap_columns(
     both = va.isNotNull() & vb.isNotNull()
 
     def shown(c: Column) -> Column:
-        return F.when(both, c if digits is None else F.bround(c, digits))
+        return F.when(both, c if digits is None else round_half_even(c, digits))
 
     return [shown(va).alias(names[0]), shown(vb).alias(names[1]), shown(F.abs(va - vb)).alias("disparity")]
 

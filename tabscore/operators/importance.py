@@ -6,7 +6,7 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabscore.functions.scalars import feature_label
+from tabscore.functions.scalars import feature_label, round_half_even
 from tabscore.operators.reshape import to_matrix
 
 
@@ -33,7 +33,7 @@ def top_label(importance: DataFrame) -> DataFrame:
 
 def matrix(importance: DataFrame, features: list[str], digits: int = 6) -> DataFrame:
     """Model x feature, rounded."""
-    rounded = importance.withColumn("importance", F.bround("importance", digits))
+    rounded = importance.withColumn("importance", round_half_even(F.col("importance"), digits))
     return to_matrix(rounded, "model", "feature", "importance", features)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabscore.functions.scalars import round_half_even
 from tabscore.operators.clean import existing, numeric_columns, text_columns
 from tabscore.operators.reshape import stack, to_matrix
 
@@ -110,7 +111,7 @@ def missing_by_type(profile: DataFrame, digits: int | None = None) -> DataFrame:
     """Unweighted mean of the column rates inside each feature type, in percent."""
     def pct(t: str) -> Column:
         c = F.coalesce(F.avg(F.when(F.col("type") == t, null_share())) * 100, F.lit(0.0))
-        return (c if digits is None else F.bround(c, digits)).alias(f"pct_missing_{t}")
+        return (c if digits is None else round_half_even(c, digits)).alias(f"pct_missing_{t}")
 
     return profile.groupBy("dataset").agg(*[pct(t) for t in TYPES])
 
@@ -159,7 +160,7 @@ def dataset_summary(profile: DataFrame, tasks: dict[str, tuple[str, str]]) -> Da
     base = profile.groupBy("dataset").agg(
         F.max("rows").alias("rows"),
         F.count("*").alias("columns"),
-        F.bround(F.avg(null_share()) * 100, 2).alias("pct_missing"),
+        round_half_even(F.avg(null_share()) * 100, 2).alias("pct_missing"),
         *[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in counted],
         *[names(t).alias(f"{t}_columns") for t in counted],
     )
@@ -228,7 +229,7 @@ def distinct_ratio(datasets: dict[str, DataFrame], digits: int = 4) -> DataFrame
     """Distinct values / rows per column, rounded."""
     per = [distinct_counts(df, n) for n, df in datasets.items()]
     ratio = F.when(F.col("rows") > 0, F.col("distinct") / F.col("rows")).otherwise(F.lit(0.0))
-    return reduce(DataFrame.unionByName, per).withColumn("ratio", F.bround(ratio, digits))
+    return reduce(DataFrame.unionByName, per).withColumn("ratio", round_half_even(ratio, digits))
 
 
 def diversity_summary(ratios: DataFrame, digits: int = 4) -> DataFrame:
@@ -239,7 +240,7 @@ def diversity_summary(ratios: DataFrame, digits: int = 4) -> DataFrame:
     top = F.max(F.struct(F.col("ratio"), (-order).alias("o"), F.col("column")))
     low = F.min(F.struct(F.col("ratio"), order.alias("o"), F.col("column")))
     return ratios.groupBy("dataset").agg(
-        F.bround(F.avg("ratio"), digits).alias("avg_diversity"),
+        round_half_even(F.avg("ratio"), digits).alias("avg_diversity"),
         top["column"].alias("max_feature"),
         top["ratio"].alias("max_score"),
         low["column"].alias("min_feature"),

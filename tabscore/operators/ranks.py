@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscore.functions.scalars import hash32
-from tabscore.session import BROADCAST_ROWS, materialize
+from tabscore.session import fetch_small, local_table, materialize
 
 # Values that one task may sort to finish a selection.
 FINISH_ROWS = 200_000
@@ -115,12 +115,11 @@ def number_in_order(values: DataFrame, col: str, out: str = "code") -> DataFrame
     once (so that partitions stay as they are) and numbered by adding to each
     row the sizes of the partitions before its own.
     """
-    spark = values.sparkSession
-    rows = values.select(col).limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) <= BROADCAST_ROWS:
-        small = spark.createDataFrame(rows, values.select(col).schema)
+    small = fetch_small(values.select(col))
+    if small is not None:
         w = Window.orderBy(col)
-        return small.select(col, (F.row_number().over(w) - 1).cast("bigint").alias(out))
+        local = local_table(values.sparkSession, small)
+        return local.select(col, (F.row_number().over(w) - 1).cast("bigint").alias(out))
     return _number_by_partition(values.select(col), col, out)
 
 

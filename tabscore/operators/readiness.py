@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.functions.scalars import clip
+from tabscore.functions.scalars import clip, round_half_even
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ TREES_FIRST = Profile({"RandomForest": 4, "XGBoost": 4, "LightGBM": 4})
 
 
 def r2_part(r2: Column) -> Column:
-    return F.bround(clip(r2 * 5.0, 0.0, 5.0), 2)
+    return round_half_even(clip(r2 * 5.0, 0.0, 5.0), 2)
 
 
 def share_part(share: Column) -> Column:
@@ -42,7 +42,7 @@ def share_part(share: Column) -> Column:
 
 
 def rounded_share_part(share: Column) -> Column:
-    return F.bround(share * 5.0, 2)
+    return round_half_even(share * 5.0, 2)
 
 
 def readiness(metrics: DataFrame, accuracy_part: Column, profile: Profile, keys: list[str], model: str = "model") -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscore.functions.text import terms
-from tabscore.session import BROADCAST_ROWS
+from tabscore.session import BROADCAST_ROWS, local_table, spread
 
 MAX_FEATURES = 10_000
 
@@ -29,7 +30,7 @@ def term_totals(docs: DataFrame, text: str, stop_words: list[str] | None = None)
         F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), zero.alias("c"), one.alias("d"))),
     )
     return (
-        docs.select(all_terms.alias("t"))
+        spread(docs.select(text)).select(all_terms.alias("t"))
         .select(F.explode(entries).alias("e")).select("e.*")
         .groupBy("term").agg(F.sum("c").alias("total"), F.sum("d").alias("docs"))
     )
@@ -63,8 +64,8 @@ class Tfidf:
 
     def table(self, docs: DataFrame) -> DataFrame:
         """The vocabulary as a table ``term, idf`` (bounded by ``max_features``)."""
-        rows = list(zip(self.vocabulary, self.idf, strict=True))
-        return docs.sparkSession.createDataFrame(rows, "term string, idf double")
+        columns = {"term": pa.array(self.vocabulary, pa.string()), "idf": pa.array(self.idf, pa.float64())}
+        return local_table(docs.sparkSession, pa.table(columns))
 
     def weights(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """Long form ``key, term, weight``.

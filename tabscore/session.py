@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ def get_spark(app: str = "tabscore", cores: str = "*", partitions: int | None =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -62,9 +64,31 @@ def join_lookup(big: DataFrame, lookup: DataFrame, on: list[str] | str, max_rows
     The lookup is fetched once, up to ``max_rows + 1`` rows: if it fits it is
     broadcast, otherwise both sides are shuffled and AQE splits skewed keys.
     """
-    spark = big.sparkSession
-    rows = lookup.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        small = spark.createDataFrame(rows, lookup.schema)
-        return big.join(F.broadcast(small), on, "left")
-    return big.join(lookup, on, "left")
+    small = fetch_small(lookup, max_rows)
+    if small is None:
+        return big.join(lookup, on, "left")
+    return big.join(F.broadcast(local_table(big.sparkSession, small)), on, "left")
+
+
+def fetch_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> pa.Table | None:
+    """The rows of a table of at most ``max_rows`` rows, or None for a larger one."""
+    table = df.limit(max_rows + 1).toArrow()
+    return table if table.num_rows <= max_rows else None
+
+
+def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:
+    """A small table whose rows are part of the plan: no job and no Python worker reads it."""
+    return spark.createDataFrame(table)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a scan that has fewer partitions than the session has cores.
+
+    One small file is one task; heavy work per row would leave the other cores
+    idle. A large table already has many partitions and is left as it is. Call it
+    on a scan, before any shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
