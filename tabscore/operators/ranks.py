@@ -26,20 +26,21 @@ def exact_median(df: DataFrame, col: str, finish_rows: int = FINISH_ROWS) -> flo
     n = first["n"]
     if n == 0:
         return None
-    low = _value_at(x, (n - 1) // 2, n, first["q"], finish_rows)
+    low, high = _values_at(x, (n - 1) // 2, n, first["q"], finish_rows)
     if n % 2:
         return low
-    # The upper middle value is the same one, or the next larger.
-    nxt = x.agg(
-        F.count(F.when(F.col("x") <= low, 1)).alias("upto"),
-        F.min(F.when(F.col("x") > low, F.col("x"))).alias("next"),
-    ).first()
-    high = low if nxt["upto"] > n // 2 else nxt["next"]
+    if high is None:
+        # The upper middle value lies outside the last interval: the same value, or the next larger.
+        nxt = x.agg(
+            F.count(F.when(F.col("x") <= low, 1)).alias("upto"),
+            F.min(F.when(F.col("x") > low, F.col("x"))).alias("next"),
+        ).first()
+        high = low if nxt["upto"] > n // 2 else nxt["next"]
     return (low + high) / 2
 
 
-def _value_at(x: DataFrame, rank: int, n: int, cuts: list[float], finish_rows: int) -> float:
-    """Value with ``rank`` smaller-or-equal predecessors (zero-based) among ``n``."""
+def _values_at(x: DataFrame, rank: int, n: int, cuts: list[float], finish_rows: int) -> tuple[float, float | None]:
+    """Value at ``rank`` (zero-based) of ``n``, and the one after it if it is at hand."""
     inside, k, size = x, rank, n
     while size > finish_rows:
         a, b = cuts
@@ -54,9 +55,9 @@ def _value_at(x: DataFrame, rank: int, n: int, cuts: list[float], finish_rows: i
         upto_mid = upto_a + c["mid"]
         upto_b = upto_mid + (c["at_b"] if b > a else 0)
         if below <= k < upto_a:
-            return a
+            return a, None
         if upto_mid <= k < upto_b:
-            return b
+            return b, None
         if k < below:
             inside, size = inside.where(v < a), below
         elif k < upto_mid:
@@ -68,7 +69,8 @@ def _value_at(x: DataFrame, rank: int, n: int, cuts: list[float], finish_rows: i
             probes = [max(at - 1e-3, 0.0), min(at + 1e-3, 1.0)]
             cuts = inside.agg(F.percentile_approx("x", probes, 10_000).alias("q")).first()["q"]
     ordered = F.array_sort(F.collect_list("x"))
-    return inside.agg(F.element_at(ordered, k + 1).alias("v")).first()["v"]
+    found = inside.agg(F.slice(ordered, k + 1, 2).alias("v")).first()["v"]
+    return found[0], found[1] if len(found) > 1 else None
 
 
 def hash_prefix_cut(df: DataFrame, key: str, count: Column, salt: int | str) -> Column:

@@ -50,12 +50,13 @@ def shapley_exact(
     """
     m = _check(features)
     w = coalition_weights(m)
-    paired = df.select(key, *[F.col(f).cast("double").alias(f) for f in features], F.explode(bg).alias("b"))
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    paired = df.select(F.col(key).alias("__key"), x.alias("x"), F.explode(bg).alias("b"))
     values = {
-        s: formula([F.col(f) if s >> j & 1 else F.col("b")[j] for j, f in enumerate(features)])
+        s: formula([F.col("x" if s >> j & 1 else "b")[j] for j in range(m)])
         for s in range(1 << m)
     }
-    scored = paired.select(key, *[v.alias(f"v{s}") for s, v in values.items()])
+    scored = paired.select("__key", *[v.alias(f"v{s}") for s, v in values.items()])
 
     def gain(j: int) -> Column:
         out = F.lit(0.0)
@@ -64,7 +65,7 @@ def shapley_exact(
                 out = out + w[s.bit_count()] * (F.col(f"v{s | 1 << j}") - F.col(f"v{s}"))
         return out
 
-    phis = scored.groupBy(key).agg(*[F.avg(gain(j)).alias(f) for j, f in enumerate(features)])
+    phis = scored.groupBy(F.col("__key").alias(key)).agg(*[F.avg(gain(j)).alias(f) for j, f in enumerate(features)])
     return phis.unpivot([key], features, "feature", "phi")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscore.functions.text import terms
-from tabscore.session import BROADCAST_ROWS, local_table, spread
+from tabscore.session import BROADCAST_ROWS, local_table
 
 MAX_FEATURES = 10_000
 
@@ -30,7 +30,7 @@ def term_totals(docs: DataFrame, text: str, stop_words: list[str] | None = None)
         F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), zero.alias("c"), one.alias("d"))),
     )
     return (
-        spread(docs.select(text)).select(all_terms.alias("t"))
+        docs.select(all_terms.alias("t"))
         .select(F.explode(entries).alias("e")).select("e.*")
         .groupBy("term").agg(F.sum("c").alias("total"), F.sum("d").alias("docs"))
     )

@@ -13,6 +13,7 @@ from tabscore.operators.ranks import exact_median
 from tabscore.plans.q_tables import LINEITEM_GAPS_SQL, lineitem_with_gaps
 from tabscore.plans.registry import query
 from tabscore.plans.roles import FEATURES, PRIORITIES, SALES_SQL, sales, sales_features, sales_with_customer, sql_hash
+from tabscore.session import spread
 
 # A short list, so that the SQL check can state it too; the library default is longer.
 STOP = "the of and to in is it that for on with as at by an be this".split()
@@ -27,6 +28,11 @@ toks AS (SELECT doc_id, n_chars, list_filter({TOKENS_SQL}, lambda w: NOT list_co
 DOC_TRAIN = sql_hash("doc_id") + " % 10 < 8"
 
 
+def documents(t):
+    """Documents, on all cores even if their file is a single split."""
+    return spread(t.documents, "doc_id")
+
+
 @query("impute_mean", f"""
 WITH {LINEITEM_GAPS_SQL}
 SELECT l_orderkey, l_linenumber, round(coalesce(l_discount, (SELECT avg(l_discount) FROM li)), 8) AS l_discount FROM li""")
@@ -145,7 +151,7 @@ def dual_features(df, features, train="is_train"):
 @query("tokenize", f"""
 SELECT doc_id, len(w) AS n, array_to_string(w, ' ') AS tokens FROM (SELECT doc_id, {TOKENS_SQL} AS w FROM documents)""")
 def tokenize(t):
-    w = t.documents.select("doc_id", words(F.col("text")).alias("w"))
+    w = documents(t).select("doc_id", words(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").cast("bigint").alias("n"), F.array_join("w", " ").alias("tokens"))
 
 
@@ -154,14 +160,14 @@ SELECT doc_id, array_to_string(list_filter({TOKENS_SQL}, lambda w: NOT list_cont
 FROM documents""")
 def remove_stopwords(t):
     kept = drop_words(words(F.col("text")), STOP)
-    return t.documents.select("doc_id", F.array_join(kept, " ").alias("tokens"))
+    return documents(t).select("doc_id", F.array_join(kept, " ").alias("tokens"))
 
 
 @query("ngrams_1_2", f"""
 WITH {TERMS_SQL} SELECT doc_id, array_to_string(terms, '|') AS terms FROM termed""")
 def ngrams_1_2(t):
     grams = one_and_two_grams(drop_words(words(F.col("text")), STOP))
-    return t.documents.select("doc_id", F.array_join(grams, "|").alias("terms"))
+    return documents(t).select("doc_id", F.array_join(grams, "|").alias("terms"))
 
 
 def _vocab_sql(where: str = "", k: int = tfidf.MAX_FEATURES) -> str:
@@ -186,21 +192,22 @@ w AS (
 
 @query("vocab_topk", f"WITH {TERMS_SQL}, {_vocab_sql()} SELECT term, total, docs FROM vocab")
 def vocab_topk(t):
-    return tfidf.top_terms(tfidf.term_totals(t.documents, "text", STOP))
+    return tfidf.top_terms(tfidf.term_totals(documents(t), "text", STOP))
 
 
 @query("tfidf", f"""
 WITH {TERMS_SQL}, {_vocab_sql()}, {_weights_sql()} SELECT doc_id, term, round(weight, 8) AS weight FROM unit""")
 def tfidf_all(t):
-    model = tfidf.fit_tfidf(t.documents, "text", stop_words=STOP)
-    return model.weights(t.documents, "doc_id", "text").withColumn("weight", F.round("weight", 8))
+    docs = documents(t)
+    model = tfidf.fit_tfidf(docs, "text", stop_words=STOP)
+    return model.weights(docs, "doc_id", "text").withColumn("weight", F.round("weight", 8))
 
 
 @query("tfidf_train_apply", f"""
 WITH {TERMS_SQL}, {_vocab_sql(f'WHERE {DOC_TRAIN}')}, {_weights_sql(f'WHERE NOT ({DOC_TRAIN})')}
 SELECT doc_id, term, round(weight, 8) AS weight FROM unit""")
 def tfidf_train_apply(t):
-    docs = split.hash_split(t.documents, "doc_id")
+    docs = split.hash_split(documents(t), "doc_id")
     model = tfidf.fit_tfidf(docs.where("is_train"), "text", stop_words=STOP)
     out = model.weights(docs.where("not is_train"), "doc_id", "text")
     return out.withColumn("weight", F.round("weight", 8))
@@ -217,7 +224,7 @@ UNION ALL
 SELECT (SELECT count(*) FROM vocab), 'n_chars', count(*) FILTER (z <> 0), round(sum(z * z), 6) FROM num""")
 def assemble_features(t):
     """Column totals of the assembled sparse matrix (for the number: sum of squares)."""
-    docs = t.documents.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
+    docs = documents(t).select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
     model = tfidf.fit_tfidf(docs, "text", 2000, STOP)
     z = scale.standardize(model.vectors(docs, "text"), ["n_chars"], fit_on=docs)
     features = tfidf.assemble(z, "tfidf", ["n_chars"])
