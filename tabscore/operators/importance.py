@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Model
+from pyspark.ml.classification import OneVsRestModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +47,15 @@ def as_json(importance: DataFrame) -> DataFrame:
 def native(spark: SparkSession, models: dict[str, Model], features: list[str]) -> DataFrame:
     """Importance a fitted model states about itself: ``model, feature, importance, source``.
 
-    Tree models state it directly; linear models give the largest |coefficient|
+    Tree models state it directly (one model per class: their mean); linear models give the largest |coefficient|
     over their classes; any other model gives zeros under the source ``N/A``.
     """
     rows = []
     for name, model in models.items():
-        if hasattr(model, "featureImportances"):
+        if isinstance(model, OneVsRestModel):
+            per_class = [m.featureImportances.toArray() for m in model.models]
+            values, source = sum(per_class) / len(per_class), "native"
+        elif hasattr(model, "featureImportances"):
             values, source = model.featureImportances.toArray(), "native"
         elif hasattr(model, "coefficientMatrix"):
             values, source = abs(model.coefficientMatrix.toArray()).max(axis=0), "coefficients"

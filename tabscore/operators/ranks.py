@@ -103,11 +103,8 @@ def _border_bin(bins: DataFrame, want: Column) -> Column:
     """Bin in which the running count reaches ``want``, and how many it must still give."""
     run = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = bins.withColumn("upto", F.sum("count").over(run))
-    return (
-        total.where(F.col("upto") >= want)
-        .agg(F.min(F.struct(F.col("bin"), (want - F.col("upto") + F.col("count")).alias("left"))))
-        .scalar()
-    )
+    reached = total.where(F.col("upto") >= want).select("bin", (want - F.col("upto") + F.col("count")).alias("left"))
+    return reached.agg(F.min(F.struct("bin", "left"))).scalar()
 
 
 def number_in_order(values: DataFrame, col: str, out: str = "code") -> DataFrame:
