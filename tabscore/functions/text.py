@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: runs of two or more letters, digits or underscores.
@@ -34,7 +34,12 @@ def one_and_two_grams(tokens: Column) -> Column:
     return F.concat(tokens, pairs)
 
 
-def terms(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Vocabulary terms of a text: words without stop words, and their pairs."""
+def with_terms(df: DataFrame, text: str, stop_words: list[str] | None = None, out: str = "terms") -> DataFrame:
+    """Append the vocabulary terms of a text: words without stop words, and their pairs.
+
+    The words are a column of their own first. As one nested expression they
+    would be cut out of the text again for every use in the pairs.
+    """
     stop = english_stop_words() if stop_words is None else stop_words
-    return one_and_two_grams(drop_words(words(text), stop))
+    tokens = df.withColumn("__words", drop_words(words(F.col(text)), stop))
+    return tokens.withColumn(out, one_and_two_grams(F.col("__words"))).drop("__words")

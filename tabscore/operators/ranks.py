@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tabscore.functions.scalars import hash32
 from tabscore.session import fetch_small, local_table, materialize
 
 # Values that one task may sort to finish a selection.
-FINISH_ROWS = 200_000
+FINISH_ROWS = 1_000_000
 
 
 def exact_median(df: DataFrame, col: str, finish_rows: int = FINISH_ROWS) -> float | None:
@@ -73,38 +75,37 @@ def _values_at(x: DataFrame, rank: int, n: int, cuts: list[float], finish_rows:
     return found[0], found[1] if len(found) > 1 else None
 
 
-def hash_prefix_cut(df: DataFrame, key: str, count: Column, salt: int | str) -> Column:
-    """True for exactly ``count`` rows: those first by (hash of the key, key).
+def hash_prefix_cut(df: DataFrame, key: str, count: Callable[[int], int], salt: int | str) -> Column:
+    """True for exactly ``count(rows)`` rows: those first by (hash of the key, key).
 
-    ``count`` may use aggregates over the table (``count`` rows as ``n``). Two
-    histograms of at most 65,536 bins find the hash value at the border; the few
-    rows that share this 32-bit value are settled by key. All of it is scalar
-    subqueries, so the table itself is neither sorted nor shuffled.
+    Two histograms of at most 65,536 bins find the hash value at the border; the
+    few rows that share this 32-bit value are settled by key. Only the
+    histograms reach the driver, and the table is neither sorted nor shuffled.
     """
-    h = hash32(F.col(key), salt)
-    keyed = df.select(F.col(key).alias("k"), h.alias("h"))
+    keyed = df.select(F.col(key).alias("k"), hash32(F.col(key), salt).alias("h"))
     high, low = F.shiftright("h", 16), F.col("h").bitwiseAND(F.lit(65535))
-    want = df.agg(F.count("*").alias("n")).select(count.cast("bigint").alias("want")).scalar()
-    top = _border_bin(keyed.groupBy(high.alias("bin")).count(), want)
-    second = _border_bin(
-        keyed.where(high == top["bin"]).groupBy(low.alias("bin")).count(), top["left"]
-    )
+    top = _border_bin(keyed.groupBy(high.alias("bin")).count(), lambda n: count(n))
+    if top is None:
+        return F.lit(False)
+    want = top["left"]
+    second = _border_bin(keyed.where(high == top["bin"]).groupBy(low.alias("bin")).count(), lambda n: want)
     edge = top["bin"] * 65536 + second["bin"]
-    last = (
-        keyed.where(F.col("h") == edge)
-        .agg(F.array_sort(F.collect_list("k")).alias("ks"))
-        .select(F.try_element_at("ks", second["left"].cast("int")))
-        .scalar()
-    )
-    return F.coalesce((h < edge) | ((h == edge) & (F.col(key) <= last)), F.lit(False))
+    tied = keyed.where(F.col("h") == edge).agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    last = tied.select(F.element_at("ks", int(second["left"])).alias("k")).first()["k"]
+    h = hash32(F.col(key), salt)
+    return (h < edge) | ((h == edge) & (F.col(key) <= F.lit(last)))
 
 
-def _border_bin(bins: DataFrame, want: Column) -> Column:
-    """Bin in which the running count reaches ``want``, and how many it must still give."""
-    run = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = bins.withColumn("upto", F.sum("count").over(run))
-    reached = total.where(F.col("upto") >= want).select("bin", (want - F.col("upto") + F.col("count")).alias("left"))
-    return reached.agg(F.min(F.struct("bin", "left"))).scalar()
+def _border_bin(bins: DataFrame, count: Callable[[int], int]) -> dict | None:
+    """Bin in which the running count reaches the wanted one, and how many it must still give."""
+    table = bins.toArrow().sort_by("bin")
+    sizes = table["count"].to_numpy()
+    upto = sizes.cumsum()
+    want = count(int(upto[-1])) if len(upto) else 0
+    if want <= 0:
+        return None
+    i = int(upto.searchsorted(want))
+    return {"bin": table["bin"][i].as_py(), "left": int(want - upto[i] + sizes[i])}
 
 
 def number_in_order(values: DataFrame, col: str, out: str = "code") -> DataFrame:

@@ -1,8 +1,9 @@
 """Shapley values of predictions against a bounded background sample.
 
 v(S) is the mean prediction over the background with the features in S taken
-from the explained row. Any number of rows may be explained: each is paired with
-the background inside its own task and summed up there before the one shuffle.
+from the explained row. Any number of rows may be explained: the rows are placed
+by key once, while they are still small; each is then paired with the background,
+scored and summed up inside its own task.
 """
 
 from __future__ import annotations
@@ -30,6 +31,18 @@ def background(df: DataFrame, features: list[str], key: str, n: int = 100, seed:
     return picked.agg(F.collect_list(row)).scalar()
 
 
+def _place(df: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """Explained rows as ``__key, x``, spread by key before they multiply.
+
+    The rows are small now and many later. With the number of partitions stated,
+    Spark does not merge them again by their present size, and the sums per key
+    need no further shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    return df.select(F.col(key).alias("__key"), x.alias("x")).repartition(n, "__key")
+
+
 def coalition_weights(m: int) -> list[float]:
     """Weight of a coalition with s other members: s! (m-s-1)! / m!"""
     return [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
@@ -50,8 +63,7 @@ def shapley_exact(
     """
     m = _check(features)
     w = coalition_weights(m)
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    paired = df.select(F.col(key).alias("__key"), x.alias("x"), F.explode(bg).alias("b"))
+    paired = _place(df, key, features).select("__key", "x", F.explode(bg).alias("b"))
     values = {
         s: formula([F.col("x" if s >> j & 1 else "b")[j] for j in range(m)])
         for s in range(1 << m)
@@ -104,32 +116,47 @@ def shapley_model(
 ) -> DataFrame:
     """Exact values for a fitted model: ``key, cls, feature, phi`` (``cls`` counts outputs).
 
-    Rows x background x coalitions are scored; each score is weighed at once, so
-    the shuffle carries one record per explained row and output.
+    Each row is scored once per background row and mixed coalition, and once as
+    it is; the scores of the background alone are the same for every row and are
+    worked out once. A row is summed up where it was expanded.
     """
     m = _check(features)
-    w = F.array(*[F.lit(x) for x in coalition_weights(m)])
-    masks = F.sequence(F.lit(0), F.lit((1 << m) - 1))
-    x = F.array(*[F.col(f).cast("double") for f in features])
+    w = F.array(*[F.lit(c) for c in coalition_weights(m)])
+    full = (1 << m) - 1
+    # The full coalition does not depend on the background: the first row stands for all.
+    masks = F.when(F.col("i") == 0, F.sequence(F.lit(1), F.lit(full))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.lit(full - 1)), lambda s: s > 0)
+    )
     mixed = (
-        df.select(key, x.alias("x"), F.explode(bg).alias("b"))
-        .select(key, "x", "b", F.explode(masks).alias("mask"))
+        _place(df, key, features)
+        .select("__key", "x", F.posexplode(bg).alias("i", "b"))
+        .select("__key", "x", "b", F.explode(masks).alias("mask"))
     )
     bit = [F.col("mask").bitwiseAND(F.lit(1 << j)) != 0 for j in range(m)]
     point = F.array(*[F.when(bit[j], F.col("x")[j]).otherwise(F.col("b")[j]) for j in range(m)])
-    scored = score(mixed.select(key, "mask", array_to_vector(point).alias(vector)))
-    size = F.bit_count("mask")
-    one = scored.select(key, "mask", size.alias("s"), F.posexplode("out").alias("cls", "v"))
-    outputs = [
-        F.sum(F.when(bit[j], w[F.col("s") - 1]).otherwise(-w[F.col("s")]) * F.col("v")).alias(f"p{j}")
+    scored = score(mixed.select("__key", "mask", array_to_vector(point).alias(vector)))
+    share = F.when(F.col("mask") == full, F.col("v")).otherwise(F.col("v") / F.size(bg)).alias("share")
+    one = scored.select(
+        "__key", "mask", F.bit_count("mask").alias("s"), F.posexplode("out").alias("cls", "v")
+    ).select("__key", "mask", "s", "cls", share)
+    gains = [
+        F.sum(F.when(bit[j], w[F.col("s") - 1]).otherwise(-F.get(w, F.col("s"))) * F.col("share")).alias(f"p{j}")
         for j in range(m)
     ]
-    n_bg = F.count_if(F.col("mask") == 0)
-    sums = one.groupBy(key, "cls").agg(n_bg.alias("n"), *outputs)
-    phis = sums.select(key, "cls", *[(F.col(f"p{j}") / F.col("n")).alias(f) for j, f in enumerate(features)])
+    sums = one.groupBy("__key", "cls").agg(*gains)
+    base = _background_scores(df, bg, score, vector)[F.col("cls")] * coalition_weights(m)[0]
+    phis = sums.select(F.col("__key").alias(key), "cls", *[(F.col(f"p{j}") - base).alias(f) for j, f in enumerate(features)])
     return phis.unpivot([key, "cls"], features, "feature", "phi")
 
 
+def _background_scores(df: DataFrame, bg: Column, score: Callable[[DataFrame], DataFrame], vector: str) -> Column:
+    """Mean score of the background rows, one entry per output, as a scalar subquery."""
+    rows = df.sparkSession.range(1).select(F.explode(bg).alias("b")).select(array_to_vector("b").alias(vector))
+    means = score(rows).select(F.posexplode("out").alias("cls", "v")).groupBy("cls").agg(F.avg("v").alias("v"))
+    ordered = F.array_sort(F.collect_list(F.struct("cls", "v")))
+    return means.agg(F.transform(ordered, lambda e: e["v"])).scalar()
+
+
 def shapley_sampled(
     df: DataFrame,
     key: str,
@@ -147,17 +174,16 @@ def shapley_sampled(
     2014). The estimate still sums to f(x) minus the mean drawn f(b).
     """
     m = len(features)
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    drawn = df.select(key, x.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("draw"))
     hashes = F.array(
-        *[F.struct(F.xxhash64(F.lit(seed), F.col(key), "draw", F.lit(j)), F.lit(j + 1).alias("j")) for j in range(m)]
+        *[F.struct(F.xxhash64(F.lit(seed), "__key", "draw", F.lit(j)), F.lit(j + 1).alias("j")) for j in range(m)]
     )
     order = F.transform(F.array_sort(hashes), lambda e: e["j"])
-    pick = F.pmod(F.xxhash64(F.lit(f"{seed}:bg"), F.col(key), F.col("draw")), F.size("bg")).cast("int")
-    placed = (
-        drawn.withColumn("bg", bg)
-        .select(key, "x", F.col("bg")[pick].alias("b"), order.alias("fwd"))
-        .select(key, "x", "b", F.explode(F.array("fwd", F.reverse("fwd"))).alias("order"))
+    pick = F.pmod(F.xxhash64(F.lit(f"{seed}:bg"), "__key", "draw"), F.size(bg)).cast("int")
+    drawn = (
+        _place(df, key, features)
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("draw"))
+        .select("__key", "x", F.get(bg, pick).alias("b"), order.alias("fwd"))
+        .select("__key", "x", "b", F.explode(F.array("fwd", F.reverse("fwd"))).alias("order"))
         .withColumn("rank", F.transform(F.sequence(F.lit(1), F.lit(m)), lambda j: F.array_position("order", j)))
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("step"))
     )
@@ -165,21 +191,21 @@ def shapley_sampled(
         F.arrays_zip("x", "b", "rank"),
         lambda e: F.when(e["rank"] <= F.col("step"), e["x"]).otherwise(e["b"]),
     )
-    scored = score(placed.select(key, "order", "step", array_to_vector(point).alias(vector)))
+    scored = score(drawn.select("__key", "order", "step", array_to_vector(point).alias(vector)))
     # A step adds its score to the feature just switched on and takes it from the next one.
     moves = F.array(
         F.struct(F.get("order", F.col("step") - 1).alias("j"), F.lit(1.0).alias("sign")),
         F.struct(F.get("order", F.col("step")).alias("j"), F.lit(-1.0).alias("sign")),
     )
     one = (
-        scored.select(key, moves.alias("moves"), F.posexplode("out").alias("cls", "v"))
-        .select(key, "cls", "v", F.inline("moves"))
+        scored.select("__key", moves.alias("moves"), F.posexplode("out").alias("cls", "v"))
+        .select("__key", "cls", "v", F.inline("moves"))
         .where("j is not null")
     )
     names = F.array(*[F.lit(f) for f in features])
     return (
-        one.groupBy(key, "cls", "j").agg((F.sum(F.col("v") * F.col("sign")) / (2 * pairs)).alias("phi"))
-        .select(key, "cls", F.get(names, F.col("j") - 1).alias("feature"), "phi")
+        one.groupBy("__key", "cls", "j").agg((F.sum(F.col("v") * F.col("sign")) / (2 * pairs)).alias("phi"))
+        .select(F.col("__key").alias(key), "cls", F.get(names, F.col("j") - 1).alias("feature"), "phi")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,9 @@ def hash_split(df: DataFrame, key: str, seed: int = 42, train_tenths: int = 8) -
 
 def exact_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_train``, with exactly ``ceil(test_share * n)`` test rows."""
-    # The tiny term keeps 0.2 * 10 = 2.0000000000000004 from rounding up to 3.
-    size = F.ceil(F.col("n") * F.lit(test_share) - F.lit(1e-9))
-    return df.withColumn("is_train", ~hash_prefix_cut(df, key, size, seed))
+    # The small term keeps a product such as 0.1 * 30 = 3.0000000000000004 from rounding up.
+    test = hash_prefix_cut(df, key, lambda n: math.ceil(n * test_share - 1e-9), seed)
+    return df.withColumn("is_train", ~test)
 
 
 def temporal_split(df: DataFrame, year: str, first_test_year: int) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscore.functions.text import terms
+from tabscore.functions.text import with_terms
 from tabscore.session import BROADCAST_ROWS, local_table
 
 MAX_FEATURES = 10_000
@@ -23,14 +23,13 @@ def term_totals(docs: DataFrame, text: str, stop_words: list[str] | None = None)
     Each document lists every occurrence once and every distinct term once, so no
     grouping by document is needed.
     """
-    all_terms = terms(F.col(text), stop_words)
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     entries = F.concat(
         F.transform("t", lambda w: F.struct(w.alias("term"), one.alias("c"), zero.alias("d"))),
         F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), zero.alias("c"), one.alias("d"))),
     )
     return (
-        docs.select(all_terms.alias("t"))
+        with_terms(docs.select(text), text, stop_words, "t")
         .select(F.explode(entries).alias("e")).select("e.*")
         .groupBy("term").agg(F.sum("c").alias("total"), F.sum("d").alias("docs"))
     )
@@ -59,8 +58,8 @@ class Tfidf:
         counts = CountVectorizerModel.from_vocabulary(self.vocabulary, "__terms", "__counts")
         weigh = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="__counts", outputCol="__w")
         unit = Normalizer(p=2.0, inputCol="__w", outputCol=out)
-        with_terms = docs.withColumn("__terms", terms(F.col(text), self.stop_words))
-        return unit.transform(weigh.transform(counts.transform(with_terms))).drop("__terms", "__counts", "__w")
+        cut = with_terms(docs, text, self.stop_words, "__terms")
+        return unit.transform(weigh.transform(counts.transform(cut))).drop("__terms", "__counts", "__w")
 
     def table(self, docs: DataFrame) -> DataFrame:
         """The vocabulary as a table ``term, idf`` (bounded by ``max_features``)."""
@@ -77,8 +76,8 @@ class Tfidf:
         if len(self.vocabulary) <= BROADCAST_ROWS:
             vocab = F.broadcast(vocab)
         counted = (
-            docs.select(key, text).repartition(key)
-            .select(key, F.explode(terms(F.col(text), self.stop_words)).alias("term"))
+            with_terms(docs.select(key, text).repartition(key), text, self.stop_words)
+            .select(key, F.explode("terms").alias("term"))
             .join(vocab, "term")
             .groupBy(key, "term", "idf").count()
             .withColumn("w", F.col("count") * F.col("idf"))

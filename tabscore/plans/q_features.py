@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from tabscore.functions.text import drop_words, one_and_two_grams, words
+from tabscore.functions.text import drop_words, with_terms, words
 from tabscore.operators import clean, scale, split, tfidf
 from tabscore.operators.ranks import exact_median
 from tabscore.plans.q_tables import LINEITEM_GAPS_SQL, lineitem_with_gaps
@@ -166,8 +166,8 @@ def remove_stopwords(t):
 @query("ngrams_1_2", f"""
 WITH {TERMS_SQL} SELECT doc_id, array_to_string(terms, '|') AS terms FROM termed""")
 def ngrams_1_2(t):
-    grams = one_and_two_grams(drop_words(words(F.col("text")), STOP))
-    return documents(t).select("doc_id", F.array_join(grams, "|").alias("terms"))
+    cut = with_terms(documents(t), "text", STOP)
+    return cut.select("doc_id", F.array_join("terms", "|").alias("terms"))
 
 
 def _vocab_sql(where: str = "", k: int = tfidf.MAX_FEATURES) -> str:

@@ -316,7 +316,7 @@ def test_stack_and_melt(spark):
 
 def test_words(spark):
     df = spark.createDataFrame([("The cat, a CAT über_2 x!",)], "t string")
-    got = df.select(text.words(F.col("t")).alias("w"), text.terms(F.col("t"), ["the"]).alias("g")).first()
+    got = text.with_terms(df, "t", ["the"], "g").select(text.words(F.col("t")).alias("w"), "g").first()
     assert got["w"] == ["the", "cat", "cat", "über_2"]
     assert got["g"] == ["cat", "cat", "über_2", "cat cat", "cat über_2"]
 
@@ -324,4 +324,4 @@ def test_words(spark):
 @pytest.mark.parametrize("t, want", [("", []), ("one", ["one"]), ("the", [])])
 def test_short_texts(spark, t, want):
     df = spark.createDataFrame([(t,)], "t string")
-    assert df.select(text.terms(F.col("t"), ["the"])).first()[0] == want
+    assert text.with_terms(df, "t", ["the"]).first()["terms"] == want
