@@ -78,6 +78,8 @@ def _values_at(x: DataFrame, rank: int, n: int, cuts: list[float], finish_rows:
 def hash_prefix_cut(df: DataFrame, key: str, count: Callable[[int], int], salt: int | str) -> Column:
     """True for exactly ``count(rows)`` rows: those first by (hash of the key, key).
 
+    The key should be unique; rows that share a key stay on one side.
+
     Two histograms of at most 65,536 bins find the hash value at the border; the
     few rows that share this 32-bit value are settled by key. Only the
     histograms reach the driver, and the table is neither sorted nor shuffled.
@@ -90,14 +92,15 @@ def hash_prefix_cut(df: DataFrame, key: str, count: Callable[[int], int], salt:
     want = top["left"]
     second = _border_bin(keyed.where(high == top["bin"]).groupBy(low.alias("bin")).count(), lambda n: want)
     edge = top["bin"] * 65536 + second["bin"]
-    tied = keyed.where(F.col("h") == edge).agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    last = tied.select(F.element_at("ks", int(second["left"])).alias("k")).first()["k"]
+    # Distinct keys of one 32-bit value: a handful, however often a key repeats.
+    tied = keyed.where(F.col("h") == edge).groupBy(F.col("k").alias("bin")).count()
+    last = _border_bin(tied, lambda n: second["left"])["bin"]
     h = hash32(F.col(key), salt)
     return (h < edge) | ((h == edge) & (F.col(key) <= F.lit(last)))
 
 
 def _border_bin(bins: DataFrame, count: Callable[[int], int]) -> dict | None:
-    """Bin in which the running count reaches the wanted one, and how many it must still give."""
+    """Bin (of a bounded number) in which the running count reaches the wanted one, and how many it must still give."""
     table = bins.toArrow().sort_by("bin")
     sizes = table["count"].to_numpy()
     upto = sizes.cumsum()

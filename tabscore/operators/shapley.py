@@ -93,7 +93,11 @@ def shapley_linear(
 
 
 def prediction_output(model: Model) -> Callable[[DataFrame], DataFrame]:
-    """Score function for the helpers below: appends ``out``, an array with one entry."""
+    """Score function for the helpers below: appends ``out``, an array with one entry.
+
+    They unpack it with an outer explode: a plain one makes Spark test the array
+    first, and so predict every row twice.
+    """
     def score(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("out", F.array(F.col("prediction")))
     return score
@@ -137,7 +141,7 @@ def shapley_model(
     scored = score(mixed.select("__key", "mask", array_to_vector(point).alias(vector)))
     share = F.when(F.col("mask") == full, F.col("v")).otherwise(F.col("v") / F.size(bg)).alias("share")
     one = scored.select(
-        "__key", "mask", F.bit_count("mask").alias("s"), F.posexplode("out").alias("cls", "v")
+        "__key", "mask", F.bit_count("mask").alias("s"), F.posexplode_outer("out").alias("cls", "v")
     ).select("__key", "mask", "s", "cls", share)
     gains = [
         F.sum(F.when(bit[j], w[F.col("s") - 1]).otherwise(-F.get(w, F.col("s"))) * F.col("share")).alias(f"p{j}")
@@ -152,7 +156,7 @@ def shapley_model(
 def _background_scores(df: DataFrame, bg: Column, score: Callable[[DataFrame], DataFrame], vector: str) -> Column:
     """Mean score of the background rows, one entry per output, as a scalar subquery."""
     rows = df.sparkSession.range(1).select(F.explode(bg).alias("b")).select(array_to_vector("b").alias(vector))
-    means = score(rows).select(F.posexplode("out").alias("cls", "v")).groupBy("cls").agg(F.avg("v").alias("v"))
+    means = score(rows).select(F.posexplode_outer("out").alias("cls", "v")).groupBy("cls").agg(F.avg("v").alias("v"))
     ordered = F.array_sort(F.collect_list(F.struct("cls", "v")))
     return means.agg(F.transform(ordered, lambda e: e["v"])).scalar()
 
@@ -198,7 +202,7 @@ def shapley_sampled(
         F.struct(F.get("order", F.col("step")).alias("j"), F.lit(-1.0).alias("sign")),
     )
     one = (
-        scored.select("__key", moves.alias("moves"), F.posexplode("out").alias("cls", "v"))
+        scored.select("__key", moves.alias("moves"), F.posexplode_outer("out").alias("cls", "v"))
         .select("__key", "cls", "v", F.inline("moves"))
         .where("j is not null")
     )

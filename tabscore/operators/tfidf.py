@@ -70,14 +70,16 @@ class Tfidf:
         """Long form ``key, term, weight``.
 
         Documents are placed by key once; counting and normalising then happen
-        where the document is.
+        where the document is. (A plain ``explode`` would add a filter on the
+        size of the array below the shuffle and cut every text once more for it.)
         """
         vocab = self.table(docs)
         if len(self.vocabulary) <= BROADCAST_ROWS:
             vocab = F.broadcast(vocab)
         counted = (
             with_terms(docs.select(key, text).repartition(key), text, self.stop_words)
-            .select(key, F.explode("terms").alias("term"))
+            .select(key, F.explode_outer("terms").alias("term"))
+            .where("term is not null")
             .join(vocab, "term")
             .groupBy(key, "term", "idf").count()
             .withColumn("w", F.col("count") * F.col("idf"))
