@@ -22,16 +22,26 @@ MAX_BACKGROUND = 1000
 MAX_EXACT_FEATURES = 10
 
 
-def background(df: DataFrame, features: list[str], key: str, n: int = 100, seed: int | str = 42) -> Column:
-    """Array of ``n`` sampled feature rows, as a scalar subquery."""
+def point(features: list[str]) -> Column:
+    """The feature columns of a row as one array."""
+    return F.array(*[F.col(f).cast("double") for f in features])
+
+
+def background(
+    df: DataFrame, features: list[str], key: str, n: int = 100, seed: int | str = 42, x: Column | None = None
+) -> Column:
+    """Array of ``n`` sampled feature rows, as a scalar subquery.
+
+    ``x`` gives a row's features as an array where they are not single columns.
+    """
     if n > MAX_BACKGROUND:
         raise ValueError(f"a background holds at most {MAX_BACKGROUND} rows")
-    picked = bounded_sample(df.select(key, *features), key, n, seed)
-    row = F.array(*[F.col(f).cast("double") for f in features])
-    return picked.agg(F.collect_list(row)).scalar()
+    x = point(features) if x is None else x
+    picked = bounded_sample(df.select(key, x.alias("x")), key, n, seed)
+    return picked.agg(F.collect_list("x")).scalar()
 
 
-def _place(df: DataFrame, key: str, features: list[str]) -> DataFrame:
+def _place(df: DataFrame, key: str, x: Column) -> DataFrame:
     """Explained rows as ``__key, x``, spread by key before they multiply.
 
     The rows are small now and many later. With the number of partitions stated,
@@ -39,7 +49,6 @@ def _place(df: DataFrame, key: str, features: list[str]) -> DataFrame:
     need no further shuffle.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = F.array(*[F.col(f).cast("double") for f in features])
     return df.select(F.col(key).alias("__key"), x.alias("x")).repartition(n, "__key")
 
 
@@ -63,7 +72,7 @@ def shapley_exact(
     """
     m = _check(features)
     w = coalition_weights(m)
-    paired = _place(df, key, features).select("__key", "x", F.explode(bg).alias("b"))
+    paired = _place(df, key, point(features)).select("__key", "x", F.explode(bg).alias("b"))
     values = {
         s: formula([F.col("x" if s >> j & 1 else "b")[j] for j in range(m)])
         for s in range(1 << m)
@@ -98,15 +107,21 @@ def prediction_output(model: Model) -> Callable[[DataFrame], DataFrame]:
     They unpack it with an outer explode: a plain one makes Spark test the array
     first, and so predict every row twice.
     """
+
     def score(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("out", F.array(F.col("prediction")))
+
     return score
 
 
 def probability_output(model: Model) -> Callable[[DataFrame], DataFrame]:
-    """One entry per class."""
+    """One entry per class: its probability, or its raw score where a model states no more."""
+
     def score(df: DataFrame) -> DataFrame:
-        return model.transform(df).withColumn("out", vector_to_array("probability"))
+        scored = model.transform(df)
+        column = "probability" if "probability" in scored.columns else "rawPrediction"
+        return scored.withColumn("out", vector_to_array(column))
+
     return score
 
 
@@ -132,13 +147,13 @@ def shapley_model(
         F.filter(F.sequence(F.lit(0), F.lit(full - 1)), lambda s: s > 0)
     )
     mixed = (
-        _place(df, key, features)
+        _place(df, key, point(features))
         .select("__key", "x", F.posexplode(bg).alias("i", "b"))
         .select("__key", "x", "b", F.explode(masks).alias("mask"))
     )
     bit = [F.col("mask").bitwiseAND(F.lit(1 << j)) != 0 for j in range(m)]
-    point = F.array(*[F.when(bit[j], F.col("x")[j]).otherwise(F.col("b")[j]) for j in range(m)])
-    scored = score(mixed.select("__key", "mask", array_to_vector(point).alias(vector)))
+    mix = F.array(*[F.when(bit[j], F.col("x")[j]).otherwise(F.col("b")[j]) for j in range(m)])
+    scored = score(mixed.select("__key", "mask", array_to_vector(mix).alias(vector)))
     share = F.when(F.col("mask") == full, F.col("v")).otherwise(F.col("v") / F.size(bg)).alias("share")
     one = scored.select(
         "__key", "mask", F.bit_count("mask").alias("s"), F.posexplode_outer("out").alias("cls", "v")
@@ -170,6 +185,7 @@ def shapley_sampled(
     pairs: int = 10,
     seed: int = 42,
     vector: str = "features",
+    x: Column | None = None,
 ) -> DataFrame:
     """Estimated values for many features: ``key, cls, feature, phi``.
 
@@ -184,18 +200,18 @@ def shapley_sampled(
     order = F.transform(F.array_sort(hashes), lambda e: e["j"])
     pick = F.pmod(F.xxhash64(F.lit(f"{seed}:bg"), "__key", "draw"), F.size(bg)).cast("int")
     drawn = (
-        _place(df, key, features)
+        _place(df, key, point(features) if x is None else x)
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("draw"))
         .select("__key", "x", F.get(bg, pick).alias("b"), order.alias("fwd"))
         .select("__key", "x", "b", F.explode(F.array("fwd", F.reverse("fwd"))).alias("order"))
         .withColumn("rank", F.transform(F.sequence(F.lit(1), F.lit(m)), lambda j: F.array_position("order", j)))
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("step"))
     )
-    point = F.transform(
+    mix = F.transform(
         F.arrays_zip("x", "b", "rank"),
         lambda e: F.when(e["rank"] <= F.col("step"), e["x"]).otherwise(e["b"]),
     )
-    scored = score(drawn.select("__key", "order", "step", array_to_vector(point).alias(vector)))
+    scored = score(drawn.select("__key", "order", "step", array_to_vector(mix).alias(vector)))
     # A step adds its score to the feature just switched on and takes it from the next one.
     moves = F.array(
         F.struct(F.get("order", F.col("step") - 1).alias("j"), F.lit(1.0).alias("sign")),

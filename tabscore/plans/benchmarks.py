@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,10 @@ RANK_FEATURES = [
     "International Outlook", "Overall Score",
 ]
 FIRST_TEST_YEAR = 2022
+# Rows explained for trees and for the linear model of the budget tables.
+TREE_ROWS, LINEAR_ROWS = 500, 50
+# Columns up to which text models are explained by Shapley values: a sample scores each of them.
+EXPLAIN_COLUMNS = 512
 TOP_RANK = 200
 
 
@@ -176,7 +181,8 @@ def score_benchmark(
     features = [c for c in df.columns if c not in (target, key, "y", "is_train", group)]
     df, features = encode_and_impute(df, features, fit_on)
     grp = F.col(group) if group else split.assign_group(key, *groups)
-    df = two_vectors(df.withColumn("grp", grp), features, fit_on)
+    # Every fit, prediction and explanation reads this table: it is prepared once.
+    df = materialize(two_vectors(df.withColumn("grp", grp), features, fit_on), "features")
     train, test = df.where("is_train"), df.where("not is_train")
     values = class_values(train, "y")
     e = effort
@@ -216,7 +222,8 @@ def rank_benchmark(
     df, key = with_key(df.withColumns({"Year": F.col("Year").cast("int"), "y": _double(target)}), key)
     df = df.withColumn("is_train", F.col("Year") < first_test_year)
     grp = F.col(group) if group else split.assign_group(key, *groups)
-    df = VectorAssembler(inputCols=features, outputCol="raw_features").transform(df.withColumn("grp", grp))
+    raw = VectorAssembler(inputCols=features, outputCol="raw_features").transform(df.withColumn("grp", grp))
+    df = materialize(raw, "features")
     train, test = split.temporal_split(df, "Year", first_test_year)
     mm = scale.MinMax(train, "y")
     e = effort
@@ -257,7 +264,7 @@ def enrolment_benchmark(
     df, key = with_key(clean.drop_missing(long, ["Enrollment"]), None)
     df = split.hash_split(clean.label_encode(df, kind).withColumn("y", F.col("Enrollment")), key)
     features = ["Year", kind]
-    df = two_vectors(df, features, fit_on)
+    df = materialize(two_vectors(df, features, fit_on), "features")
     train, test = df.where("is_train"), df.where("not is_train")
     median = exact_median(train, "y")
     decode = lambda p: choose(p == 1, F.lit(median * 1.1), F.lit(median * 0.9))
@@ -315,7 +322,8 @@ def class_benchmark(
     features = [c for c in df.columns if c not in (target, key, "y", "is_train", group)]
     df, features = encode_and_impute(df, features, fit_on)
     grp = F.col(group) if group else split.assign_group(key, *groups)
-    df = two_vectors(df.withColumn("grp", grp), features, fit_on)
+    # Every fit, prediction and explanation reads this table: it is prepared once.
+    df = materialize(two_vectors(df.withColumn("grp", grp), features, fit_on), "features")
     train, test = df.where("is_train"), df.where("not is_train")
     suite = Suite(class_members(len(values), effort)).fit(train)
     preds = materialize(suite.predict(test, [key, "y", "grp"]), "predictions")
@@ -334,7 +342,8 @@ def label_benchmark(
 ) -> Result:
     """School budgets: text and numbers, several labels, every model for every label.
 
-    With this many sparse columns the importance is what a model states itself.
+    Class probabilities of a row sample are explained by Shapley values. Beyond
+    ``EXPLAIN_COLUMNS`` columns the importance is what a model states itself.
     """
     df, key = with_key(df, key)
     df = split.hash_split(df, key)
@@ -360,8 +369,7 @@ def label_benchmark(
         failures |= {f"{label}: {m}": err for m, err in suite.failures.items()}
         one = suite.predict(coded.where("not is_train"), [key, "y", "grp"])
         preds.append(one.withColumn("label", F.lit(label)))
-        native = importance.native(df.sparkSession, suite.fitted, names)
-        imps.append(native.withColumn("label", F.lit(label)))
+        imps.append(_label_importance(suite, coded, key, names, effort).withColumn("label", F.lit(label)))
     stacked = materialize(reshape.stack(preds), "predictions")
     out = _class_result(stacked, ["label", "model"], "zero_as_one", groups, readiness.TREES_FIRST)
     imp = reshape.stack(imps)
@@ -369,6 +377,21 @@ def label_benchmark(
     return Result(stacked, out["metrics"], out["fairness"], out["readiness"], imp, failures, extra)
 
 
+def _label_importance(suite: Suite, df: DataFrame, key: str, names: list[str], e: Effort) -> DataFrame:
+    if len(names) > EXPLAIN_COLUMNS or not e.explain:
+        return importance.native(df.sparkSession, suite.fitted, names)
+    x = vector_to_array("features")
+    bg = shapley.background(df.where("is_train"), names, key, e.background, x=x)
+    parts = []
+    for name, model in suite.fitted.items():
+        rows = LINEAR_ROWS if name == "LogisticRegression" else TREE_ROWS
+        picked = split.bounded_sample(df.where("not is_train"), key, rows)
+        phi = shapley.shapley_sampled(picked, key, names, shapley.probability_output(model), bg, e.pairs, x=x)
+        one = importance.mean_abs(shapley.reduce_classes(phi, "mean_abs"), [])
+        parts.append(one.select(F.lit(name).alias("model"), "feature", "importance", F.lit("shapley").alias("source")))
+    return reshape.stack(parts)
+
+
 def profile_benchmark(
     datasets: dict[str, DataFrame],
     declared: dict[str, Declared] | None = None,

@@ -165,27 +165,23 @@ def shapley_model(t):
 VECTOR_FEATURES = [f"v{i}" for i in range(64)]
 
 
-def vectors_wide(t) -> DataFrame:
-    v = vector_to_array("features")
-    return vectors_table(t).select("row_id", "y", "is_train", "features", *[v[i].alias(f) for i, f in enumerate(VECTOR_FEATURES)])
-
-
-def _explain_vectors(t, estimator, rows: int, pairs: int) -> DataFrame:
-    df = vectors_wide(t)
+def _explain_vectors(t, make, rows: int, pairs: int) -> DataFrame:
+    df, x = vectors_table(t), vector_to_array("features")
     train, test = df.where("is_train"), df.where("not is_train")
-    model = estimator.setLabelCol("y").fit(train)
-    bg = shapley.background(train, VECTOR_FEATURES, "row_id", 100)
+    model = make(train.count()).setLabelCol("y").fit(train)
+    bg = shapley.background(train, VECTOR_FEATURES, "row_id", 100, x=x)
     picked = split.bounded_sample(test, "row_id", rows)
-    return shapley.shapley_sampled(picked, "row_id", VECTOR_FEATURES, shapley.probability_output(model), bg, pairs)
+    score = shapley.probability_output(model)
+    return shapley.shapley_sampled(picked, "row_id", VECTOR_FEATURES, score, bg, pairs, x=x)
 
 
 @query("shapley_sampled")
 def shapley_sampled(t):
     """Class probabilities of a linear model: 50 sampled rows, 100 background rows."""
-    return _explain_vectors(t, models.logistic(1000, 20, family="multinomial"), 50, 2)
+    return _explain_vectors(t, lambda n: models.logistic(n, 20, family="multinomial"), 50, 2)
 
 
 @query("shapley_class_prob")
 def shapley_class_prob(t):
     """Class probabilities of a forest: a sample of 500 rows."""
-    return _explain_vectors(t, models.forest_classifier(5, 4), 500, 1)
+    return _explain_vectors(t, lambda n: models.forest_classifier(5, 4), 500, 1)

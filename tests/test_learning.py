@@ -211,6 +211,20 @@ def test_score_benchmark(spark, sf):
     assert {x["feature"] for x in r.importance.collect()} == {"status", "o_custkey"}
 
 
+def test_statistics_of_all_rows(spark):
+    df = spark.createDataFrame([(1.0, True), (3.0, False)], "x double, is_train boolean")
+    for fit_on, want in (("train", [0.0, 2.0]), ("all", [-1.0, 1.0])):
+        out = benchmarks.two_vectors(df, ["x"], fit_on).orderBy("x").collect()
+        assert [r["scaled_features"][0] for r in out] == want
+
+
+def test_one_model_per_class_states_its_importance(spark, planted):
+    df = planted.withColumn("c", F.floor(F.col("x0") / 4).cast("double"))
+    model = models.per_class(models.boosted_classifier(2, 2)).setLabelCol("c").fit(df)
+    top = importance.top_k(importance.native(spark, {"m": model}, FEATURES), ["model"], 1).first()
+    assert top["feature"] == "x0" and top["source"] == "native"
+
+
 def test_rank_benchmark(spark, sf):
     t = Tables(spark, sf)
     names = benchmarks.RANK_FEATURES

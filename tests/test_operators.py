@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tabscore.functions import scalars, text
 from tabscore.operators import clean, fairness, metrics, profile, ranks, readiness, report, reshape, scale, split
+from tabscore.operators.tfidf import Tfidf
+from tabscore.session import join_lookup
 from tabscore.sources import csvio, published, tables
 
 
@@ -325,3 +327,63 @@ def test_words(spark):
 def test_short_texts(spark, t, want):
     df = spark.createDataFrame([(t,)], "t string")
     assert text.with_terms(df, "t", ["the"]).first()["terms"] == want
+
+
+def hot(spark):
+    """A third of the rows share one key, one value and one gap."""
+    i = F.col("id")
+    return spark.range(3000).select(
+        F.when(i % 3 == 0, 7).otherwise(i).alias("k"),
+        F.when(i % 3 == 0, "hot").when(i % 3 == 1, F.concat(F.lit("v"), i % 5)).alias("c"),
+        (i % 11).cast("double").alias("y"),
+    )
+
+
+def test_hot_value_encoding(spark):
+    got = rows(clean.label_encode(hot(spark), "c").groupBy("c").count())
+    # hot, nan, then v0..v4
+    assert got[0] == (0, 1000) and got[1] == (1, 1000) and sum(n for _, n in got) == 3000
+
+
+@pytest.mark.parametrize("max_rows", [0, 100])
+def test_lookup_join_is_the_same_with_and_without_broadcast(spark, max_rows):
+    lookup = spark.createDataFrame([("hot", 1), ("v1", 2)], "c string, n int")
+    got = rows(join_lookup(hot(spark), lookup, "c", max_rows=max_rows).groupBy("n").count().na.fill(-1))
+    assert got == [(-1, 1800), (1, 1000), (2, 200)]
+
+
+def test_exact_split_with_a_hot_key_keeps_its_rows_together(spark):
+    df = hot(spark)
+    out = split.exact_split(df, "k")
+    assert out.count() == 3000
+    assert out.where("k = 7").select("is_train").distinct().count() == 1
+    assert 600 <= out.where("not is_train").count() <= 1601
+
+
+def test_hot_pattern_and_classes(spark):
+    df = hot(spark)
+    assert rows(profile.null_patterns(df.select("c"))) == [("0", 2000), ("1", 1000)]
+    preds_ = df.select(F.lit("m").alias("model"), (F.col("k") == 7).cast("int").alias("y"), F.lit(1).alias("pred"))
+    m = one(metrics.classification_metrics(preds_, ["model"]))
+    share = m["accuracy"]
+    assert m["n"] == 3000 and m["f1"] == pytest.approx(share * 2 * share / (1 + share))
+
+
+def test_profile_reads_a_table_once(spark, sf):
+    orders = tables.Tables(spark, sf).orders
+    plan = profile.column_profile({"o": orders})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_filters_reach_the_scan(spark, sf):
+    orders = tables.Tables(spark, sf).orders
+    small = clean.drop_missing(orders, ["o_totalprice"]).where("o_totalprice > 1e5").select("o_orderkey")
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(o_totalprice,100000.0)" in plan and "o_orderpriority" not in plan
+
+
+def test_splits_and_vectors_do_not_shuffle(spark, sf):
+    t = tables.Tables(spark, sf)
+    model = Tfidf(["aa", "bb"], [1, 1], 2, [])
+    for df in (split.hash_split(t.orders, "o_orderkey"), split.exact_split(t.orders, "o_orderkey"), model.vectors(t.documents, "text")):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
