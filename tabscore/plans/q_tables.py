@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabscore.functions.scalars import above, at_most, choose, clip, join_text, round_half_even, text_to_int, to_number
 from tabscore.operators import clean, reshape
@@ -240,7 +239,3 @@ def attach(t):
     preds = sales(t).where("not is_train").select("row_id")
     attrs = sales_with_customer(t).select("row_id", F.col("segment").alias("grp"))
     return attach_group(preds, attrs, "row_id")
-
-
-def csv_schema(cols: dict[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(c, d) for c, d in cols.items()])

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # Rows up to which a table counts as small enough to send to every executor.
 BROADCAST_ROWS = 100_000
 
+# Temporary folder per local application, where no shared folder is named.
+_local_folders: dict[str, str | None] = {}
+
 
 def get_spark(app: str = "tabscore", cores: str = "*", partitions: int | None = None) -> SparkSession:
     """A session for tests and the bench; on a cluster pass your own session instead."""
@@ -42,8 +45,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tabscore-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _local_folders.setdefault(app, None) or tempfile.mkdtemp(prefix="tabscore-")
+        _local_folders[app] = base
     return f"{base.rstrip('/')}/tabscore/{name}-{uuid.uuid4().hex}"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabscore.functions import scalars, text
 from tabscore.operators import clean, fairness, metrics, profile, ranks, readiness, report, reshape, scale, split
 from tabscore.operators.tfidf import Tfidf
-from tabscore.session import join_lookup
+from tabscore.session import join_lookup, scratch_path
 from tabscore.sources import csvio, published, tables
 
 
@@ -387,3 +387,20 @@ def test_splits_and_vectors_do_not_shuffle(spark, sf):
     model = Tfidf(["aa", "bb"], [1, 1], 2, [])
     for df in (split.hash_split(t.orders, "o_orderkey"), split.exact_split(t.orders, "o_orderkey"), model.vectors(t.documents, "text")):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+class _Session:
+    """As much of a session as the scratch folder needs."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {} if folder is None else {"spark.checkpoint.dir": folder}
+        self.sparkContext = type("C", (), {"master": master, "applicationId": master})
+
+
+def test_scratch_folder():
+    assert scratch_path(_Session("yarn", "hdfs:///shared/"), "x").startswith("hdfs:///shared/tabscore/x-")
+    local = _Session("local[2]")
+    a, b = scratch_path(local, "x"), scratch_path(local, "x")
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
+    with pytest.raises(ValueError):
+        scratch_path(_Session("yarn"), "x")
