@@ -18,7 +18,7 @@ from tabscore.operators.reshape import stack
 from tabscore.plans.q_features import STOP, documents, dual_features
 from tabscore.plans.registry import query
 from tabscore.plans.roles import FEATURES, THRESHOLD, code_of, sales, sales_features
-from tabscore.session import materialize
+from tabscore.session import materialize, spread
 
 RAW, SCALED = "raw_features", "scaled_features"
 KEEP = ["row_id", "y", "segment"]
@@ -42,7 +42,7 @@ def fit_and_predict(df: DataFrame, members: list[Member], keep: list[str]) -> Da
 
 def vectors_table(t) -> DataFrame:
     """Embedding vectors with ten classes."""
-    return t.embeddings.select(
+    return spread(t.embeddings, "vec_id").select(
         F.col("vec_id").alias("row_id"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
         F.col("label").cast("double").alias("y"),
@@ -59,7 +59,7 @@ def flags_table(t) -> DataFrame:
     The table has no row key: the order key decides the split, so that items of
     one order stay together.
     """
-    li = t.lineitem.select(
+    li = spread(t.lineitem).select(
         F.col("l_orderkey").alias("row_id"),
         *FLAG_FEATURES,
         code_of(F.col("l_returnflag"), ["A", "N", "R"]).alias("y"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabscore.operators import profile, reshape
 from tabscore.plans.q_tables import lineitem_with_gaps
 from tabscore.plans.registry import query
+from tabscore.session import spread
 
 # A table with declared roles: documents, of which only a part has the labels.
 PAPERS = profile.Declared(numeric=["n_chars", "absent"], text=["text"], label=["quality", "toxic"])
@@ -27,6 +28,12 @@ def datasets(t) -> dict:
     }
 
 
+def wide_datasets(t) -> dict:
+    """The same tables on all cores: a distinct count makes one record per cell."""
+    gaps = datasets(t)
+    return {**gaps, "lineitem": spread(gaps["lineitem"]), "orders": spread(gaps["orders"])}
+
+
 DECLARED = {"papers": PAPERS}
 COLUMNS = {
     "lineitem": {
@@ -180,7 +187,7 @@ RATIO_SQL = PROF_SQL + ", ratios AS (" + " UNION ALL ".join(
 
 @query("distinct_ratio", f"""WITH {RATIO_SQL} SELECT dataset, position::bigint AS position, "column", rows, "distinct", ratio FROM ratios""")
 def distinct_ratio(t):
-    return profile.distinct_ratio(datasets(t)).withColumn("position", F.col("position").cast("bigint"))
+    return profile.distinct_ratio(wide_datasets(t)).withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("diversity_summary", f"""
@@ -191,7 +198,7 @@ SELECT dataset, round_even(avg(ratio), 4) AS avg_diversity,
        string_agg("column" || '=' || printf('%.4f', ratio), ',' ORDER BY position) AS all_scores
 FROM ratios GROUP BY dataset""")
 def diversity_summary(t):
-    out = profile.diversity_summary(profile.distinct_ratio(datasets(t)))
+    out = profile.diversity_summary(profile.distinct_ratio(wide_datasets(t)))
     shown = F.transform(
         F.map_entries("all_scores"), lambda e: F.format_string("%s=%.4f", e["key"], e["value"])
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabscore.functions.scalars import choose
 from tabscore.operators.ranks import exact_median
 from tabscore.operators.split import in_train
-from tabscore.session import join_lookup
+from tabscore.session import join_lookup, spread
 from tabscore.sources.tables import Tables
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -25,9 +25,9 @@ def sql_hash(key: str, salt: int | str = 42) -> str:
     return f"('0x'||substr(md5('{salt}:'||({key})::varchar),1,8))::bigint"
 
 
-def sales(t: Tables) -> DataFrame:
+def sales(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """One row per order, without the customer: key, target, year, priority, status."""
-    return t.orders.select(
+    return (t.orders if orders is None else orders).select(
         F.col("o_orderkey").alias("row_id"),
         F.col("o_custkey").alias("custkey"),
         F.col("o_totalprice").alias("y"),
@@ -38,7 +38,7 @@ def sales(t: Tables) -> DataFrame:
     )
 
 
-def sales_with_customer(t: Tables) -> DataFrame:
+def sales_with_customer(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """The same with the customer's balance and segment.
 
     A plain equi-join: Spark broadcasts the customers only if they are small and
@@ -47,7 +47,7 @@ def sales_with_customer(t: Tables) -> DataFrame:
     cust = t.customer.select(
         F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("segment")
     )
-    return sales(t).join(cust, "custkey")
+    return sales(t, orders).join(cust, "custkey")
 
 
 SALES_SQL = f"""
@@ -65,8 +65,12 @@ def code_of(c: Column, names: list[str]) -> Column:
 
 
 def sales_features(t: Tables) -> DataFrame:
-    """Numeric features for the model queries: balance, year, priority code."""
-    return sales_with_customer(t).select(
+    """Numeric features for the model queries: balance, year, priority code.
+
+    A fit passes over its rows many times, so it should use every core even if
+    the orders are one small file.
+    """
+    return sales_with_customer(t, spread(t.orders, "o_orderkey")).select(
         "row_id", "y", "segment", "is_train",
         F.col("acctbal"),
         F.col("yr").cast("double").alias("yr"),
