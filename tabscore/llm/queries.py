@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tabscore.llm.packing import pack
 from tabscore.llm.pieces import encode_texts
+from tabscore.llm.simhash import near_duplicates
+from tabscore.llm.substrings import dedup_substrings
 from tabscore.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +27,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_substring_dedup")
+def op1(t: Tables) -> DataFrame:
+    return dedup_substrings(t.documents.select("doc_id", "text"))
+
+
+@query("op2_simhash")
+def op2(t: Tables) -> DataFrame:
+    return near_duplicates(t.documents)
+
+
 @query("op8_sentencepiece")
 def op8(t: Tables) -> DataFrame:
     return encode_texts(t.documents, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_packing")
+def op10(t: Tables) -> DataFrame:
+    return pack(t.documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
