@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tabscore.llm.language import identify
 from tabscore.llm.packing import pack
 from tabscore.llm.pieces import encode_texts
 from tabscore.llm.simhash import near_duplicates
 from tabscore.llm.substrings import dedup_substrings
+from tabscore.llm.toxicity import toxicity
 from tabscore.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +47,13 @@ def op8(t: Tables) -> DataFrame:
 @query("op10_packing")
 def op10(t: Tables) -> DataFrame:
     return pack(t.documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op4_language")
+def op4(t: Tables) -> DataFrame:
+    return identify(t.documents)
+
+
+@query("op7_toxicity")
+def op7(t: Tables) -> DataFrame:
+    return toxicity(t.documents, t.labels)
