@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows that a Python task turns over at once, however large an Arrow batch is.
 ROWS_AT_ONCE = 512
 
+# The folder that holds the library.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the library wherever the session was started; a cluster gets it by ``--py-files``."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    return spark
+
 
 def column(name: str) -> Column:
     """A column by its exact name, dots and blanks included."""
@@ -46,8 +56,3 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def digest_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra ones are neither read nor able to clash."""
-    return df.select(*[column(n).alias(n) for n in names])

@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tabscore.llm.common import reach
 from tabscore.llm.language import identify
+from tabscore.llm.neighbours import nearest
 from tabscore.llm.packing import pack
 from tabscore.llm.pieces import encode_texts
+from tabscore.llm.secrets import secrets
 from tabscore.llm.simhash import near_duplicates
 from tabscore.llm.substrings import dedup_substrings
 from tabscore.llm.toxicity import toxicity
@@ -21,7 +24,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Tables(reach(spark), folder))
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -57,3 +60,39 @@ def op4(t: Tables) -> DataFrame:
 @query("op7_toxicity")
 def op7(t: Tables) -> DataFrame:
     return toxicity(t.documents, t.labels)
+
+
+@query("op9_prefix_forest")
+def op9(t: Tables) -> DataFrame:
+    return nearest(t.embeddings)
+
+
+SECRETS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, t, 'assign' AS kind, 0 AS n, string_split_regex(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS parts,
+    regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS hits,
+    regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS vals FROM d
+  UNION ALL SELECT doc_id, t, 'access', 1, string_split_regex(t, 'AKIA[A-Z0-9]{16,}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{16,}'), NULL FROM d
+  UNION ALL SELECT doc_id, t, 'hex', 2, string_split_regex(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}'), NULL FROM d
+  UNION ALL SELECT doc_id, t, 'jwt', 3, string_split_regex(t, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'), regexp_extract_all(t, 'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'), NULL FROM d
+  UNION ALL SELECT doc_id, t, 'pem', 4, string_split_regex(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----'), regexp_extract_all(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----'), NULL FROM d),
+e AS (SELECT doc_id, kind, n, unnest(range(1, len(hits) + 1)) AS i, parts, hits, vals FROM m WHERE len(hits) > 0),
+s AS (
+  SELECT doc_id, kind, n, length(hits[i]) AS size, vals[i] AS val,
+    sum(length(parts[i])) OVER w + sum(length(hits[i])) OVER w - length(hits[i]) AS start
+  FROM e WINDOW w AS (PARTITION BY doc_id, n ORDER BY i)),
+k AS (SELECT doc_id, kind, n, start::BIGINT AS a, (start + size)::BIGINT AS b FROM s
+  WHERE (n = 0 AND length(val) >= 6) OR (n = 1 AND size >= 20) OR (n = 2 AND size >= 24) OR n > 2),
+g AS (SELECT doc_id, count(*) FILTER (n = 0) AS n_assign, count(*) FILTER (n = 1) AS n_access, count(*) FILTER (n = 2) AS n_hex,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, n) FILTER (n < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, n) AS spans
+  FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+@query("op5_secrets", SECRETS_SQL)
+def op5(t: Tables) -> DataFrame:
+    return secrets(t.documents)
