@@ -12,6 +12,7 @@ from tabscore.llm.language import identify
 from tabscore.llm.neighbours import nearest
 from tabscore.llm.packing import pack
 from tabscore.llm.pieces import encode_texts
+from tabscore.llm.quality import DOUBT, LEAST_WORDS, RISK, SIGNALS, quality
 from tabscore.llm.secrets import secrets
 from tabscore.llm.simhash import near_duplicates
 from tabscore.llm.substrings import dedup_substrings
@@ -96,3 +97,45 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 @query("op5_secrets", SECRETS_SQL)
 def op5(t: Tables) -> DataFrame:
     return secrets(t.documents)
+
+
+_GRID = ", ".join(f"('{s}', {i}, {c!r}::DOUBLE)" for s, grid in SIGNALS.items() for i, c in enumerate(grid))
+
+QUALITY_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols
+  FROM documents),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, sum(least(3, after - i)) AS n FROM (SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), i + 3) AS after FROM r) GROUP BY doc_id),
+c AS (
+  SELECT w.doc_id, stratum, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+f AS (
+  SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    n_symbols / greatest(word_chars, 1) AS symbol_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share,
+    n_repeat_words / greatest(n_words, 1) AS repeat_share, word_chars / greatest(n_words, 1) AS long_words, -word_chars / greatest(n_words, 1) AS short_words
+  FROM c),
+u AS (UNPIVOT (SELECT doc_id, stratum, base_failed, symbol_share, dup_line_share, repeat_share, long_words, short_words FROM f)
+  ON symbol_share, dup_line_share, repeat_share, long_words, short_words INTO NAME signal VALUE v),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+grid(signal, i, c) AS (VALUES {_GRID}),
+k AS (
+  SELECT stratum, u.signal, i, c, count(*) AS n, count(*) FILTER (v > c) AS k
+  FROM u JOIN good ON u.doc_id = good.doc_id JOIN grid ON u.signal = grid.signal WHERE NOT base_failed GROUP BY ALL),
+p AS (SELECT {RISK}::DOUBLE / {len(SIGNALS)} AS p, {DOUBT}::DOUBLE / (SELECT count(*) FROM k) AS doubt),
+tails AS (
+  SELECT stratum, signal, i, c, n, k, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p.p) + (n - j) * ln(1 - p.p))) FROM range(0, k + 1) AS x(j)) AS tail
+  FROM k, p WHERE k <= n * p.p),
+cut AS (SELECT stratum, signal, arg_min(c, i) AS c FROM tails, p WHERE tail <= p.doubt GROUP BY ALL),
+bad AS (SELECT DISTINCT doc_id FROM u JOIN cut ON u.stratum = cut.stratum AND u.signal = cut.signal WHERE v > cut.c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
+"""
+
+
+@query("op6_quality", QUALITY_SQL)
+def op6(t: Tables) -> DataFrame:
+    return quality(t.documents, t.labels)
