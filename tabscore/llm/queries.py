@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tabscore.llm.chat import format_chats
 from tabscore.llm.common import reach
 from tabscore.llm.language import identify
 from tabscore.llm.neighbours import nearest
@@ -139,3 +140,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 @query("op6_quality", QUALITY_SQL)
 def op6(t: Tables) -> DataFrame:
     return quality(t.documents, t.labels)
+
+
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY ALL),
+r AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n_results, min(text) AS result FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level
+  FROM (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM c)),
+b AS (SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.turn, r.turn) AS turn, l.conv_id IS NOT NULL AS called, r.conv_id IS NOT NULL AS answered, text, level, n_results, result
+  FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn)
+SELECT conv_id, conv_id || ':' || turn AS call_id, CASE WHEN called THEN 'reply' END AS name, level, coalesce(n_results, 0) AS n_results,
+  called AND answered AS linked, called AND text IS NOT NULL AS valid,
+  CASE WHEN called THEN '{"arguments":{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || turn || '}' ELSE '{"arguments":null' END
+    || ',"id":"' || conv_id || ':' || turn || '","name":' || CASE WHEN called THEN '"reply"' ELSE 'null' END || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') || '}' AS call_json
+FROM b
+"""
+
+
+@query("op3_chat", CHAT_SQL)
+def op3(t: Tables) -> DataFrame:
+    return format_chats(t.conversations)
