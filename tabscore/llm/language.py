@@ -178,8 +178,10 @@ def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> ByteNet | None:
 def predict(docs: DataFrame, net: ByteNet | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep``, then ``lang_pred`` and ``score`` of every whole text."""
     text = column("text").cast("string")
-    source = docs.select(*[column(k).alias(k) for k in keep], F.when(text.rlike(r"\p{L}"), text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", lang_pred string, score double"
+    # Kept columns travel under plain names: Arrow tasks can not take dots in them.
+    source = docs.select(*[column(k).alias(f"kept_{i}") for i, k in enumerate(keep)], F.when(text.rlike(r"\p{L}"), text).alias("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", lang_pred string, score double"
+    carried = source.columns[:-1]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(batch.num_columns - 1)
@@ -197,9 +199,9 @@ def predict(docs: DataFrame, net: ByteNet | None, keep: tuple[str, ...] = ("doc_
             best = total.argmax(axis=1)
             scores[some] = (total.max(axis=1)[some] / total.sum(axis=1)[some])
             names = [net.languages[b] if s else UNKNOWN for b, s in zip(best, some)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.minimum(scores, 1.0))], [*keep, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.minimum(scores, 1.0))], [*carried, "lang_pred", "score"])
 
-    return source.mapInArrow(per_batch(run), schema)
+    return source.mapInArrow(per_batch(run), schema).toDF(*keep, "lang_pred", "score")
 
 
 def _by_bytes(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:

@@ -217,8 +217,10 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", keep: tup
     Returns the columns of ``keep``, then ``n_tokens``, ``ids_sha256`` and
     ``decoded_sha256``, with ``ids`` also the ids and the decoded text. Map-only.
     """
-    source = docs.select(*[column(k).alias(k) for k in keep], column(text).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    # Kept columns travel under plain names: Arrow tasks can not take dots in them.
+    source = docs.select(*[column(k).alias(f"kept_{i}") for i, k in enumerate(keep)], column(text).cast("string").alias("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    carried = source.columns[:-1]
     schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,10 +240,11 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", keep: tup
                     all_ids.append([int(i) for i in joined.split(",")] if joined else [])
                     all_texts.append(back)
             out = batch.columns[:-1] + [pa.array(counts, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
-            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
+            names = [*carried, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
                 out += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return source.mapInArrow(run, schema)
+    out = source.mapInArrow(run, schema)
+    return out.toDF(*keep, *out.columns[len(keep) :])
