@@ -117,7 +117,11 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     m = m.filter("conv_id is not null and turn is not null and role is not null")
 
     def named(turn: Column) -> Column:
-        return F.concat_ws(":", F.col("conv_id"), turn)
+        return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+
+    def tool_id(given: Column) -> Column:
+        # Null without an identifier: such a message neither calls nor answers.
+        return F.concat(F.col("conv_id").cast("string"), F.lit(":tool:"), given)
 
     told = F.when((F.col("role") == "assistant") & F.startswith(F.ltrim("text"), F.lit("{")), F.from_json("text", TOOL_CALLS)["tool_calls"])
     asked = m.filter("role = 'user'").select(
@@ -129,13 +133,13 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     made = m.withColumn("made", F.explode(told)).select(
         "conv_id",
-        F.concat_ws(":", "conv_id", F.lit("tool"), "made.id").alias("call_id"),
+        tool_id(F.col("made.id")).alias("call_id"),
         "made.name",
         "made.arguments",
-        F.when(F.col("made.after").isNotNull(), F.concat_ws(":", "conv_id", F.lit("tool"), "made.after")).alias("after"),
+        tool_id(F.col("made.after")).alias("after"),
     )
     plain = m.filter((F.col("role") == "assistant") & told.isNull()).select("conv_id", named(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    tool = m.filter("role = 'tool'").select("conv_id", F.concat_ws(":", "conv_id", F.lit("tool"), F.get_json_object("text", "$.tool_call_id")).alias("call_id"), F.get_json_object("text", "$.content").alias("content"))
+    tool = m.filter("role = 'tool'").select("conv_id", tool_id(F.get_json_object("text", "$.tool_call_id")).alias("call_id"), F.get_json_object("text", "$.content").alias("content"))
     return asked.union(made), plain.union(tool)
 
 

@@ -62,14 +62,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and the signed 64-bit ``fp`` of each row; map-only."""
-    source = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
+    """``doc_id``, ``mark`` (a hash of the whole text) and the signed 64-bit ``fp`` of each row; map-only."""
+    whole = column(text).cast("string")
+    source = docs.select(column(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("mark"), whole.alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        values = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return source.mapInArrow(per_batch(run), "doc_id long, fp long")
+    return source.mapInArrow(per_batch(run), "doc_id long, mark long, fp long")
 
 
 # ---- BK-trees in arrays -------------------------------------------------------
@@ -235,13 +236,17 @@ def _state(links: DataFrame) -> tuple[int, int]:
     return n, int(total or 0)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row."""
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``doc_id``, ``mark``, ``fp`` and ``component_id`` of every row."""
     marked = materialize(fingerprints(docs, doc_id, text), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(near_links(distinct.select("fp"), radius))
     labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = labelled.select("fp", "root").join(names, "root").select(F.col("fp").alias("k"), "component_id")
-    out = marked.join(by_print, F.col("fp") == F.col("k"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(by_print, F.col("fp") == F.col("k")).select("doc_id", "mark", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row."""
+    return groups(docs, doc_id, text, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
