@@ -10,9 +10,10 @@ def hash32(key: Column, salt: int | str = 42) -> Column:
     """First 32 bits of ``md5('<salt>:<key>')`` as a bigint.
 
     Depends on the key alone, so splits and samples do not change with the
-    partitioning, the file order or a retried task.
+    partitioning, the file order or a retried task. A missing key hashes like an
+    empty one, so that its row has a place too.
     """
-    digest = F.md5(F.concat(F.lit(f"{salt}:"), key.cast("string")))
+    digest = F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(key.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 

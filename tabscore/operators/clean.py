@@ -61,12 +61,6 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, codes: DataFra
     return coded.withColumn(out, F.col(f"__{col}_code")).drop(key, f"__{col}_code")
 
 
-def encode_text_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    for c in cols:
-        df = label_encode(df, c)
-    return df
-
-
 def mean_impute(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Fill each column with its mean. A column without any value is dropped.
 

@@ -138,9 +138,5 @@ def apply_model(model: Model, df: DataFrame, out: str) -> DataFrame:
     return scored.drop(*extra).withColumnRenamed("prediction", out)
 
 
-def class_count(df: DataFrame, label: str) -> int:
-    return int(df.agg(F.max(label)).first()[0]) + 1
-
-
 def boosted_for(classes: int, binary: GBTClassifier) -> Estimator:
     return binary if classes <= 2 else per_class(binary)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tabscore.functions.scalars import round_half_even
 from tabscore.operators.clean import existing, numeric_columns, text_columns
 from tabscore.operators.reshape import stack, to_matrix
+from tabscore.sources.tables import nan_to_null
 
 TYPES = ["numeric", "categorical", "text", "label"]
 
@@ -67,6 +68,7 @@ def column_profile(
 
 
 def _one_profile(name: str, df: DataFrame, declared: Declared | None) -> DataFrame:
+    df = nan_to_null(df)
     kinds = {c: t for t, cols in columns_by_type(df, declared).items() for c in cols}
     counts = df.agg(F.count("*").alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
     cells = F.array(
@@ -212,6 +214,7 @@ def distinct_counts(df: DataFrame, name: str) -> DataFrame:
     Several ``count(distinct)`` in one aggregate would copy whole rows once per
     column; here a copy holds one short value, and repeats collapse before the shuffle.
     """
+    df = nan_to_null(df)
     cells = F.array(
         *[F.struct(F.lit(i).alias("position"), _identity(df, c).alias("v")) for i, c in enumerate(df.columns)]
     )

@@ -78,7 +78,8 @@ def _values_at(x: DataFrame, rank: int, n: int, cuts: list[float], finish_rows:
 def hash_prefix_cut(df: DataFrame, key: str, count: Callable[[int], int], salt: int | str) -> Column:
     """True for exactly ``count(rows)`` rows: those first by (hash of the key, key).
 
-    The key should be unique; rows that share a key stay on one side.
+    The key should be unique; rows that share a key stay on one side. A missing key
+    comes after all others of its hash value.
 
     Two histograms of at most 65,536 bins find the hash value at the border; the
     few rows that share this 32-bit value are settled by key. Only the
@@ -96,7 +97,8 @@ def hash_prefix_cut(df: DataFrame, key: str, count: Callable[[int], int], salt:
     tied = keyed.where(F.col("h") == edge).groupBy(F.col("k").alias("bin")).count()
     last = _border_bin(tied, lambda n: second["left"])["bin"]
     h = hash32(F.col(key), salt)
-    return (h < edge) | ((h == edge) & (F.col(key) <= F.lit(last)))
+    upto = F.lit(True) if last is None else F.coalesce(F.col(key) <= F.lit(last), F.lit(False))
+    return (h < edge) | ((h == edge) & upto)
 
 
 def _border_bin(bins: DataFrame, count: Callable[[int], int]) -> dict | None:

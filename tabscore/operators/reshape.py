@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Columns that a pivot may make.
+MAX_COLUMNS = 10_000
+
 SCORE_SCHEMA = T.StructType(
     [
         T.StructField("dataset", T.StringType()),
@@ -34,6 +37,14 @@ def melt(df: DataFrame, ids: list[str], values: list[str], var: str, val: str) -
     return df.unpivot(ids, values, var, val)
 
 
+def column_values(df: DataFrame, col: str, most: int = MAX_COLUMNS) -> list:
+    """Sorted distinct values of a column that become columns of a wide table; too many are an error, none is left out."""
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} values: too many for columns")
+    return sorted(r[0] for r in found)
+
+
 def to_matrix(long: DataFrame, row: str | list[str], col: str, val: str, names: list[str]) -> DataFrame:
     """Long to wide with a known list of columns, so Spark need not look for them."""
     keys = [row] if isinstance(row, str) else row

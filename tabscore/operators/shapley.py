@@ -42,14 +42,15 @@ def background(
 
 
 def _place(df: DataFrame, key: str, x: Column) -> DataFrame:
-    """Explained rows as ``__key, x``, spread by key before they multiply.
+    """Explained rows as ``__row, __key, x``, spread by row before they multiply.
 
     The rows are small now and many later. With the number of partitions stated,
-    Spark does not merge them again by their present size, and the sums per key
-    need no further shuffle.
+    Spark does not merge them again by their present size, and the sums per row
+    need no further shuffle. A repeated key is several rows, each explained on its own
+    and none of them in one task with all others.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(F.col(key).alias("__key"), x.alias("x")).repartition(n, "__key")
+    return df.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), x.alias("x")).repartition(n, "__row")
 
 
 def coalition_weights(m: int) -> list[float]:
@@ -72,12 +73,12 @@ def shapley_exact(
     """
     m = _check(features)
     w = coalition_weights(m)
-    paired = _place(df, key, point(features)).select("__key", "x", F.explode(bg).alias("b"))
+    paired = _place(df, key, point(features)).select("__row", "__key", "x", F.explode(bg).alias("b"))
     values = {
         s: formula([F.col("x" if s >> j & 1 else "b")[j] for j in range(m)])
         for s in range(1 << m)
     }
-    scored = paired.select("__key", *[v.alias(f"v{s}") for s, v in values.items()])
+    scored = paired.select("__row", "__key", *[v.alias(f"v{s}") for s, v in values.items()])
 
     def gain(j: int) -> Column:
         out = F.lit(0.0)
@@ -86,8 +87,8 @@ def shapley_exact(
                 out = out + w[s.bit_count()] * (F.col(f"v{s | 1 << j}") - F.col(f"v{s}"))
         return out
 
-    phis = scored.groupBy(F.col("__key").alias(key)).agg(*[F.avg(gain(j)).alias(f) for j, f in enumerate(features)])
-    return phis.unpivot([key], features, "feature", "phi")
+    phis = scored.groupBy("__row", "__key").agg(*[F.avg(gain(j)).alias(f) for j, f in enumerate(features)])
+    return phis.select(F.col("__key").alias(key), *features).unpivot([key], features, "feature", "phi")
 
 
 def shapley_linear(
@@ -148,21 +149,21 @@ def shapley_model(
     )
     mixed = (
         _place(df, key, point(features))
-        .select("__key", "x", F.posexplode(bg).alias("i", "b"))
-        .select("__key", "x", "b", F.explode(masks).alias("mask"))
+        .select("__row", "__key", "x", F.posexplode(bg).alias("i", "b"))
+        .select("__row", "__key", "x", "b", F.explode(masks).alias("mask"))
     )
     bit = [F.col("mask").bitwiseAND(F.lit(1 << j)) != 0 for j in range(m)]
     mix = F.array(*[F.when(bit[j], F.col("x")[j]).otherwise(F.col("b")[j]) for j in range(m)])
-    scored = score(mixed.select("__key", "mask", array_to_vector(mix).alias(vector)))
+    scored = score(mixed.select("__row", "__key", "mask", array_to_vector(mix).alias(vector)))
     share = F.when(F.col("mask") == full, F.col("v")).otherwise(F.col("v") / F.size(bg)).alias("share")
     one = scored.select(
-        "__key", "mask", F.bit_count("mask").alias("s"), F.posexplode_outer("out").alias("cls", "v")
-    ).select("__key", "mask", "s", "cls", share)
+        "__row", "__key", "mask", F.bit_count("mask").alias("s"), F.posexplode_outer("out").alias("cls", "v")
+    ).select("__row", "__key", "mask", "s", "cls", share)
     gains = [
         F.sum(F.when(bit[j], w[F.col("s") - 1]).otherwise(-F.get(w, F.col("s"))) * F.col("share")).alias(f"p{j}")
         for j in range(m)
     ]
-    sums = one.groupBy("__key", "cls").agg(*gains)
+    sums = one.groupBy("__row", "__key", "cls").agg(*gains)
     base = _background_scores(df, bg, score, vector)[F.col("cls")] * coalition_weights(m)[0]
     phis = sums.select(F.col("__key").alias(key), "cls", *[(F.col(f"p{j}") - base).alias(f) for j, f in enumerate(features)])
     return phis.unpivot([key, "cls"], features, "feature", "phi")
@@ -189,42 +190,53 @@ def shapley_sampled(
 ) -> DataFrame:
     """Estimated values for many features: ``key, cls, feature, phi``.
 
-    Each explained row draws ``pairs`` feature orders by hash and uses each
-    forwards and backwards against one background row (Strumbelj and Kononenko,
-    2014). The estimate still sums to f(x) minus the mean drawn f(b).
+    Each explained row draws ``pairs`` feature orders by hash and uses each forwards
+    and backwards (Strumbelj and Kononenko, 2014), every time against all background
+    rows, as v(S) is a mean over them. Features in which row and background row agree
+    are left out of an order: switching them changes nothing. The estimate sums to f(x)
+    minus the mean f(b), and every feature of every row has a value.
     """
     m = len(features)
     hashes = F.array(
         *[F.struct(F.xxhash64(F.lit(seed), "__key", "draw", F.lit(j)), F.lit(j + 1).alias("j")) for j in range(m)]
     )
     order = F.transform(F.array_sort(hashes), lambda e: e["j"])
-    pick = F.pmod(F.xxhash64(F.lit(f"{seed}:bg"), "__key", "draw"), F.size(bg)).cast("int")
-    drawn = (
+    ordered = (
         _place(df, key, point(features) if x is None else x)
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("draw"))
-        .select("__key", "x", F.get(bg, pick).alias("b"), order.alias("fwd"))
-        .select("__key", "x", "b", F.explode(F.array("fwd", F.reverse("fwd"))).alias("order"))
+        .select("*", order.alias("fwd"))
+        .select("__row", "__key", "x", "draw", F.posexplode(F.array("fwd", F.reverse("fwd"))).alias("way", "order"))
+    )
+    apart = F.filter("order", lambda j: F.get("x", j - 1) != F.get("b", j - 1))
+    drawn = (
+        ordered.select("*", F.posexplode(bg).alias("i", "b"))
+        .select("__row", "__key", "x", "b", ((F.col("draw") == 0) & (F.col("way") == 0) & (F.col("i") == 0)).alias("first"), apart.alias("order"))
         .withColumn("rank", F.transform(F.sequence(F.lit(1), F.lit(m)), lambda j: F.array_position("order", j)))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("step"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.size("order"))).alias("step"))
     )
     mix = F.transform(
         F.arrays_zip("x", "b", "rank"),
         lambda e: F.when(e["rank"] <= F.col("step"), e["x"]).otherwise(e["b"]),
     )
-    scored = score(drawn.select("__key", "order", "step", array_to_vector(mix).alias(vector)))
+    scored = score(drawn.select("__row", "__key", "first", "order", "step", array_to_vector(mix).alias(vector)))
     # A step adds its score to the feature just switched on and takes it from the next one.
     moves = F.array(
         F.struct(F.get("order", F.col("step") - 1).alias("j"), F.lit(1.0).alias("sign")),
         F.struct(F.get("order", F.col("step")).alias("j"), F.lit(-1.0).alias("sign")),
     )
+    # Once a row, every feature gets a zero: one that never differs has the value zero.
+    zeros = F.transform(F.sequence(F.lit(1), F.lit(m)), lambda j: F.struct(j.alias("j"), F.lit(0.0).alias("sign")))
+    kind = "array<struct<j:int,sign:double>>"
+    all_moves = F.when(F.col("first") & (F.col("step") == 0), F.concat(moves.cast(kind), zeros.cast(kind))).otherwise(moves.cast(kind))
     one = (
-        scored.select("__key", moves.alias("moves"), F.posexplode_outer("out").alias("cls", "v"))
-        .select("__key", "cls", "v", F.inline("moves"))
+        scored.select("__row", "__key", all_moves.alias("moves"), F.posexplode_outer("out").alias("cls", "v"))
+        .select("__row", "__key", "cls", "v", F.inline("moves"))
         .where("j is not null")
     )
     names = F.array(*[F.lit(f) for f in features])
+    share = 2.0 * pairs * F.size(bg)
     return (
-        one.groupBy("__key", "cls", "j").agg((F.sum(F.col("v") * F.col("sign")) / (2 * pairs)).alias("phi"))
+        one.groupBy("__row", "__key", "cls", "j").agg((F.sum(F.col("v") * F.col("sign")) / share).alias("phi"))
         .select(F.col("__key").alias(key), "cls", F.get(names, F.col("j") - 1).alias("feature"), "phi")
     )
 

@@ -91,20 +91,28 @@ def minmax_roundtrip(t):
     )
 
 
-@query("hash_split", f"SELECT o_orderkey AS row_id, ({sql_hash('o_orderkey')} % 10 < 8)::int AS is_train FROM orders")
+@query("hash_split", f"""
+SELECT coalesce(row_id::varchar, 'none') AS row_id, ({sql_hash('row_id')} % 10 < 8)::int AS is_train
+FROM (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey END AS row_id FROM orders)""")
 def hash_split(t):
-    keyed = t.orders.select(F.col("o_orderkey").alias("row_id"))
-    return split.hash_split(keyed, "row_id").withColumn("is_train", F.col("is_train").cast("int"))
+    """Rows without a key have a place too."""
+    key = F.col("o_orderkey")
+    keyed = t.orders.select(F.when(key % 50 != 0, key).alias("row_id"))
+    return _shown(split.hash_split(keyed, "row_id"))
+
+
+def _shown(df):
+    return df.select(F.coalesce(F.col("row_id").cast("string"), F.lit("none")).alias("row_id"), F.col("is_train").cast("int").alias("is_train"))
 
 
 @query("exact_split", f"""
-SELECT row_id, (rn > ceil(0.2 * n))::int AS is_train FROM (
-  SELECT o_orderkey AS row_id, count(*) OVER () AS n,
-         row_number() OVER (ORDER BY {sql_hash('o_orderkey')}, o_orderkey) AS rn
-  FROM orders)""")
+SELECT coalesce(row_id::varchar, 'none') AS row_id, (rn > ceil(0.2 * n))::int AS is_train FROM (
+  SELECT row_id, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY {sql_hash('row_id')}, row_id NULLS LAST) AS rn
+  FROM (SELECT nullif(o_orderkey, 1) AS row_id FROM orders))""")
 def exact_split(t):
-    keyed = t.orders.select(F.col("o_orderkey").alias("row_id"))
-    return split.exact_split(keyed, "row_id").withColumn("is_train", F.col("is_train").cast("int"))
+    keyed = t.orders.select(F.nullif("o_orderkey", F.lit(1)).alias("row_id"))
+    return _shown(split.exact_split(keyed, "row_id"))
 
 
 @query("assign_group", f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabscore.operators import profile, reshape
+from tabscore.operators import profile
 from tabscore.plans.q_tables import lineitem_with_gaps
 from tabscore.plans.registry import query
 from tabscore.session import spread
@@ -14,17 +14,17 @@ PAPERS = profile.Declared(numeric=["n_chars", "absent"], text=["text"], label=["
 TASKS = {
     "lineitem": ("l_returnflag", "Classification"),
     "orders": ("o_totalprice", "Regression"),
-    "papers": ("Labels (multi-label)", "Multi-label Classification"),
+    "papers": ("quality and toxic", "Several labels"),
 }
 
 
 def datasets(t) -> dict:
-    labelled = t.documents.join(t.labels, "doc_id")
-    rest = t.documents.join(t.labels, "doc_id", "left_anti")
+    # One join; a document without a quality label belongs to the test part.
+    papers = t.documents.join(t.labels, "doc_id", "left")
     return {
         "lineitem": lineitem_with_gaps(t),
         "orders": t.orders.withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P"))),
-        "papers": reshape.stack_tagged({"Train": labelled, "Test": rest}),
+        "papers": papers.withColumn("source", F.when(F.col("quality").isNull(), "Test").otherwise("Train")),
     }
 
 
@@ -163,8 +163,8 @@ def feature_type_share(t):
 @query("dataset_summary", f"""
 WITH {PROF_SQL}
 SELECT dataset, max(rows) AS rows, count(*) AS columns, '(' || max(rows) || ', ' || count(*) || ')' AS shape,
-       CASE dataset WHEN 'lineitem' THEN 'l_returnflag' WHEN 'orders' THEN 'o_totalprice' ELSE 'Labels (multi-label)' END AS target,
-       CASE dataset WHEN 'lineitem' THEN 'Classification' WHEN 'orders' THEN 'Regression' ELSE 'Multi-label Classification' END AS task,
+       CASE dataset WHEN 'lineitem' THEN 'l_returnflag' WHEN 'orders' THEN 'o_totalprice' ELSE 'quality and toxic' END AS target,
+       CASE dataset WHEN 'lineitem' THEN 'Classification' WHEN 'orders' THEN 'Regression' ELSE 'Several labels' END AS task,
        round_even(avg(nulls / rows::double) * 100, 2) AS pct_missing,
        {", ".join(f"count(*) FILTER (WHERE type = '{k}') AS n_{k}, {_names(k)} AS {k}_columns" for k in ("numeric", "text", "label"))},
        '{{' || string_agg('"' || "column" || '":' || nulls, ',' ORDER BY position) || '}}' AS missing_per_column

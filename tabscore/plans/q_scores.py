@@ -154,7 +154,9 @@ g AS (SELECT model, sqrt(avg({SQ}) FILTER (WHERE code = 0)) AS a, sqrt(avg({SQ})
 SELECT model, round_even(a, 2) AS a_rmse, round_even(b, 2) AS b_rmse, round_even(abs(a - b), 2) AS disparity FROM g""")
 def fairness_by_column(t):
     """Groups are the codes 0 and 1 of a text column; the other codes are ignored."""
-    coded = clean.label_encode(stand_in_predictions(t), "segment")
+    # The codes come from the small table that holds the column, not from the predictions.
+    codes = clean.label_codes(t.customer.select(F.col("c_mktsegment").alias("segment")), "segment")
+    coded = clean.label_encode(stand_in_predictions(t), "segment", codes=codes)
     long = coded.unpivot(["segment", "y"], STAND_INS, "model", "pred")
     return fairness.group_rmse(long, MODEL, "segment", 0, 1, digits=2)
 
@@ -184,7 +186,7 @@ def fairness_matrix(t):
     per = stand_ins_long(t).groupBy("model", "segment").agg(
         F.sqrt(F.avg(metrics.sq_error(F.col("y"), F.col("pred")))).alias("rmse")
     )
-    return reshape.to_matrix(rounded(per, {"rmse": 4}), "model", "segment", "rmse", SEGMENTS)
+    return reshape.to_matrix(rounded(per, {"rmse": 4}), "model", "segment", "rmse", reshape.column_values(t.customer, "c_mktsegment"))
 
 
 # The hand-set parts of the query models: as in a pipeline in which one model reads better.

@@ -10,11 +10,10 @@ from tabscore.operators.fairness import attach_group
 from tabscore.operators.ranks import exact_median
 from tabscore.operators.split import temporal_split
 from tabscore.plans.registry import query
-from tabscore.plans.roles import SALES_SQL, sales, sales_with_customer, sql_hash
+from tabscore.plans.roles import SALES_SQL, sales, sql_hash
 from tabscore.session import scratch_path
 from tabscore.sources import csvio
 
-YEARS = [str(y) for y in range(1995, 2002)]
 EVALS = sql_hash("o_orderkey") + " % 10 < 8"
 
 
@@ -56,11 +55,14 @@ def csv_scan_na_tokens(t):
 
 
 @query("sink_roundtrip_csv", """
-SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice, o_orderpriority,
+       '  ' || o_orderstatus || ',"' || o_orderpriority || '"' || chr(10) || 'next ' AS note FROM orders""")
 def sink_roundtrip_csv(t):
+    """Blanks, commas, quotes and line breaks come back as they were."""
+    note = F.concat(F.lit("  "), "o_orderstatus", F.lit(',"'), "o_orderpriority", F.lit('"\nnext '))
     out = t.orders.select(
         "o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"),
-        "o_totalprice", "o_orderpriority",
+        "o_totalprice", "o_orderpriority", note.alias("note"),
     )
     path = scratch_path(t.spark, "csv-sink")
     csvio.write_csv(out, path)
@@ -133,7 +135,7 @@ def melt_years(t):
     s = sales(t)
     cell = F.when(~((F.col("priority") == "5-LOW") & (F.col("yr") == 1999)), F.col("y"))
     wide = (
-        s.groupBy("priority").pivot("yr", [int(y) for y in YEARS]).agg(F.sum(cell))
+        s.groupBy("priority").pivot("yr", reshape.column_values(s, "yr")).agg(F.sum(cell))
     )
     long = reshape.melt(wide, ["priority"], clean.year_columns(wide), "year", "price")
     kept = clean.drop_missing(long, ["price"])
@@ -236,6 +238,6 @@ def fillna_const(t):
 @query("attach_group", f"""
 WITH {SALES_SQL} SELECT row_id, segment AS grp FROM role WHERE NOT is_train""")
 def attach(t):
-    preds = sales(t).where("not is_train").select("row_id")
-    attrs = sales_with_customer(t).select("row_id", F.col("segment").alias("grp"))
-    return attach_group(preds, attrs, "row_id")
+    preds = sales(t).where("not is_train").select("row_id", "custkey")
+    attrs = t.customer.select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("grp"))
+    return attach_group(preds, attrs, "custkey").select("row_id", "grp")

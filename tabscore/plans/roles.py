@@ -22,7 +22,7 @@ STAND_INS = ["const", "group_mean", "linear", "class_decode"]
 
 
 def sql_hash(key: str, salt: int | str = 42) -> str:
-    return f"('0x'||substr(md5('{salt}:'||({key})::varchar),1,8))::bigint"
+    return f"('0x'||substr(md5('{salt}:'||coalesce(({key})::varchar, '')),1,8))::bigint"
 
 
 def sales(t: Tables, orders: DataFrame | None = None) -> DataFrame:
@@ -41,13 +41,13 @@ def sales(t: Tables, orders: DataFrame | None = None) -> DataFrame:
 def sales_with_customer(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """The same with the customer's balance and segment.
 
-    A plain equi-join: Spark broadcasts the customers only if they are small and
+    An order without a customer stays, with neither. A plain equi-join: Spark broadcasts the customers only if they are small and
     AQE splits a customer that holds most orders.
     """
     cust = t.customer.select(
         F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("segment")
     )
-    return sales(t, orders).join(cust, "custkey")
+    return sales(t, orders).join(cust, "custkey", "left")
 
 
 SALES_SQL = f"""
@@ -55,7 +55,7 @@ role AS (
   SELECT o_orderkey AS row_id, o_totalprice AS y, year(o_orderdate) AS yr, o_orderpriority AS priority,
          o_orderstatus AS status, c_acctbal AS acctbal, c_mktsegment AS segment,
          {sql_hash('o_orderkey')} % 10 < 8 AS is_train
-  FROM orders JOIN customer ON o_custkey = c_custkey)
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
 """
 
 
@@ -72,7 +72,7 @@ def sales_features(t: Tables) -> DataFrame:
     """
     return sales_with_customer(t, spread(t.orders, "o_orderkey")).select(
         "row_id", "y", "segment", "is_train",
-        F.col("acctbal"),
+        F.coalesce("acctbal", F.lit(0.0)).alias("acctbal"),
         F.col("yr").cast("double").alias("yr"),
         code_of(F.col("priority"), PRIORITIES).alias("prio"),
     )
@@ -99,8 +99,8 @@ def stand_in_predictions(t: Tables) -> DataFrame:
         "row_id", "y", "yr", "priority", "segment",
         fit["mean"].alias("const"),
         F.coalesce("gm", fit["mean"]).alias("group_mean"),
-        (fit["a"] + fit["b"] * F.col("acctbal")).alias("linear"),
-        choose(F.col("acctbal") > 0, F.lit(median * 1.1), F.lit(median * 0.9)).alias("class_decode"),
+        F.coalesce(fit["a"] + fit["b"] * F.col("acctbal"), fit["mean"]).alias("linear"),
+        choose(F.coalesce("acctbal", F.lit(0.0)) > 0, F.lit(median * 1.1), F.lit(median * 0.9)).alias("class_decode"),
     )
 
 
@@ -115,7 +115,7 @@ STAND_INS_SQL = SALES_SQL + f"""
 , gm AS (SELECT priority, avg(y) AS gm FROM role WHERE is_train GROUP BY priority)
 , wide AS (
   SELECT row_id, y, yr, role.priority, segment, mean AS const, coalesce(gm, mean) AS group_mean,
-         a + b * acctbal AS linear, CASE WHEN acctbal > 0 THEN med * 1.1 ELSE med * 0.9 END AS class_decode
+         coalesce(a + b * acctbal, mean) AS linear, CASE WHEN acctbal > 0 THEN med * 1.1 ELSE med * 0.9 END AS class_decode
   FROM role LEFT JOIN gm ON role.priority = gm.priority CROSS JOIN fit WHERE NOT is_train)
 , preds AS (
 """ + " UNION ALL ".join(

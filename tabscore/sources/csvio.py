@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabscore.sources.tables import nan_to_null
+
 # The missing-value tokens of the usual CSV readers.
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -50,14 +52,15 @@ def read_csv(
     path: str | list[str],
     schema: T.StructType | None = None,
     na_tokens: list[str] = NA_TOKENS,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header row; NA tokens become NULL before any type is applied.
 
     With ``schema`` the file is scanned once and values are cast strictly. Without
     it one extra pass finds the types (the tokens would otherwise turn a numeric
-    column into text). ``multi_line`` allows line breaks inside quotes, at the
-    price that one file is read by one task.
+    column into text). ``multi_line`` keeps line breaks inside quotes, at the price
+    that one file is read by one task; without it, a file that has none is split. NaN
+    counts as missing.
     """
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
     reader = spark.read.options(**options)
@@ -70,12 +73,14 @@ def read_csv(
         types = None
     clean = raw.select(*[blank_na(F.col(f"`{c}`"), na_tokens).alias(c) for c in raw.columns])
     types = types or infer_types(clean)
-    return clean.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in clean.columns])
+    return nan_to_null(clean.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in clean.columns]))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV part files with a header; every text is quoted with doubled quotes."""
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+    """CSV part files with a header; every value is quoted with doubled quotes, blanks and line breaks stay."""
+    options = {"header": True, "quote": '"', "escape": '"', "quoteAll": True}
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**options, **blanks).csv(path)
 
 
 def json_rows(df: DataFrame, out: str = "json") -> DataFrame:

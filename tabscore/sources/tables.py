@@ -13,7 +13,11 @@ TABLE_NAMES = (
 
 
 class Tables:
-    """Lazy access to the Parquet tables of one folder: ``t.orders``, ``t["orders"]``."""
+    """Lazy access to the Parquet tables of one folder: ``t.orders``, ``t["orders"]``.
+
+    A scan is left as it is, so that filters reach it. Profiles and benchmarks turn NaN
+    into NULL, the one missing marker; ``catalogue`` does so for all tables.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -28,7 +32,7 @@ class Tables:
         return self[name]
 
     def catalogue(self) -> dict[str, DataFrame]:
-        return {n: self[n] for n in TABLE_NAMES}
+        return {n: nan_to_null(self[n]) for n in TABLE_NAMES}
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

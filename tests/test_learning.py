@@ -5,6 +5,7 @@ import math
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabscore.operators import importance, models, shapley, tfidf
@@ -274,3 +275,33 @@ def test_profile_benchmark(spark, sf):
     out = benchmarks.profile_benchmark({"orders": t.orders, "labels": t.labels}, tasks={"orders": ("o_totalprice", "Regression")})
     assert out["summary"].count() == 2 and out["diversity"].count() == 2
     assert out["missing_total"].agg(F.sum("missing")).first()[0] == 0
+
+
+class LinearScore:
+    """2 x0 - x1 + 0.5 x2 as a score function."""
+
+    def __call__(self, df):
+        v = vector_to_array("features")
+        return df.withColumn("out", F.array(2 * v[0] - v[1] + 0.5 * v[2]))
+
+
+def test_sampled_shapley_is_unbiased_and_complete(spark):
+    df = spark.range(60).select(
+        F.col("id").alias("k"), *[(F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1000)) / 100.0).alias(f"x{j}") for j in range(2)], F.lit(4.0).alias("x2")
+    )
+    names = ["x0", "x1", "x2"]
+    bg = shapley.background(df, names, "k", 60)
+    phi = shapley.shapley_sampled(df, "k", names, LinearScore(), bg, pairs=1)
+    assert phi.count() == 180  # a feature that never differs has a value too
+    got = {r.feature: r.importance for r in importance.mean_abs(phi, []).collect()}
+    want = {r.feature: r.importance for r in importance.mean_abs(shapley.shapley_linear(df, "k", names, {"x0": 2.0, "x1": -1.0, "x2": 0.5}, df), []).collect()}
+    assert all(abs(got[f] - want[f]) <= 0.01 * want[f] + 1e-12 for f in names)
+
+
+def test_a_repeated_key_is_explained_row_by_row(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 2.0), (2, 0.0, 1.0)], "k long, x0 double, x1 double").withColumn("x2", F.lit(0.0))
+    names = ["x0", "x1", "x2"]
+    bg = shapley.background(df, names, "k", 3)
+    for phi in (shapley.shapley_model(df, "k", names, LinearScore(), bg), shapley.shapley_sampled(df, "k", names, LinearScore(), bg, pairs=1)):
+        found = sorted((r.k, r.feature, round(r.phi, 9)) for r in phi.where("feature <> 'x2'").collect())
+        assert found == [(1, "x0", round(2 / 3, 9))] * 2 + [(1, "x1", round(-1 / 3, 9))] * 2 + [(2, "x0", round(-4 / 3, 9)), (2, "x1", round(2 / 3, 9))]

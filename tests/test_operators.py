@@ -2,6 +2,7 @@
 
 import math
 
+import published
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from tabscore.functions import scalars, text
 from tabscore.operators import clean, fairness, metrics, profile, ranks, readiness, report, reshape, scale, split
 from tabscore.operators.tfidf import Tfidf
 from tabscore.session import join_lookup, scratch_path
-from tabscore.sources import csvio, published, tables
+from tabscore.sources import csvio, tables
 
 
 def rows(df):
@@ -404,3 +405,34 @@ def test_scratch_folder():
     assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
     with pytest.raises(ValueError):
         scratch_path(_Session("yarn"), "x")
+
+
+def test_rows_without_a_key_have_a_place(spark):
+    df = spark.createDataFrame([(i if i % 5 else None, i) for i in range(100)], "k long, v long")
+    for out in (split.hash_split(df, "k"), split.exact_split(df, "k")):
+        assert out.where("is_train is null").count() == 0 and out.count() == 100
+    one = spark.createDataFrame([(i or None,) for i in range(50)], "k long")
+    assert split.exact_split(one, "k").where("not is_train").count() == 10
+    grouped = df.select(split.assign_group("k", "a", "b").alias("g")).groupBy("g").count().collect()
+    assert sum(r["count"] for r in grouped) == 100 and None not in {r["g"] for r in grouped}
+
+
+def test_csv_keeps_blanks_quotes_and_line_breaks(spark, tmp_path):
+    texts = ["  lead", "trail  ", "a\nb", 'say "x", then\r\n', "plain", None, "tab\there"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    csvio.write_csv(df, str(tmp_path / "c"))
+    assert [r.t for r in csvio.read_csv(spark, str(tmp_path / "c"), schema=df.schema).orderBy("i").collect()] == texts
+
+
+def test_profiles_count_nan_as_missing(spark, tmp_path):
+    spark.createDataFrame([(1, float("nan")), (2, 1.5)], "k long, x double").write.parquet(str(tmp_path / "orders.parquet"))
+    orders = tables.Tables(spark, str(tmp_path)).orders
+    cells = {r["column"]: r["nulls"] for r in profile.column_profile({"orders": orders}).collect()}
+    assert cells == {"k": 0, "x": 1}
+
+
+def test_column_values_leave_none_out(spark):
+    df = spark.createDataFrame([(3,), (1,), (None,), (3,)], "x long")
+    assert reshape.column_values(df, "x") == [1, 3]
+    with pytest.raises(ValueError, match="more than 1"):
+        reshape.column_values(df, "x", most=1)
