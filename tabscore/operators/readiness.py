@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.functions.scalars import clip, round_half_even
+from tabscore.operators.models import BOOSTED, BOOSTED_ALT
 
 
 @dataclass(frozen=True)
@@ -27,10 +28,10 @@ class Profile:
         return out
 
 
-# The hand-set parts of each pipeline.
-BOOSTED_FIRST = Profile({"XGBoost": 4})
+# The hand-set parts of each pipeline. The two boosted profiles stand for the two boosting libraries.
+BOOSTED_FIRST = Profile({BOOSTED: 4, "XGBoost": 4})
 UNIFORM = Profile()
-TREES_FIRST = Profile({"RandomForest": 4, "XGBoost": 4, "LightGBM": 4})
+TREES_FIRST = Profile({"RandomForest": 4, BOOSTED: 4, BOOSTED_ALT: 4, "XGBoost": 4, "LightGBM": 4})
 
 
 def r2_part(r2: Column) -> Column:

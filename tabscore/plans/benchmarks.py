@@ -7,7 +7,9 @@ Wide parameters default to the published ones; ``Effort`` makes a run smaller.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,6 +35,8 @@ from tabscore.operators.models import Member, Suite
 from tabscore.operators.profile import BUDGET_COLUMNS, Declared
 from tabscore.operators.ranks import exact_median
 from tabscore.session import BROADCAST_ROWS, materialize
+from tabscore.sources.csvio import write_csv, write_json
+from tabscore.sources.tables import nan_to_null
 
 MODEL = ["model"]
 # Columns of the university ranking table and its split and threshold.
@@ -41,10 +45,6 @@ RANK_FEATURES = [
     "International Outlook", "Overall Score",
 ]
 FIRST_TEST_YEAR = 2022
-# Rows explained for trees and for the linear model of the budget tables.
-TREE_ROWS, LINEAR_ROWS = 500, 50
-# Columns up to which text models are explained by Shapley values: a sample scores each of them.
-EXPLAIN_COLUMNS = 512
 TOP_RANK = 200
 
 
@@ -59,7 +59,11 @@ class Effort:
     iterations: int = 100
     background: int = 100
     pairs: int = 10
-    explain: bool = True
+    # "sampled" or "exact" Shapley values, "native" for what a model states itself, "none".
+    explain: str = "sampled"
+    # Rows explained for trees and for the linear model of the budget tables.
+    tree_rows: int = 500
+    linear_rows: int = 50
 
 
 @dataclass
@@ -73,6 +77,45 @@ class Result:
     extra: dict[str, DataFrame] = field(default_factory=dict)
 
 
+def result_tables(r: Result) -> dict[str, DataFrame]:
+    """All tables of a result by name; failures as rows."""
+    spark = r.metrics.sparkSession
+    out = {"metrics": r.metrics, "fairness": r.fairness, "readiness": r.readiness, **r.extra}
+    if r.importance is not None:
+        out["importance"] = r.importance
+    out["failures"] = spark.createDataFrame(list(r.failures.items()), "model string, error string")
+    return out
+
+
+def long_result(r: Result) -> DataFrame:
+    """Metrics, group gaps, readiness, importance and failures as ``part, label, model, name, value``."""
+
+    def cells(part: str, df: DataFrame) -> DataFrame:
+        keys = [c for c in ("label", "model") if c in df.columns]
+        if part == "importance":
+            long = df.select(*keys, F.col("feature").alias("name"), F.col("importance").cast("double").alias("value"))
+        elif part == "failures":
+            long = df.select(*keys, F.col("error").alias("name"), F.lit(None).cast("double").alias("value"))
+        else:
+            numbers = [c for c in clean.numeric_columns(df) if c not in keys]
+            long = df.select(*keys, *[_double(c).alias(c) for c in numbers]).unpivot(keys, numbers, "name", "value")
+        label = F.col("label") if "label" in keys else F.lit(None)
+        return long.select(F.lit(part).alias("part"), label.cast("string").alias("label"), "model", "name", "value")
+
+    tables = result_tables(r)
+    return reshape.stack([cells(p, tables[p]) for p in ("metrics", "fairness", "readiness", "importance", "failures") if p in tables])
+
+
+def write_result(r: Result, path: str) -> list[str]:
+    """Write every table of a result as CSV and as JSON under ``path``; returns the folders."""
+    folders = []
+    for name, df in result_tables(r).items():
+        for kind, write in (("csv", write_csv), ("json", write_json)):
+            folders.append(f"{path.rstrip('/')}/{name}.{kind}")
+            write(df, folders[-1])
+    return folders
+
+
 def with_key(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
     """The table with a row key. A made-up key is written with the rows, so it stays the same."""
     if key is not None:
@@ -110,6 +153,12 @@ def encode_and_impute(df: DataFrame, features: list[str], fit_on: str) -> tuple[
     return df, [f for f in features if f in df.columns]
 
 
+def feature_columns(df: DataFrame, other: tuple) -> list[str]:
+    """Numeric and text columns that play no other part; columns of other types are no features."""
+    usable = {*clean.numeric_columns(df), *clean.text_columns(df)}
+    return [c for c in df.columns if c in usable and c not in other]
+
+
 def class_values(df: DataFrame, col: str) -> list:
     """Sorted distinct class values; a linear model needs one row of weights for each."""
     rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(BROADCAST_ROWS + 1).collect()
@@ -132,30 +181,44 @@ def explain_suite(
 ) -> DataFrame | None:
     """Mean |phi| per model and feature on the model's own features.
 
-    A model whose explanation fails at planning falls back to what it states itself.
-    ``features`` maps a vector column to the columns it is made of.
+    Each explanation is written before the next one starts: a model whose explanation fails,
+    while it is planned or while it runs, falls back to what it states itself. ``source``
+    says how a value came about. ``features`` maps a vector column to the columns it is made of.
     """
     parts = []
     for m in suite.members:
         if m.name not in suite.fitted:
             continue
         cols, model = features[m.features], suite.fitted[m.name]
-        try:
+
+
+        def explained(m=m, cols=cols, model=model) -> DataFrame:
             bg = shapley.background(train, cols, key, effort.background)
-            score = output(model)
-            if len(cols) <= 6:
-                phi = shapley.shapley_model(test, key, cols, score, bg, m.features)
+            if effort.explain == "exact":
+                phi = shapley.shapley_model(test, key, cols, output(model), bg, m.features)
             else:
-                phi = shapley.shapley_sampled(test, key, cols, score, bg, effort.pairs, vector=m.features)
-            one = importance.mean_abs(phi, []).withColumn("model", F.lit(m.name))
-            one = one.select("model", "feature", "importance", F.lit("shapley").alias("source"))
-        except Exception as e:  # noqa: BLE001 - the report goes on without this explanation
-            suite.failures[f"{m.name} explanation"] = str(e).splitlines()[0]
-            one = importance.native(test.sparkSession, {m.name: model}, cols)
-        parts.append(one)
+                phi = shapley.shapley_sampled(test, key, cols, output(model), bg, effort.pairs, vector=m.features)
+            return importance.mean_abs(phi, [])
+
+        parts.append(_or_native(suite, m.name, cols, effort, explained, test.sparkSession))
     return reshape.stack(parts) if parts else None
 
 
+def _or_native(suite: Suite, name: str, cols: list[str], effort: Effort, explained: Callable[[], DataFrame], spark) -> DataFrame:
+    """The written explanation, or the model's own importance if that was asked for or the explanation failed."""
+    if effort.explain not in ("sampled", "exact", "native"):
+        raise ValueError(f"unknown way to explain: {effort.explain}")
+    if effort.explain != "native":
+        try:
+            one = explained().select(F.lit(name).alias("model"), "feature", "importance", F.lit("shapley").alias("source"))
+            return materialize(one, "importance")
+        except Exception as e:  # noqa: BLE001 - the report goes on without this explanation
+            if "OutOfMemoryError" in str(e):
+                raise
+            suite.failures[f"{name} explanation"] = str(e).splitlines()[0] if str(e) else type(e).__name__
+    return importance.native(spark, {name: suite.fitted[name]}, cols)
+
+
 def _named(imp: DataFrame | None, features: list[str]) -> DataFrame | None:
     """Put the real names in place of ``z_<i>``."""
     if imp is None:
@@ -176,9 +239,9 @@ def score_benchmark(
 
     Without a ``group`` column the two groups are drawn by hash, as a control.
     """
-    df, key = with_key(clean.drop_missing(df, [target]), key)
+    df, key = with_key(clean.drop_missing(nan_to_null(df), [target]), key)
     df = split.hash_split(df.withColumn("y", _double(target)), key)
-    features = [c for c in df.columns if c not in (target, key, "y", "is_train", group)]
+    features = feature_columns(df, (target, key, "y", "is_train", group))
     df, features = encode_and_impute(df, features, fit_on)
     grp = F.col(group) if group else split.assign_group(key, *groups)
     # Every fit, prediction and explanation reads this table: it is prepared once.
@@ -190,10 +253,10 @@ def score_benchmark(
         [
             Member("LogisticRegression", lambda n: models.logistic(n, e.iterations), "scaled_features", "y_class", class_decode(values)),
             _trees(e),
-            Member("XGBoost", lambda n: models.boosted_regressor(e.rounds, e.depth, 0.1), "raw_features"),
-            Member("LightGBM", lambda n: models.boosted_regressor_alt(e.rounds, e.depth, 0.1), "raw_features"),
+            Member(models.BOOSTED, lambda n: models.boosted_regressor(e.rounds, e.depth, 0.1), "raw_features"),
+            Member(models.BOOSTED_ALT, lambda n: models.boosted_regressor_alt(e.rounds, e.depth, 0.1), "raw_features"),
         ]
-    ).fit(train.withColumn("y_class", class_code(F.col("y"), values)))
+    ).fit(train.withColumn("y_class", class_code(F.col("y"), values)), key)
     preds = materialize(suite.predict(test, [key, "y", "grp"]), "predictions")
     table = metrics.metrics_table(preds, MODEL, mape="eps", accuracy="relative")
     imp = _explained(suite, test, train, key, features, e)
@@ -204,7 +267,7 @@ def score_benchmark(
 
 
 def _explained(suite, test, train, key, features, e, output=shapley.prediction_output):
-    if not e.explain:
+    if e.explain == "none":
         return None
     zs = [f"z_{i}" for i in range(len(features))]
     imp = explain_suite(suite, test, train, key, {"raw_features": features, "scaled_features": zs}, e, output)
@@ -217,7 +280,7 @@ def rank_benchmark(
     first_test_year: int = FIRST_TEST_YEAR, top: float = TOP_RANK, effort: Effort = Effort(iterations=1000, depth=6),
 ) -> Result:
     """University ranks: split by year; the linear model tells the top from the rest."""
-    df = clean.coerce(df, features)
+    df = clean.coerce(nan_to_null(df), features)
     df = clean.drop_missing(df, [target, "Year", *[c for c in ("Name", "Country") if c in df.columns], *features])
     df, key = with_key(df.withColumns({"Year": F.col("Year").cast("int"), "y": _double(target)}), key)
     df = df.withColumn("is_train", F.col("Year") < first_test_year)
@@ -230,16 +293,16 @@ def rank_benchmark(
     suite = Suite(
         [
             _trees(e),
-            Member("XGBoost", lambda n: models.boosted_regressor(e.rounds, e.depth, 0.3), "raw_features", "y_scaled", mm.restore),
-            Member("LightGBM", lambda n: models.boosted_regressor_alt(e.rounds, e.depth, 0.1), "raw_features"),
+            Member(models.BOOSTED, lambda n: models.boosted_regressor(e.rounds, e.depth, 0.3), "raw_features", "y_scaled", mm.restore),
+            Member(models.BOOSTED_ALT, lambda n: models.boosted_regressor_alt(e.rounds, e.depth, 0.1), "raw_features"),
             Member("LogisticRegression", lambda n: models.logistic(n, e.iterations), "raw_features", "y_top"),
         ]
-    ).fit(train.withColumns({"y_scaled": mm.scale(F.col("y")), "y_top": at_most(F.col("y"), top).cast("double")}))
+    ).fit(train.withColumns({"y_scaled": mm.scale(F.col("y")), "y_top": at_most(F.col("y"), top).cast("double")}), key)
     preds = materialize(suite.predict(test, [key, "y", "grp"]), "predictions")
     table = metrics.metrics_table(preds, MODEL, mape="plain", accuracy="threshold", threshold=top)
     imp = None
-    if e.explain:
-        trees = Suite([m for m in suite.members if m.name != "LogisticRegression"], suite.fitted, suite.failures)
+    if e.explain != "none":
+        trees = Suite([m for m in suite.members if m.name != "LogisticRegression"], fitted=suite.fitted, failures=suite.failures)
         parts = [explain_suite(trees, test, train, key, {"raw_features": features}, e)]
         if "LogisticRegression" in suite.fitted:
             weights = suite.fitted["LogisticRegression"].coefficients.toArray()
@@ -272,11 +335,11 @@ def enrolment_benchmark(
     suite = Suite(
         [
             Member("RandomForest", lambda n: models.forest_regressor(e.trees, e.tree_depth), "scaled_features"),
-            Member("XGBoost", lambda n: models.boosted_regressor(e.rounds, e.depth, 0.3), "scaled_features"),
-            Member("LightGBM", lambda n: models.boosted_regressor_alt(e.rounds, e.depth, 0.1), "scaled_features"),
+            Member(models.BOOSTED, lambda n: models.boosted_regressor(e.rounds, e.depth, 0.3), "scaled_features"),
+            Member(models.BOOSTED_ALT, lambda n: models.boosted_regressor_alt(e.rounds, e.depth, 0.1), "scaled_features"),
             Member("LogisticRegression", lambda n: models.logistic(n, e.iterations), "scaled_features", "y_over", decode),
         ]
-    ).fit(train.withColumn("y_over", above(F.col("y"), median).cast("double")))
+    ).fit(train.withColumn("y_over", above(F.col("y"), median).cast("double")), key)
     preds = materialize(suite.predict(test, [key, "y", kind]), "predictions")
     table = metrics.metrics_table(preds, MODEL, mape="plain", accuracy="r2")
     gap = fairness.group_rmse(preds, MODEL, kind, 0, 1, names=("Public_RMSE", "Private_RMSE"), digits=2)
@@ -297,15 +360,16 @@ def _class_result(preds: DataFrame, keys: list[str], mape: str, groups: tuple[st
     }
 
 
-def class_members(classes: int, e: Effort, rate: float = 0.3, linear: str = "scaled_features", tree: str = "raw_features") -> list[Member]:
-    """The four families for ``classes`` classes."""
-    boosted = lambda n: models.boosted_for(classes, models.boosted_classifier(e.rounds, e.depth, rate))
+def class_members(classes: int, e: Effort, rate: float = 0.3, linear: str = "scaled_features", tree: str = "raw_features", share: float = 1.0) -> list[Member]:
+    """The four families for ``classes`` classes; ``share`` of rows and columns that a round of the first boosted one sees."""
+    columns = "all" if share == 1.0 else str(share)
+    boosted = lambda n: models.boosted_for(classes, models.boosted_classifier(e.rounds, e.depth, rate, share, columns))
     second = lambda n: models.boosted_for(classes, models.boosted_classifier_alt(e.rounds, e.depth, 0.1))
     return [
         Member("LogisticRegression", lambda n: models.logistic(n, e.iterations), linear),
         Member("RandomForest", lambda n: models.forest_classifier(e.trees, e.tree_depth), tree),
-        Member("XGBoost", boosted, tree),
-        Member("LightGBM", second, tree),
+        Member(models.BOOSTED, boosted, tree),
+        Member(models.BOOSTED_ALT, second, tree),
     ]
 
 
@@ -315,17 +379,17 @@ def class_benchmark(
     top: int = 10, effort: Effort = Effort(trees=100, rounds=100, depth=6, iterations=1000),
 ) -> Result:
     """Student dropout: several classes; trees see raw features, the linear model scaled ones."""
-    df, key = with_key(clean.drop_missing(df, [target]), key)
+    df, key = with_key(clean.drop_missing(nan_to_null(df), [target]), key)
     df = split.hash_split(df, key)
     values = class_values(df, target)
     df = df.withColumn("y", class_code(F.col(target), values))
-    features = [c for c in df.columns if c not in (target, key, "y", "is_train", group)]
+    features = feature_columns(df, (target, key, "y", "is_train", group))
     df, features = encode_and_impute(df, features, fit_on)
     grp = F.col(group) if group else split.assign_group(key, *groups)
     # Every fit, prediction and explanation reads this table: it is prepared once.
     df = materialize(two_vectors(df.withColumn("grp", grp), features, fit_on), "features")
     train, test = df.where("is_train"), df.where("not is_train")
-    suite = Suite(class_members(len(values), effort)).fit(train)
+    suite = Suite(class_members(len(values), effort)).fit(train, key)
     preds = materialize(suite.predict(test, [key, "y", "grp"]), "predictions")
     out = _class_result(preds, MODEL, "clipped", groups, readiness.TREES_FIRST)
     imp = _explained(suite, test, train, key, features, effort)
@@ -338,14 +402,15 @@ def class_benchmark(
 def label_benchmark(
     df: DataFrame, columns: Declared = BUDGET_COLUMNS, key: str | None = None, max_features: int = tfidf.MAX_FEATURES,
     stop_words: list[str] | None = None, group: str | None = None, groups: tuple[str, str] = ("LowIncome", "HighIncome"),
-    top: int = 20, effort: Effort = Effort(tree_depth=10, depth=6, iterations=500),
+    top: int = 20, effort: Effort = Effort(tree_depth=10, depth=6, iterations=500, explain="native"),
 ) -> Result:
     """School budgets: text and numbers, several labels, every model for every label.
 
-    Class probabilities of a row sample are explained by Shapley values. Beyond
-    ``EXPLAIN_COLUMNS`` columns the importance is what a model states itself.
+    With ``effort.explain="sampled"`` class probabilities of a row sample are explained by
+    Shapley values; that scores rows x background x orders x terms that differ dense vectors.
+    The default is what the models state themselves; ``source`` in the result says which.
     """
-    df, key = with_key(df, key)
+    df, key = with_key(nan_to_null(df), key)
     df = split.hash_split(df, key)
     text, numeric = clean.existing(df, columns.text), clean.existing(df, columns.numeric)
     labels = clean.existing(df, columns.label)
@@ -364,8 +429,8 @@ def label_benchmark(
         rows = clean.drop_missing(table, [label])
         values = class_values(rows, label)
         coded = rows.withColumn("y", class_code(F.col(label), values))
-        members = class_members(len(values), effort, 0.1, "features", "features")
-        suite = Suite(members).fit(coded.where("is_train"))
+        members = class_members(len(values), effort, 0.1, "features", "features", 0.8)
+        suite = Suite(members).fit(coded.where("is_train"), key)
         failures |= {f"{label}: {m}": err for m, err in suite.failures.items()}
         one = suite.predict(coded.where("not is_train"), [key, "y", "grp"])
         preds.append(one.withColumn("label", F.lit(label)))
@@ -378,18 +443,16 @@ def label_benchmark(
 
 
 def _label_importance(suite: Suite, df: DataFrame, key: str, names: list[str], e: Effort) -> DataFrame:
-    if len(names) > EXPLAIN_COLUMNS or not e.explain:
-        return importance.native(df.sparkSession, suite.fitted, names)
     x = vector_to_array("features")
-    bg = shapley.background(df.where("is_train"), names, key, e.background, x=x)
-    parts = []
-    for name, model in suite.fitted.items():
-        rows = LINEAR_ROWS if name == "LogisticRegression" else TREE_ROWS
+
+    def explained(name: str) -> DataFrame:
+        bg = shapley.background(df.where("is_train"), names, key, e.background, x=x)
+        rows = e.linear_rows if name == "LogisticRegression" else e.tree_rows
         picked = split.bounded_sample(df.where("not is_train"), key, rows)
-        phi = shapley.shapley_sampled(picked, key, names, shapley.probability_output(model), bg, e.pairs, x=x)
-        one = importance.mean_abs(shapley.reduce_classes(phi, "mean_abs"), [])
-        parts.append(one.select(F.lit(name).alias("model"), "feature", "importance", F.lit("shapley").alias("source")))
-    return reshape.stack(parts)
+        phi = shapley.shapley_sampled(picked, key, names, shapley.probability_output(suite.fitted[name]), bg, e.pairs, x=x)
+        return importance.mean_abs(shapley.reduce_classes(phi, "mean_abs"), [])
+
+    return reshape.stack([_or_native(suite, n, names, e, partial(explained, n), df.sparkSession) for n in suite.fitted])
 
 
 def profile_benchmark(

@@ -34,7 +34,7 @@ def regression_table(t) -> DataFrame:
 
 
 def fit_and_predict(df: DataFrame, members: list[Member], keep: list[str]) -> DataFrame:
-    suite = Suite(members).fit(df.where("is_train"))
+    suite = Suite(members).fit(df.where("is_train"), keep[0])
     if suite.failures:
         raise RuntimeError(f"models failed: {suite.failures}")
     return suite.predict(df.where("not is_train"), keep)
@@ -77,13 +77,13 @@ def rf_regression(t):
 
 @query("gbt_regression")
 def gbt_regression(t):
-    member = Member("XGBoost", lambda n: models.boosted_regressor(5, 4, 0.1), RAW)
+    member = Member(models.BOOSTED, lambda n: models.boosted_regressor(5, 4, 0.1), RAW)
     return fit_and_predict(regression_table(t), [member], KEEP)
 
 
 @query("gbt_regression_alt")
 def gbt_regression_alt(t):
-    member = Member("LightGBM", lambda n: models.boosted_regressor_alt(5, 4, 0.1), RAW)
+    member = Member(models.BOOSTED_ALT, lambda n: models.boosted_regressor_alt(5, 4, 0.1), RAW)
     return fit_and_predict(regression_table(t), [member], KEEP)
 
 
@@ -96,13 +96,13 @@ def rf_classification(t):
 @query("gbt_classification")
 def gbt_classification(t):
     make = lambda n: models.per_class(models.boosted_classifier(2, 3))
-    return fit_and_predict(flags_table(t), [Member("XGBoost", make)], ["row_id", "y"])
+    return fit_and_predict(flags_table(t), [Member(models.BOOSTED, make)], ["row_id", "y"])
 
 
 @query("gbt_classification_alt")
 def gbt_classification_alt(t):
     make = lambda n: models.per_class(models.boosted_classifier_alt(2, 3))
-    return fit_and_predict(flags_table(t), [Member("LightGBM", make)], ["row_id", "y"])
+    return fit_and_predict(flags_table(t), [Member(models.BOOSTED_ALT, make)], ["row_id", "y"])
 
 
 @query("logistic_multinomial")
@@ -122,7 +122,7 @@ def scaled_target_regression(t):
     """Boosted trees learn the min-max scaled target; predictions are scaled back."""
     df = regression_table(t)
     mm = scale.MinMax(df.where("is_train"), "y")
-    member = Member("XGBoost", lambda n: models.boosted_regressor(5, 4, 0.1), RAW, "y_scaled", mm.restore)
+    member = Member(models.BOOSTED, lambda n: models.boosted_regressor(5, 4, 0.1), RAW, "y_scaled", mm.restore)
     return fit_and_predict(df.withColumn("y_scaled", mm.scale(F.col("y"))), [member], KEEP)
 
 
@@ -132,8 +132,8 @@ def small_suite(median: float) -> list[Member]:
     return [
         Member("LogisticRegression", lambda n: models.logistic(n, 20), SCALED, "over", decode),
         Member("RandomForest", lambda n: models.forest_regressor(5, 4), RAW),
-        Member("XGBoost", lambda n: models.boosted_regressor(3, 3, 0.1), RAW),
-        Member("LightGBM", lambda n: models.boosted_regressor_alt(3, 3, 0.1), RAW),
+        Member(models.BOOSTED, lambda n: models.boosted_regressor(3, 3, 0.1), RAW),
+        Member(models.BOOSTED_ALT, lambda n: models.boosted_regressor_alt(3, 3, 0.1), RAW),
     ]
 
 
@@ -169,8 +169,8 @@ def multilabel_suite(t):
     members = [
         ("LogisticRegression", lambda n: models.logistic(n, 20)),
         ("RandomForest", lambda n: models.forest_classifier(5, 4)),
-        ("XGBoost", lambda n: models.boosted_classifier(2, 3)),
-        ("LightGBM", lambda n: models.boosted_classifier_alt(2, 3)),
+        (models.BOOSTED, lambda n: models.boosted_classifier(2, 3)),
+        (models.BOOSTED_ALT, lambda n: models.boosted_classifier_alt(2, 3)),
     ]
     # Eight fits read the same features: they are written once, text work included.
     features = materialize(features, "text-features")
@@ -182,7 +182,7 @@ def multilabel(features: DataFrame, targets: list[str], members: list, key: str)
     out = []
     for target in targets:
         df = features.where(F.col(target).isNotNull()).withColumn("y", F.col(target).cast("double"))
-        suite = Suite([Member(n, make) for n, make in members]).fit(df.where("is_train"))
+        suite = Suite([Member(n, make) for n, make in members]).fit(df.where("is_train"), key)
         preds = suite.predict(df.where("not is_train"), [key, "y"])
         out.append(preds.withColumn("label", F.lit(target)))
     return stack(out)

@@ -305,3 +305,49 @@ def test_a_repeated_key_is_explained_row_by_row(spark):
     for phi in (shapley.shapley_model(df, "k", names, LinearScore(), bg), shapley.shapley_sampled(df, "k", names, LinearScore(), bg, pairs=1)):
         found = sorted((r.k, r.feature, round(r.phi, 9)) for r in phi.where("feature <> 'x2'").collect())
         assert found == [(1, "x0", round(2 / 3, 9))] * 2 + [(1, "x1", round(-1 / 3, 9))] * 2 + [(2, "x0", round(-4 / 3, 9)), (2, "x1", round(2 / 3, 9))]
+
+
+def small_result(spark, explain="sampled"):
+    df = spark.range(240).select(
+        F.col("id").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(7)) + F.lit(0.0)).alias("a"), F.concat(F.lit("t"), F.col("id") % 3).alias("b"),
+        (F.col("id") % 2 == 0).alias("flag"), F.current_timestamp().alias("at"), F.when(F.col("id") % 9 == 0, float("nan")).otherwise(F.col("id") % 5).alias("c"),
+        F.round(F.pmod(F.xxhash64("id"), F.lit(7)) / 2).alias("Exam_Score"),
+    )
+    effort = benchmarks.Effort(trees=3, tree_depth=3, rounds=2, depth=2, iterations=5, background=5, pairs=1, explain=explain)
+    return benchmarks.score_benchmark(df, key="k", effort=effort)
+
+
+def test_a_result_is_written_and_long(spark, tmp_path):
+    from tabscore.sources import csvio
+
+    r = small_result(spark)
+    long = benchmarks.long_result(r).toPandas()
+    assert set(long.part) == {"metrics", "fairness", "readiness", "importance"} and long.model.nunique() == 4
+    # Booleans and timestamps are no features; NaN is missing and filled.
+    assert set(long[long.part == "importance"].name) == {"a", "b", "c"}
+    folders = benchmarks.write_result(r, str(tmp_path / "r"))
+    assert len(folders) == 10
+    assert csvio.read_csv(spark, f"{tmp_path}/r/metrics.csv").count() == r.metrics.count()
+    assert spark.read.json(f"{tmp_path}/r/importance.json").count() == r.importance.count()
+
+
+def test_a_failing_explanation_falls_back_while_running(spark, monkeypatch):
+    def broken(model):
+        return lambda df: df.withColumn("out", F.array(F.raise_error(F.lit("no explanation")).cast("double")))
+
+    monkeypatch.setattr(shapley, "prediction_output", broken)
+    monkeypatch.setattr(benchmarks._explained, "__defaults__", (broken,))
+    r = small_result(spark)
+    assert {k for k in r.failures} == {f"{m} explanation" for m in r.metrics.toPandas().model}
+    assert {x.source for x in r.importance.select("source").distinct().collect()} & {"shapley"} == set()
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    df = spark.range(600).select(F.col("id").alias("k"), *[(F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1000)) / 100.0).alias(f"x{j}") for j in range(3)])
+    df = df.withColumn("y", F.col("x0") * 2 - F.col("x1") + F.col("x2") * F.col("x0"))
+    vectors = VectorAssembler(inputCols=["x0", "x1", "x2"], outputCol="features").transform(df)
+    found = []
+    for n in (1, 4, 9):
+        suite = Suite([Member("f", lambda rows: models.forest_regressor(5, 6))], partitions=6).fit(vectors.repartition(n), "k")
+        found.append([round(r.pred, 9) for r in suite.predict(vectors, ["k"]).orderBy("k").collect()])
+    assert found[0] == found[1] == found[2]
