@@ -5,14 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.functions.text import with_terms
-from tabscore.session import BROADCAST_ROWS, local_table
 
 MAX_FEATURES = 10_000
 
@@ -59,38 +57,17 @@ class Tfidf:
         weigh = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="__counts", outputCol="__w")
         unit = Normalizer(p=2.0, inputCol="__w", outputCol=out)
         cut = with_terms(docs, text, self.stop_words, "__terms")
+        # A document without a text has no terms.
+        cut = cut.withColumn("__terms", F.coalesce("__terms", F.array().cast("array<string>")))
         return unit.transform(weigh.transform(counts.transform(cut))).drop("__terms", "__counts", "__w")
 
-    def table(self, docs: DataFrame) -> DataFrame:
-        """The vocabulary as a table ``term, idf`` (bounded by ``max_features``)."""
-        columns = {"term": pa.array(self.vocabulary, pa.string()), "idf": pa.array(self.idf, pa.float64())}
-        return local_table(docs.sparkSession, pa.table(columns))
-
     def weights(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """Long form ``key, term, weight``.
-
-        Documents are placed by key once; counting and normalising then happen
-        where the document is. (A plain ``explode`` would add a filter on the
-        size of the array below the shuffle and cut every text once more for it.)
-        """
-        vocab = self.table(docs)
-        if len(self.vocabulary) <= BROADCAST_ROWS:
-            vocab = F.broadcast(vocab)
-        counted = (
-            with_terms(docs.select(key, text).repartition(key), text, self.stop_words)
-            .select(key, F.explode_outer("terms").alias("term"))
-            .where("term is not null")
-            .join(vocab, "term")
-            .groupBy(key, "term", "idf").count()
-            .withColumn("w", F.col("count") * F.col("idf"))
-        )
-        per_doc = counted.groupBy(key).agg(
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-            F.collect_list(F.struct("term", "w")).alias("ws"),
-        )
-        return per_doc.select(key, "norm", F.inline("ws")).select(
-            key, "term", (F.col("w") / F.col("norm")).alias("weight")
-        )
+        """Long form ``key, term, weight`` of every document. Map-only: no text is moved."""
+        vector = F.unwrap_udt("v")
+        cells = self.vectors(docs.select(key, text), text, "v").select(key, vector.alias("s"))
+        long = cells.select(key, F.inline(F.arrays_zip(F.col("s.indices").alias("i"), F.col("s.values").alias("weight"))))
+        names = F.array(*[F.lit(t) for t in self.vocabulary]) if self.vocabulary else F.array().cast("array<string>")
+        return long.select(key, F.get(names, F.col("i")).alias("term"), "weight")
 
 
 def fit_tfidf(

@@ -222,7 +222,7 @@ def tfidf_train_apply(t):
 
 
 @query("assemble_features", f"""
-WITH {TERMS_SQL}, {_vocab_sql(k=2000)}, {_weights_sql()},
+WITH {TERMS_SQL}, {_vocab_sql()}, {_weights_sql()},
 num AS (SELECT doc_id, (n_chars - m) / s AS z
         FROM documents, (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM documents)),
 named AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS position FROM vocab)
@@ -233,7 +233,7 @@ SELECT (SELECT count(*) FROM vocab), 'n_chars', count(*) FILTER (z <> 0), round(
 def assemble_features(t):
     """Column totals of the assembled sparse matrix (for the number: sum of squares)."""
     docs = documents(t).select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
-    model = tfidf.fit_tfidf(docs, "text", 2000, STOP)
+    model = tfidf.fit_tfidf(docs, "text", stop_words=STOP)
     z = scale.standardize(model.vectors(docs, "text"), ["n_chars"], fit_on=docs)
     features = tfidf.assemble(z, "tfidf", ["n_chars"])
     names = tfidf.feature_names(model, ["n_chars"])

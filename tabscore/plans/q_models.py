@@ -177,13 +177,13 @@ def multilabel_suite(t):
     return multilabel(features, ["quality", "toxic"], members, "doc_id")
 
 
-def multilabel(features: DataFrame, targets: list[str], members: list, key: str) -> DataFrame:
-    """Fit every model for every target; long predictions with ``label``."""
+def multilabel(features: DataFrame, targets: list[str], members: list, key: str, keep: list[str] | None = None) -> DataFrame:
+    """Fit every model for every target; long predictions with ``label`` (and the key and target, unless other columns are kept)."""
     out = []
     for target in targets:
         df = features.where(F.col(target).isNotNull()).withColumn("y", F.col(target).cast("double"))
         suite = Suite([Member(n, make) for n, make in members]).fit(df.where("is_train"), key)
-        preds = suite.predict(df.where("not is_train"), [key, "y"])
+        preds = suite.predict(df.where("not is_train"), keep or [key, "y"])
         out.append(preds.withColumn("label", F.lit(target)))
     return stack(out)
 

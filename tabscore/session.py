@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows up to which a table counts as small enough to send to every executor.
 BROADCAST_ROWS = 100_000
+# Characters up to which a text in such a table counts as short.
+BROADCAST_TEXT = 256
 
 # Temporary folder per local application, where no shared folder is named.
 _local_folders: dict[str, str | None] = {}
 
 
-def get_spark(app: str = "tabscore", cores: str = "*", partitions: int | None = None) -> SparkSession:
-    """A session for tests and the bench; on a cluster pass your own session instead."""
+def get_spark(app: str = "tabscore", cores: str = "*", partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """A session for tests and the bench; on a cluster pass your own session instead.
+
+    ``shared`` is the folder for intermediate tables (``spark.checkpoint.dir``).
+    """
     b = (
         SparkSession.builder.appName(app)
         .master(f"local[{cores}]")
@@ -28,6 +37,8 @@ def get_spark(app: str = "tabscore", cores: str = "*", partitions: int | None =
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if shared is not None:
+        b = b.config("spark.checkpoint.dir", shared)
     if partitions is not None:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     spark = b.getOrCreate()
@@ -38,8 +49,8 @@ def get_spark(app: str = "tabscore", cores: str = "*", partitions: int | None =
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a local session without that setting falls back to a temporary folder;
-    on a cluster a machine-local folder would be lost with its executor.
+    Only a local session without that setting falls back to a temporary folder, which
+    goes when the program ends; on a cluster a machine-local folder would be lost with its executor.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -47,6 +58,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         app = spark.sparkContext.applicationId
         base = _local_folders.setdefault(app, None) or tempfile.mkdtemp(prefix="tabscore-")
+        if _local_folders[app] is None:
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
         _local_folders[app] = base
     return f"{base.rstrip('/')}/tabscore/{name}-{uuid.uuid4().hex}"
 
@@ -75,9 +88,20 @@ def join_lookup(big: DataFrame, lookup: DataFrame, on: list[str] | str, max_rows
 
 
 def fetch_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> pa.Table | None:
-    """The rows of a table of at most ``max_rows`` rows, or None for a larger one."""
-    table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+    """The rows of a small table, or None for a larger one.
+
+    Small is at most ``max_rows`` rows with texts of at most ``BROADCAST_TEXT`` characters: no
+    more than the first characters of a text are fetched, so the bytes are bounded too.
+    """
+    texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    if any(isinstance(f.dataType, (T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)) for f in df.schema):
+        return None
+    cut = [F.substring(F.col(f"`{c}`"), 1, BROADCAST_TEXT + 1).alias(c) if c in texts else F.col(f"`{c}`") for c in df.columns]
+    table = df.select(*cut).limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        return None
+    longest = [pc.max(pc.utf8_length(table[c])).as_py() or 0 for c in table.column_names if c in texts]
+    return table if max(longest, default=0) <= BROADCAST_TEXT else None
 
 
 def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:

@@ -436,3 +436,20 @@ def test_column_values_leave_none_out(spark):
     assert reshape.column_values(df, "x") == [1, 3]
     with pytest.raises(ValueError, match="more than 1"):
         reshape.column_values(df, "x", most=1)
+
+
+def test_a_lookup_with_long_texts_is_not_small(spark):
+    from tabscore.session import fetch_small
+
+    assert fetch_small(spark.createDataFrame([("x" * 256,)], "t string")).num_rows == 1
+    assert fetch_small(spark.createDataFrame([("x" * 257,)], "t string")) is None
+    big = spark.createDataFrame([("x" * 500, 1), ("y", 2)], "t string, v int")
+    out = join_lookup(spark.createDataFrame([("x" * 500,), ("y",), ("z",)], "t string"), big, "t")
+    assert sorted((r.t[0], r.v) for r in out.collect()) == [("x", 1), ("y", 2), ("z", None)]
+
+
+def test_weights_move_no_text(spark):
+    docs = spark.createDataFrame([(1, "aa bb"), (1, "aa"), (2, None)], "k long, text string")
+    out = Tfidf(["aa", "bb"], [2, 1], 2, None).weights(docs, "k", "text")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k, r.term) for r in out.collect()) == [(1, "aa"), (1, "aa"), (1, "bb")]
