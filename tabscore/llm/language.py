@@ -149,13 +149,15 @@ def sample_windows(docs: DataFrame, labels: Column, texts: int = SAMPLE_TEXTS) -
     known = docs.select(labels.cast("string").alias("y"), column("doc_id").alias("id"), column("text").cast("string").alias("text"))
     known = known.filter(learnable(F.col("id")) & F.col("y").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = known.groupBy("y").count()
-    share = counts.select(F.col("y").alias("of"), (F.lit(float(texts)) / F.col("count")).alias("share"))
-    languages = sorted(r["of"] for r in share.collect())
+    # One row a language: the shares become part of the expression, so no text moves by language.
+    share = {r["y"]: texts / r["count"] for r in counts.collect()}
+    languages = sorted(share)
+    wanted = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("y")) if share else F.lit(0.0)
     chance = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(1 << 30)
     at = [((F.octet_length("text") - WINDOW) * F.lit((2 * i + 1) / (2 * SAMPLE_WINDOWS))).cast("int") for i in range(SAMPLE_WINDOWS)]
     raw = F.encode("text", "UTF-8")
     cut = F.array(*[F.substring(raw, F.greatest(a, F.lit(0)) + 1, F.lit(WINDOW)) for a in at])
-    picked = known.join(share, F.col("y") == F.col("of")).filter(chance < F.col("share")).select("y", cut.alias("windows"))
+    picked = known.filter(chance < wanted).select("y", cut.alias("windows"))
     picked = picked.limit(2 * texts * max(len(languages), 1)).toArrow()
     flat = np.zeros((SAMPLE_WINDOWS * picked.num_rows, WINDOW), np.uint8)
     y = np.zeros(len(flat), np.int64)
