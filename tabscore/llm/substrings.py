@@ -35,7 +35,7 @@ from tabscore.session import materialize
 MIN_CHUNK = 32
 MEAN_BITS = 5  # a border after each byte with chance 1 / 2**5, so about 64 bytes a chunk
 MAX_CHUNK = 512
-MIN_SPAN = 64
+MIN_SPAN = 48
 NO_ID = -(2**63)
 
 # The gear table: one random 16-bit value a byte value, drawn from a fixed seed.
