@@ -8,7 +8,7 @@ places of the spans.
 
 Spans are code points, end exclusive. Base kinds are ``assign``, ``access`` and
 ``hex``; the ledger also holds rules for signed web tokens (``jwt``) and private key
-headers (``pem``).
+headers (``pem``). ``redact`` masks whole private keys (version 2 of ``pem``).
 
 Defined results: a null text is empty and has no spans; a null id is a path like any
 other; repeated rows and equal texts share a scan and each get its spans; an
@@ -25,6 +25,14 @@ from tabscore.session import materialize
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
+# A private key from BEGIN to END; without END to the end of its base64, header lines of the key included. Lines may
+# be parted by a written \n. Possessive parts keep long texts off the stack and the search linear.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s*+[A-Za-z]++-[A-Za-z]++:[^\r\n]*+)*+"
+    r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+=*+|[ \t]*+(?:(?:[\r\n]|\\[nr])[ \t]*+)++[A-Za-z0-9+/]++=*+(?=[ \t]*+(?:[\r\n]|\\[nr]|$)))++|)"
+)
+
 # kind, version, pattern; the order is the order of kinds. A run too short to count can not hide a longer
 # one for access and hex, so there the length is part of the pattern.
 RULES = (
@@ -34,6 +42,8 @@ RULES = (
     ("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     ("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
+# What is masked: the whole key, not its first line.
+MASKED = RULES[:-1] + (("pem", 2, PEM),)
 BASE = ("assign", "access", "hex")
 LEAST_VALUE = 6
 SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -67,10 +77,10 @@ def _spans(text: Column, kind: int, pattern: str) -> Column:
     return F.when(text.rlike(pattern), located).otherwise(F.array().cast(SPANS))
 
 
-def scan_blobs(blobs: DataFrame) -> DataFrame:
+def scan_blobs(blobs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """Findings ``blob``, ``rule``, ``spans`` of each rule named in ``rules`` of a row (columns blob, text, rules)."""
     text = F.col("text")
-    done = [F.when(F.array_contains("rules", rule_name(k, v)), F.struct(F.lit(rule_name(k, v)).alias("rule"), _spans(text, i, p).alias("spans"))) for i, (k, v, p) in enumerate(RULES)]
+    done = [F.when(F.array_contains("rules", rule_name(k, v)), F.struct(F.lit(rule_name(k, v)).alias("rule"), _spans(text, i, p).alias("spans"))) for i, (k, v, p) in enumerate(rules)]
     return blobs.select("blob", F.explode(F.filter(F.array(*done), lambda f: f.isNotNull())).alias("f")).select("blob", "f.rule", "f.spans")
 
 
@@ -80,9 +90,9 @@ def address(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return docs.select(column(doc_id).cast("long").alias("doc_id"), whole.alias("text"), F.sha2(whole, 256).alias("blob"))
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
     """The ledger (``blob``, ``rule``, ``spans``) with all unseen blob and rule-version pairs of ``versions`` scanned."""
-    names = F.array(*[F.lit(rule_name(k, v)) for k, v, _ in RULES])
+    names = F.array(*[F.lit(rule_name(k, v)) for k, v, _ in rules])
     path = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
     # One path stands for each blob: the smallest id. Found without moving a text.
     owners = versions.groupBy("blob").agg(F.min(path).alias("owner"))
@@ -95,15 +105,15 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None) -> DataF
     owners = owners.select(F.col("blob").alias("of"), "owner", "rules")
     texts = versions.select("blob", "text", path.alias("path")).join(owners, (F.col("path") == F.col("owner")) & (F.col("blob") == F.col("of")))
     # Repeated rows of one path would be scanned again; they are few unless a row itself repeats, and count once below.
-    fresh = scan_blobs(texts.select("blob", "text", "rules")).distinct()
+    fresh = scan_blobs(texts.select("blob", "text", "rules"), rules).distinct()
     return materialize(fresh if ledger is None else ledger.select("blob", "rule", "spans").union(fresh), "secret-ledger")
 
 
-def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
     """``doc_id``, ``blob`` and sorted ``found`` spans of every row, by the ledger."""
     versions = address(docs, doc_id, text)
-    now = update_ledger(versions, ledger)
-    wanted = [rule_name(k, v) for k, v, _ in RULES]
+    now = update_ledger(versions, ledger, rules)
+    wanted = [rule_name(k, v) for k, v, _ in rules]
     # A blob has as many ledger rows as rules.
     known = now.filter(F.col("rule").isin(wanted) & (F.size("spans") > 0)).groupBy(F.col("blob").alias("of")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     paths = versions.select("doc_id", "blob").join(known, F.col("blob") == F.col("of"), "left")
@@ -129,7 +139,7 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, each stretch of overlapping spans replaced by ``MASK``."""
-    found = find_secrets(docs, None, doc_id, text).filter(F.size("found") > 0)
+    found = find_secrets(docs, None, doc_id, text, MASKED).filter(F.size("found") > 0)
     marks = found.select(F.col("blob").alias("_of"), F.col("found").alias("_found")).distinct()
     own = docs.withColumn("_blob", F.sha2(F.coalesce(column(text).cast("string"), F.lit("")), 256))
     both = own.join(marks, F.col("_blob") == F.col("_of"), "left")
