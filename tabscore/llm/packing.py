@@ -16,6 +16,8 @@ other columns are not read.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -105,12 +107,15 @@ def curve_keys(texts: pa.Array) -> np.ndarray:
 class Words(dict):
     """Token ids (little-endian 32-bit) by blank-bounded word, the bounded memory of one Python worker.
 
-    The ranks file holds the vocabulary of the byte-level tokenizer of the same name;
-    special strings in a text are ordinary text.
+    The ranks file holds the vocabulary of the byte-level tokenizer of the same name.
+    Texts are cut at the strings of ``added``, each one id; without it they are ordinary text.
     """
 
-    def __init__(self, ranks_file: str, pattern: str):
+    def __init__(self, ranks_file: str, pattern: str, added: dict[str, int] | None = None):
         super().__init__()
+        self.added = added or {}
+        # Of several at one place the longest counts.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("documents", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -125,7 +130,15 @@ class Words(dict):
         return ids
 
     def text(self, text: str) -> bytes:
-        """All ids of a text; a single blank between other characters always starts a new word."""
+        """All ids of a text, the added tokens in it included."""
+        if self.cut is None:
+            return self.part(text)
+        parts = self.cut.split(text)
+        # Every second part is an added token.
+        return b"".join([array("I", [self.added[p]]).tobytes() if i % 2 else self.part(p) if p else b"" for i, p in enumerate(parts)])
+
+    def part(self, text: str) -> bytes:
+        """All ids of ordinary text; a single blank between other characters always starts a new word."""
         words = text.split(" ")
         out, held = [], words[0]
         for word in words[1:]:
@@ -139,18 +152,31 @@ class Words(dict):
         return b"".join([self[w] for w in out])
 
 
-_words: dict[tuple[str, str], Words] = {}
+_words: dict[tuple, Words] = {}
 
 
-def words(ranks_file: str, pattern: str) -> Words:
-    if (ranks_file, pattern) not in _words:
-        _words[ranks_file, pattern] = Words(ranks_file, pattern)
-    return _words[ranks_file, pattern]
+def words(ranks_file: str, pattern: str, added: dict[str, int] | None = None) -> Words:
+    key = ranks_file, pattern, tuple(sorted((added or {}).items()))
+    if key not in _words:
+        _words[key] = Words(ranks_file, pattern, added)
+    return _words[key]
 
 
-def pack(docs: DataFrame, ranks_file: str, pattern: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, ids: bool = False) -> DataFrame:
+def added_tokens(tokenizer_file: str) -> dict[str, int]:
+    """Id by string of the added tokens that the tokenizer of a JSON file matches inside a text."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+            raise ValueError(f"added token {t['content']!r} is not matched as it stands")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def pack(docs: DataFrame, ranks_file: str, pattern: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """Pieces of all documents in sequences of at most ``length`` ids, neighbours along the curve together.
 
+    ``added`` has the id of each string that is one token wherever it stands (``added_tokens``).
+
     Returns ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``,
     ``sequence_id``, ``offset``; with ``ids`` also the ids of each piece.
     """
@@ -166,7 +192,7 @@ def pack(docs: DataFrame, ranks_file: str, pattern: str, doc_id: str = "doc_id",
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words(ranks_file, pattern)
+        known = words(ranks_file, pattern, added)
         sequence, offset = TaskContext.get().partitionId() << 40, 0
         last, last_ids = None, end
         for batch in batches:

@@ -11,7 +11,7 @@ from tabscore.llm.chat import format_chats
 from tabscore.llm.common import reach
 from tabscore.llm.language import identify
 from tabscore.llm.neighbours import nearest
-from tabscore.llm.packing import pack
+from tabscore.llm.packing import added_tokens, pack
 from tabscore.llm.pieces import encode_texts
 from tabscore.llm.quality import DOUBT, LEAST_WORDS, RISK, SIGNALS, quality
 from tabscore.llm.secrets import secrets
@@ -51,7 +51,7 @@ def op8(t: Tables) -> DataFrame:
 
 @query("op10_packing")
 def op10(t: Tables) -> DataFrame:
-    return pack(t.documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(t.documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 @query("op4_language")
