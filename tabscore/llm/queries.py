@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabscore.llm.chat import format_chats
 from tabscore.llm.common import reach
+from tabscore.llm.divergence import ADDED, LEAST_DOCS, LOWER, SCALE, TOP_TERMS, UPPER, divergence
+from tabscore.llm.jaccard import jaccard_components
 from tabscore.llm.language import identify
+from tabscore.llm.negatives import hard_negatives
 from tabscore.llm.neighbours import nearest
 from tabscore.llm.packing import added_tokens, pack
 from tabscore.llm.pieces import encode_texts
@@ -160,3 +163,79 @@ FROM b
 @query("op3_chat", CHAT_SQL)
 def op3(t: Tables) -> DataFrame:
     return format_chats(t.conversations)
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, r.label = a.label AS same, list_inner_product(a.x, r.x)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT * FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT pos.anchor_id, pos.id AS positive_id, row_number() OVER (PARTITION BY pos.anchor_id, pos.id ORDER BY n.score DESC, n.id)::INT AS rank,
+  n.id AS negative_id, pos.score AS positive_score, n.score AS negative_score
+FROM pos JOIN p n ON n.anchor_id = pos.anchor_id AND NOT n.same AND 80 * pos.score <= 100 * n.score AND 100 * n.score <= 100 * pos.score
+QUALIFY row_number() OVER (PARTITION BY pos.anchor_id, pos.id ORDER BY n.score DESC, n.id) <= 5
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11(t: Tables) -> DataFrame:
+    return hard_negatives(t.embeddings)
+
+
+DIVERGENCE_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= {LEAST_DOCS}),
+c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN kept ON t.lang = kept.lang AND t.term = kept.term GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS all_n
+  FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (
+  SELECT lang, source, term, n, 1 + ({SCALE}::HUGEINT * (n + {ADDED})) // (sum(n) OVER w + {ADDED} * count(*) OVER w) AS p,
+    1 + ({SCALE}::HUGEINT * (all_n + {ADDED})) // (sum(all_n) OVER w + {ADDED} * count(*) OVER w) AS q
+  FROM grid WINDOW w AS (PARTITION BY lang, source)),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM kept)
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM f QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= {TOP_TERMS}
+"""
+
+
+@query("op12_divergence", DIVERGENCE_SQL)
+def op12(t: Tables) -> DataFrame:
+    return divergence(t.documents)
+
+
+JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM d),
+n AS MATERIALIZED (SELECT r, doc_id, len(sh) AS n FROM s),
+t AS MATERIALIZED (SELECT r, unnest(sh) AS g FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT r, r FROM n UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM n JOIN reach ON reach.a = n.r JOIN n o ON o.r = reach.b GROUP BY n.r, n.doc_id, n.n
+"""
+
+
+@query("op13_jaccard_join", JACCARD_SQL)
+def op13(t: Tables) -> DataFrame:
+    return jaccard_components(t.documents)
