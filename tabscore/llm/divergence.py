@@ -26,16 +26,18 @@ value 0 for every pair; an empty table gives an empty one; other columns are not
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscore.llm.common import column
+from tabscore.llm.common import column, per_batch, utf8
 from tabscore.session import local_table, materialize
 
 LEAST_DOCS = 30
@@ -44,31 +46,74 @@ TOP_TERMS = 50
 SCALE, ADDED = 1_000_000_000, 5
 TOKEN_BYTES = 96
 SLICE_TOKENS = 2_000_000
+# One text of so many tells how many slices there are.
+SAMPLED = 16
 # Rows (source, term) of one block of terms.
 BLOCK_ROWS = 1 << 18
 LARGEST = 2**31 - 1
-SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Bytes of terms: ASCII letters and all bytes of other characters; only A-Z are lowered.
+LETTERS = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
+LOWER_CASE = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 # A token that is a digest starts with this; a term holds neither character.
 DIGEST = "\u0000#"
 
 
-def terms(text: Column) -> Column:
-    """All terms of a text in order, after one empty string (the text gets a separator in front)."""
-    return F.split(F.concat(F.lit(" "), F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)), SEPARATORS)
+def batch_terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of a batch of texts in order, and the number of terms of each text."""
+    data, offsets = utf8(texts)
+    inside = LETTERS[data]
+    # A term starts at a letter that opens its text or follows a separator.
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    opens = offsets[:-1][np.diff(offsets) > 0]
+    starts[opens] = inside[opens]
+    firsts = np.flatnonzero(starts)
+    kept = np.cumsum(inside) - inside
+    bounds = np.append(kept[firsts], inside.sum()).astype(np.int64)
+    letters = LOWER_CASE[data[inside]]
+    found = pa.LargeStringArray.from_buffers(len(firsts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(letters)))
+    return found, np.diff(np.searchsorted(firsts, offsets))
 
 
-def _token(lang: Column, term: Column) -> Column:
-    raw = F.concat(lang, F.lit("\u0000"), term)
-    short = F.when(F.octet_length(raw) <= TOKEN_BYTES, raw).otherwise(F.concat(F.lit(DIGEST), F.sha2(raw, 256)))
-    # The empty string is in every document: it stands for no term and keeps a vocabulary from being empty.
-    return F.when(term == "", F.lit("")).otherwise(short)
+def _tokens(langs: pa.Array, found: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The terms with their languages in front, and which of them are digests."""
+    own = langs.cast(pa.large_string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+    raw = pc.binary_join_element_wise(own, found, pa.scalar("\u0000", pa.large_string()))
+    long = pc.greater(pc.binary_length(raw), TOKEN_BYTES).to_numpy(zero_copy_only=False)
+    if long.any():
+        digests = [DIGEST + hashlib.sha256(t.encode()).hexdigest() for t in raw.filter(pa.array(long)).to_pylist()]
+        raw = pc.replace_with_mask(raw, pa.array(long), pa.array(digests, pa.large_string()))
+    return raw, long
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.coalesce(column(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], column("text").cast("string").alias("text"))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """``lang``, ``source``, ``tokens`` of every document."""
-    named = docs.select(*[F.coalesce(column(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], column("text").cast("string").alias("text"))
-    return named.select("lang", "source", F.transform(terms(F.col("text")), lambda t: _token(F.col("lang"), t)).alias("tokens"))
+    """``lang``, ``source``, ``tokens`` of every document; the last token is the empty string, which keeps a vocabulary from being empty."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, sizes = batch_terms(batch.column(2))
+        raw, _ = _tokens(batch.column(0), found, sizes)
+        ends = np.cumsum(sizes)
+        places = np.insert(np.arange(len(raw)), ends, len(raw))
+        every = pa.concat_arrays([raw, pa.array([""], pa.large_string())]).take(pa.array(places))
+        offsets = np.concatenate([[0], ends + np.arange(1, len(sizes) + 1)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), every.cast(pa.string()))], ["lang", "source", "tokens"])
+
+    return _named(docs).mapInArrow(per_batch(run), "lang string, source string, tokens array<string>")
+
+
+def long_terms(docs: DataFrame) -> DataFrame:
+    """``token`` and ``term`` for the digests."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, sizes = batch_terms(batch.column(2))
+        raw, long = _tokens(batch.column(0), found, sizes)
+        return pa.RecordBatch.from_arrays([c.filter(pa.array(long)).cast(pa.string()) for c in (raw, found)], ["token", "term"])
+
+    return _named(docs).mapInArrow(per_batch(run), "token string, term string").distinct()
 
 
 def _sums(part: DataFrame, least: int) -> DataFrame:
@@ -86,8 +131,10 @@ def group_counts(docs: DataFrame, least: int = LEAST_DOCS, slice_tokens: int = S
     spark, marked = docs.sparkSession, tokens(docs)
     if docs.select(F.lit(1)).limit(least).count() < least:
         return spark.createDataFrame([], "lang string, source string, term string, n long")
-    distinct = marked.select(F.explode("tokens").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-    slices = max(1, math.ceil(distinct / slice_tokens))
+    # A kept token is in ``least`` texts, so it is in the sample with at least this chance; rare tokens make the count too high, never too low.
+    sampled = tokens(docs.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SAMPLED)) == 0))
+    distinct = sampled.select(F.explode("tokens").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+    slices = max(1, math.ceil(distinct / (1 - (1 - 1 / SAMPLED) ** least) / slice_tokens))
     if slices == 1:
         summed = _sums(marked, least)
     else:
@@ -104,10 +151,8 @@ def group_counts(docs: DataFrame, least: int = LEAST_DOCS, slice_tokens: int = S
     plain = summed.filter(~long).select("lang", "source", F.substring_index("token", "\u0000", -1).alias("term"), "n")
     if summed.filter(long).isEmpty():
         return plain
-    # Only texts with terms beyond the length are looked through again for what their digests stand for.
-    source = docs.select(F.coalesce(column("lang").cast("string"), F.lit("")).alias("lang"), F.explode(F.array_distinct(terms(column("text").cast("string")))).alias("term"))
-    names = source.select("term", _token(F.col("lang"), F.col("term")).alias("token")).filter(long).distinct()
-    return plain.unionByName(summed.filter(long).join(names, "token").select("lang", "source", "term", "n"))
+    # Texts are looked through again for what the digests stand for.
+    return plain.unionByName(summed.filter(long).join(long_terms(docs), "token").select("lang", "source", "term", "n"))
 
 
 def share(n: Column, total: Column, vocabulary: Column) -> Column:
@@ -151,8 +196,7 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, s
     whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n"))
     langs = whole.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("all_total"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    named = docs.select(*[F.coalesce(column(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
-    groups = named.join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = _named(docs).select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("all_total", F.lit(0)).alias("all_total"))
     groups = materialize(groups.withColumn("z", F.when(F.col("v") > 0, share(F.lit(0), F.col("total"), F.col("v")))), "groups")
     rows = counts.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("v")))

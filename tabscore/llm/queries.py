@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabscore.llm.chat import format_chats
 from tabscore.llm.common import reach
-from tabscore.llm.divergence import ADDED, LEAST_DOCS, LOWER, SCALE, TOP_TERMS, UPPER, divergence
+from tabscore.llm.divergence import ADDED, LEAST_DOCS, SCALE, TOP_TERMS, divergence
 from tabscore.llm.jaccard import jaccard_components
 from tabscore.llm.language import identify
 from tabscore.llm.negatives import hard_negatives
@@ -185,6 +185,8 @@ def op11(t: Tables) -> DataFrame:
     return hard_negatives(t.embeddings)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 DIVERGENCE_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
