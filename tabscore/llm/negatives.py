@@ -28,7 +28,6 @@ raise an error, as their products are no longer exact; other columns are not rea
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -64,31 +63,40 @@ class CoverTree:
         self.filled = fill(x, longest)
         self.centre, self.angle, self.low, self.high, self.below, self.rows = [], [], [], [], [], []
         rows = np.arange(len(x))
-        waiting = [(self._node(rows, 0, _distance(self.filled, self.filled[0])), rows)] if len(x) else []
+        waiting = [(self._node(rows, 0, self._chords(self.filled, 0)), rows)] if len(x) else []
         while waiting:
             node, rows = waiting.pop()
-            away = _distance(self.filled[rows], self.filled[self.centre[node]])
-            radius = away.max()
-            if len(rows) <= leaf or radius == 0:
-                self.rows[node] = rows
-                continue
+            own = self.filled[rows]
+            near = self._chords(own, self.centre[node])
+            radius = near.max()
             # The node's centre stays a centre; the row farthest from all centres becomes the next one.
-            near, owner, centres = away.copy(), np.zeros(len(rows), np.int64), [self.centre[node]]
-            while near.max() > radius / 2 and len(centres) < children:
-                far = int(near.argmax())
-                away = _distance(self.filled[rows], self.filled[rows[far]])
+            owner, centres = np.zeros(len(rows), np.int64), [self.centre[node]]
+            while len(rows) > leaf and radius > 1e-7 * longest and near.max() > radius / 2 and len(centres) < children:
+                far = int(rows[near.argmax()])
+                away = self._chords(own, far)
                 closer = away < near
                 near[closer], owner[closer] = away[closer], len(centres)
-                centres.append(int(rows[far]))
+                centres.append(far)
+            if len(centres) == 1:
+                self.rows[node] = rows
+                continue
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(len(centres) + 1))
             for i, c in enumerate(centres):
-                own = owner == i
-                child = self._node(rows[own], c, near[own])
-                self.below[node].append(child)
-                waiting.append((child, rows[own]))
+                mine = order[cuts[i] : cuts[i + 1]]
+                if mine.size:
+                    child = self._node(rows[mine], c, near[mine])
+                    self.below[node].append(child)
+                    waiting.append((child, rows[mine]))
         self.below = [np.array(b, np.int64) for b in self.below]
+        self.leaf = np.array([r is not None for r in self.rows])
         self.centre, self.angle = np.array(self.centre, np.int64), np.array(self.angle)
         self.low, self.high = np.array(self.low), np.array(self.high)
 
+    def _chords(self, filled: np.ndarray, centre: int) -> np.ndarray:
+        """Distances from a row: all lie on one sphere, so the product tells."""
+        return np.sqrt(np.maximum(2 * (self.longest**2 - filled @ self.filled[centre]), 0))
+
     def _node(self, rows: np.ndarray, centre: int, away: np.ndarray) -> int:
         self.centre.append(centre)
         self.angle.append(angle(float(away.max(initial=0)), self.longest))
@@ -99,36 +107,45 @@ class CoverTree:
         return len(self.centre) - 1
 
     def search(self, q: np.ndarray, label: int, same: bool, windows: np.ndarray, k: int) -> list[list[tuple[int, int, int]]]:
-        """For each window (low, high): the ``k`` best rows as (-score, first id, row), of the label or of all others."""
+        """For each window (low, high): the ``k`` best rows as (-score, first id, row), of the label or of all others.
+
+        Nodes are taken best bound first, a few at a time and then more: where bounds are tight the first ones end
+        the search, where they are not the rest is scored in large pieces.
+        """
         held: list[list[tuple[int, int, int]]] = [[] for _ in windows]
         if not len(self.x) or not len(windows):
             return held
         need, top, norm = windows[:, 0].astype(float), windows[:, 1].astype(float), float(np.sqrt(q @ q))
-        heap = [(-math.inf, 0)]
-        while heap:
-            bound, node = heapq.heappop(heap)
-            if -bound < need.min():
-                break
-            rows = self.rows[node]
-            if rows is not None:
+        nodes, upper, width = np.zeros(1, np.int64), np.full(1, np.inf), 8
+        while nodes.size:
+            open_ = upper >= need.min()
+            nodes, upper = nodes[open_], upper[open_]
+            order = np.argsort(-upper, kind="stable")
+            now, nodes, upper = nodes[order[:width]], nodes[order[width:]], upper[order[width:]]
+            width *= 2
+            leaves = [self.rows[i] for i in now[self.leaf[now]]]
+            if leaves:
+                rows = np.concatenate(leaves)
                 rows = rows[(self.label[rows] == label) == same]
                 self._hold(held, need, windows, rows, (self.x[rows] @ q).astype(np.int64), k)
-                continue
-            child = self.below[node]
-            fit = (self.low[child] <= label) & (label <= self.high[child]) if same else (self.low[child] != label) | (self.high[child] != label)
-            child = child[fit]
-            below, above = bounds(self.x[self.centre[child]] @ q, self.angle[child], norm, self.longest)
-            use = ((above[:, None] >= need) & (below[:, None] <= top)).any(axis=1)
-            for bound, node in zip(above[use], child[use]):
-                heapq.heappush(heap, (-float(bound), int(node)))
+            inner = now[~self.leaf[now]]
+            if inner.size:
+                child = np.concatenate([self.below[i] for i in inner])
+                fit = (self.low[child] <= label) & (label <= self.high[child]) if same else (self.low[child] != label) | (self.high[child] != label)
+                child = child[fit]
+                below, above = bounds(self.x[self.centre[child]] @ q, self.angle[child], norm, self.longest)
+                use = ((above[:, None] >= need) & (below[:, None] <= top)).any(axis=1)
+                nodes, upper = np.concatenate([nodes, child[use]]), np.concatenate([upper, above[use]])
         return held
 
     def _hold(self, held, need, windows, rows, scores, k):
-        for w, (low, high) in enumerate(windows):
-            fit = np.flatnonzero((scores >= max(low, need[w])) & (scores <= high))
-            if fit.size > k:
-                fit = fit[np.lexsort((self.first[rows[fit]], -scores[fit]))[:k]]
-            if fit.size:
+        use = np.flatnonzero(scores >= need.min())
+        order = use[np.lexsort((self.first[rows[use]], -scores[use]))]
+        falling = -scores[order]
+        starts = np.searchsorted(falling, -windows[:, 1])
+        for w, start in enumerate(starts):
+            fit = [i for i in order[start : start + k] if scores[i] >= need[w]]
+            if fit:
                 held[w] = sorted(held[w] + [(-int(scores[i]), int(self.first[rows[i]]), int(rows[i])) for i in fit])[:k]
                 if len(held[w]) == k:
                     need[w] = max(need[w], -held[w][-1][0])
