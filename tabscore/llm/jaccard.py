@@ -5,17 +5,19 @@ of each, whatever one order the tokens of all sets are put in. Several such glob
 filter the pairs before any is verified:
 
 1. Frequent tokens last, the others by hash. Documents meet by the tokens of these
-   prefixes. Which tokens are frequent comes from a bounded sample; the order is valid with
+   prefixes. Which tokens are frequent comes from a bounded sample, and then from the prefixes
+   themselves, as long as a token there still has very many nodes; the order is valid with
    any such list, which only spares the meetings by common lines and passages. How many prefix tokens
-   a pair shares bounds its overlap from above, and most pairs end there.
+   a pair shares bounds its overlap from above.
 2. and 3. Two further orders by other hashes: a pair that is left must share a prefix
    token under each of them. Only then are the whole sets compared.
 
 Equal sets are one node. Each node is first compared with the smallest node of its
 tokens, if it shares enough tokens with it: this ties most families together. Then only pairs whose
-nodes are not yet in one component are formed. A token with more than ``MEETING`` nodes
-is cut into slices by hash, and each pair of slices is a group of its own, so
-no group is larger than that and no pair is lost.
+nodes are not yet in one component are looked at, inside the task that holds a token's nodes: a node brings
+a bitmap of its set, the bits that one node has and the other lacks are tokens not shared, and a pair leaves
+the task only if these are few enough. A token with more than ``MEETING`` nodes is cut into slices by hash, and
+each pair of slices is a group of its own, so no group is larger than that and no pair is lost.
 
 A task holds the set of one node and streams those to compare with it; a node with many
 partners goes to several tasks. Texts move, not sets: they are smaller.
@@ -47,10 +49,15 @@ PERCENT = 80
 SAMPLE_DOCS = 8_192
 FREQUENT = 4
 FREQUENT_TOKENS = 1_000_000
+# Nodes of a token beyond which it counts as frequent as well, and how often the list may grow.
+CROWD = 1_024
+LISTS = 4
 # Nodes that meet in one group, members that one task compares with a node, and nodes whose keys are broadcast.
 MEETING = 128
-MEMBERS = 512
+MEMBERS = 64
 BROADCAST_NODES = 500_000
+# Bits of a set's bitmap: a power of two, at least twice its tokens.
+LEAST_BITS = 256
 # Words remembered by a worker, and the longest of them in bytes.
 WORDS_KEPT, WORD_BYTES = 200_000, 48
 
@@ -132,6 +139,46 @@ def similar(a: np.ndarray, b: np.ndarray, b_prefixes: list[np.ndarray]) -> bool:
     return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """One bit per token, as 64-bit words; halves laid over each other give the bitmap of half the size."""
+    size = max(LEAST_BITS, 1 << int(2 * len(tokens) - 1).bit_length())
+    place = (_moved(tokens, _C) & np.uint64(size - 1)).astype(np.int64)
+    bits = np.zeros(size, np.uint8)
+    bits[place] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows x words) of half the size."""
+    half = words.shape[1] // 2
+    return words[:, :half] | words[:, half:]
+
+
+def bitmap_pairs(n: np.ndarray, words: list[np.ndarray], of: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (of, to) whose sizes and bitmaps allow similar sets."""
+    sizes = np.array([len(w) for w in words])
+    found_a, found_b = [], []
+    for size in np.unique(sizes[of]):
+        a = of[sizes[of] == size]
+        own = np.stack([words[i] for i in a])
+        # Similar sets differ by less than a factor of two, and so do their bitmaps.
+        for other in (size // 2, size, 2 * size):
+            b = to[sizes[to] == other]
+            if not b.size or not a.size:
+                continue
+            theirs = np.stack([words[i] for i in b])
+            x, y = (folded(own), theirs) if other < size else (own, folded(theirs)) if other > size else (own, theirs)
+            need = -(-PERCENT * (n[a][:, None] + n[b][None, :]) // (100 + PERCENT))
+            fit = n[a][:, None] - np.bitwise_count(x[:, None, :] & ~y[None, :, :]).sum(axis=2, dtype=np.int64) >= need
+            fit &= n[b][None, :] - np.bitwise_count(~x[:, None, :] & y[None, :, :]).sum(axis=2, dtype=np.int64) >= need
+            fit &= PERCENT * np.maximum(n[a][:, None], n[b][None, :]) <= 100 * np.minimum(n[a][:, None], n[b][None, :])
+            i, j = np.nonzero(fit)
+            found_a.append(a[i])
+            found_b.append(b[j])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
+
+
 def _key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
@@ -162,7 +209,7 @@ def frequent_tokens(source: DataFrame, rows: int) -> np.ndarray:
 
 
 def marked_sets(source: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id``, ``row``, ``digest`` of the set (null without one), ``n`` and the ``prefix`` of every document; map-only."""
+    """``doc_id``, ``row``, ``digest`` of the set (null without one), ``n``, ``prefix`` and ``bits`` of every document; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -173,12 +220,12 @@ def marked_sets(source: DataFrame, frequent: np.ndarray) -> DataFrame:
             prefixes = [prefix(s, frequent) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = _signed(np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64))
-            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "digest", "n", "prefix"])
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "digest", "n", "prefix", "bits"])
 
         yield from per_batch(one)(batches)
 
-    return source.mapInArrow(run, "doc_id long, row long, digest binary, n int, prefix array<long>")
+    return source.mapInArrow(run, "doc_id long, row long, digest binary, n int, prefix array<long>, bits binary")
 
 
 def _texts(source: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -239,7 +286,7 @@ def possible(n: Column, m: Column, shared: Column) -> Column:
 
 
 def _alike(n: Column, m: Column) -> Column:
-    return (PERCENT * F.greatest(n, m) <= 100 * F.least(n, m))
+    return PERCENT * F.greatest(n, m) <= 100 * F.least(n, m)
 
 
 def first_pairs(met: DataFrame) -> DataFrame:
@@ -250,45 +297,88 @@ def first_pairs(met: DataFrame) -> DataFrame:
     return shared.filter(_alike(F.col("n"), F.col("m")) & possible(F.col("n"), F.col("m"), F.col("shared"))).select("a", "b")
 
 
-def later_pairs(met: DataFrame, roots: DataFrame) -> DataFrame:
+def later_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """All pairs that share a prefix token, can be similar and are not yet in one component."""
     placed = met.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    placed = placed.join(mixed, "token", "left_semi")
+    placed = placed.join(mixed, "token", "left_semi").join(nodes.select("node", "bits"), "node")
     # A token with many nodes: every pair of its slices is one group.
     parts = F.ceil(F.col("met") / MEETING).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    cut = placed.select("token", "node", "n", "root", own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    cut = cut.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.struct("node", "n", "root", "part").alias("e"))
-    groups = cut.groupBy("token", "i", "j").agg(F.collect_list("e").alias("g")).filter(F.size("g") > 1)
-    one = groups.select("i", "j", "g", F.explode("g").alias("x")).filter("x.part = i")
-
-    def partner(y: Column) -> Column:
-        x = F.col("x")
-        later = (y["part"] == F.col("j")) & ((F.col("i") != F.col("j")) | (y["node"] > x["node"]))
-        return later & (y["root"] != x["root"]) & _alike(x["n"], y["n"])
-
-    both = one.select("x", F.explode(F.filter("g", partner)).alias("y"))
-    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    shared = both.groupBy(*ends).agg(F.count("*").alias("shared"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+    cut = placed.select("token", "node", "n", "root", "bits", own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    cut = cut.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "root", "bits")
+    dealt = cut.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
+
+    def pairs(group: pa.Table) -> np.ndarray:
+        node, n, root, part = (group.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "root", "part"))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        words = [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()]
+        a, b = bitmap_pairs(n, words, np.flatnonzero(part == i), np.flatnonzero(part == j))
+        keep = (root[a] != root[b]) & ((i != j) | (a < b))
+        a, b = a[keep], b[keep]
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return np.stack([node[a], node[b], n[a], n[b]], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            key = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
+            cuts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+            yield counted([pairs(table.slice(x, y - x)) for x, y in zip(cuts[:-1], cuts[1:])])
+            # The last group may go on in the next batch.
+            held = table.slice(int(cuts[-1])).combine_chunks().to_batches()
+        if held:
+            yield counted([pairs(pa.Table.from_batches(held))])
+
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate([*found, np.zeros((0, 4), np.int64)])
+        rows, times = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([*[pa.array(c) for c in rows.T], pa.array(times.astype(np.int64))], ["a", "b", "n", "m", "shared"])
+
+    met_pairs = dealt.mapInArrow(run, "a long, b long, n long, m long, shared long")
+    shared = met_pairs.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared"))
     return shared.filter(possible(F.col("n"), F.col("m"), F.col("shared"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
-    source = _source(docs, doc_id, text)
-    frequent = frequent_tokens(source, docs.count())
+def _sets(source: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Marked documents, nodes, and the prefix tokens that several nodes have."""
     marked = materialize(marked_sets(source, frequent), "sets")
-    with_set = marked.filter("digest is not null")
-    classes = with_set.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = marked.filter("digest is not null").groupBy("digest")
+    classes = classes.agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     tokens = nodes.select("node", "n", F.explode("prefix").alias("token"))
     several = tokens.groupBy("token").agg(F.count("*").alias("met")).filter("met > 1")
-    met = materialize(tokens.join(several, "token"), "met")
+    return marked, nodes, materialize(tokens.join(several, "token"), "met")
+
+
+def _crowded(met: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """Tokens with very many nodes that are not in the list yet, as far as the list has room."""
+    room = FREQUENT_TOKENS - len(frequent)
+    top = met.filter(F.col("met") > CROWD).groupBy("token").agg(F.max("met").alias("met")).orderBy(F.desc("met"), "token").limit(len(frequent) + max(room, 0))
+    found = top.select("token").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+    return np.setdiff1d(found, frequent)[: max(room, 0)]
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
+    source = _source(docs, doc_id, text)
+    frequent = frequent_tokens(source, docs.count())
+    marked, nodes, met = _sets(source, frequent)
+    for _ in range(LISTS):
+        more = _crowded(met, frequent)
+        if not len(more):
+            break
+        frequent = np.union1d(frequent, more)
+        marked, nodes, met = _sets(source, frequent)
     first = materialize(first_pairs(met), "pairs")
     links = materialize(verify(source, nodes, first), "links")
     roots = components(links)
-    later = materialize(later_pairs(met, roots), "pairs")
+    later = materialize(later_pairs(met, nodes, roots), "pairs")
     if not later.isEmpty():
         links = materialize(links.unionByName(verify(source, nodes, later)), "links")
         roots = components(links)
