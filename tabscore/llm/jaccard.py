@@ -53,9 +53,12 @@ FREQUENT_TOKENS = 1_000_000
 CROWD = 1_024
 LISTS = 4
 # Nodes that meet in one group, members that one task compares with a node, and nodes whose keys are broadcast.
-MEETING = 128
+MEETING = 512
 MEMBERS = 64
 BROADCAST_NODES = 500_000
+# Words of bitmaps compared at once, and rows of pairs that a task returns at once.
+WORDS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 16_384
 # Bits of a set's bitmap: a power of two, at least twice its tokens.
 LEAST_BITS = 256
 # Words remembered by a worker, and the longest of them in bytes.
@@ -168,13 +171,16 @@ def bitmap_pairs(n: np.ndarray, words: list[np.ndarray], of: np.ndarray, to: np.
                 continue
             theirs = np.stack([words[i] for i in b])
             x, y = (folded(own), theirs) if other < size else (own, folded(theirs)) if other > size else (own, theirs)
-            need = -(-PERCENT * (n[a][:, None] + n[b][None, :]) // (100 + PERCENT))
-            fit = n[a][:, None] - np.bitwise_count(x[:, None, :] & ~y[None, :, :]).sum(axis=2, dtype=np.int64) >= need
-            fit &= n[b][None, :] - np.bitwise_count(~x[:, None, :] & y[None, :, :]).sum(axis=2, dtype=np.int64) >= need
-            fit &= PERCENT * np.maximum(n[a][:, None], n[b][None, :]) <= 100 * np.minimum(n[a][:, None], n[b][None, :])
-            i, j = np.nonzero(fit)
-            found_a.append(a[i])
-            found_b.append(b[j])
+            step = max(1, WORDS_AT_ONCE // (y.size or 1))
+            for at in range(0, len(a), step):
+                piece, mine, m = x[at : at + step, None, :], n[a[at : at + step], None], n[b][None, :]
+                need = -(-PERCENT * (mine + m) // (100 + PERCENT))
+                fit = PERCENT * np.maximum(mine, m) <= 100 * np.minimum(mine, m)
+                fit &= mine - np.bitwise_count(piece & ~y).sum(axis=2, dtype=np.int64) >= need
+                fit &= m - np.bitwise_count(~piece & y).sum(axis=2, dtype=np.int64) >= need
+                i, j = np.nonzero(fit)
+                found_a.append(a[at + i])
+                found_b.append(b[j])
     none = np.zeros(0, np.int64)
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
 
@@ -300,18 +306,21 @@ def first_pairs(met: DataFrame) -> DataFrame:
 def later_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """All pairs that share a prefix token, can be similar and are not yet in one component."""
     placed = met.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    placed = placed.join(mixed, "token", "left_semi").join(nodes.select("node", "bits"), "node")
-    # A token with many nodes: every pair of its slices is one group.
-    parts = F.ceil(F.col("met") / MEETING).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    cut = placed.select("token", "node", "n", "root", "bits", own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    cut = cut.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "root", "bits")
-    dealt = cut.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
+    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first"), F.max("met").alias("most")).filter("low <> high")
+    # Tokens with the same smallest node go together, so that a pair leaves once, not once for each token it shares. Where they have
+    # many nodes, every pair of slices is one group.
+    families = mixed.groupBy("first").agg(F.ceil(F.max("most") / MEETING).cast("int").alias("parts"))
+    placed = placed.join(mixed.select("token", "first").join(families, "first"), "token").join(nodes.select("node", "bits"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cut = placed.select("first", "token", "node", "n", "root", "bits", own.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cut = cut.select("first", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "token", "part", "node", "n", "root", "bits")
+    dealt = cut.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j", "token", "node")
 
     def pairs(group: pa.Table) -> np.ndarray:
         node, n, root, part = (group.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "root", "part"))
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        if (root == root[0]).all():
+            return np.zeros((0, 4), np.int64)
         words = [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()]
         a, b = bitmap_pairs(n, words, np.flatnonzero(part == i), np.flatnonzero(part == j))
         keep = (root[a] != root[b]) & ((i != j) | (a < b))
@@ -320,31 +329,54 @@ def later_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return np.stack([node[a], node[b], n[a], n[b]], axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
+        """The pairs of each token, with the key that tokens go together by."""
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             table = pa.Table.from_batches(held)
-            key = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
+            key = np.stack([table.column(c).to_numpy() for c in ("first", "i", "j", "token")])
             cuts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-            yield counted([pairs(table.slice(x, y - x)) for x, y in zip(cuts[:-1], cuts[1:])])
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                yield tuple(key[:3, x]), pairs(table.slice(x, y - x))
             # The last group may go on in the next batch.
             held = table.slice(int(cuts[-1])).combine_chunks().to_batches()
         if held:
-            yield counted([pairs(pa.Table.from_batches(held))])
+            table = pa.Table.from_batches(held)
+            yield tuple(table.column(c)[0].as_py() for c in ("first", "i", "j")), pairs(table)
 
-    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate([*found, np.zeros((0, 4), np.int64)])
-        rows, times = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([*[pa.array(c) for c in rows.T], pa.array(times.astype(np.int64))], ["a", "b", "n", "m", "shared"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, found, ready = None, [], []
+        for key, rows in groups(batches):
+            if key != last:
+                ready, found = [*ready, *_times(found)], []
+                if sum(map(len, ready)) >= ROWS_AT_ONCE:
+                    yield batch(ready)
+                    ready = []
+            last = key
+            found.append(rows)
+        yield batch([*ready, *_times(found)])
+
+    def batch(rows: list[np.ndarray]) -> pa.RecordBatch:
+        columns = np.concatenate([*rows, np.zeros((0, 5), np.int64)]).T
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "n", "m", "shared"])
 
     met_pairs = dealt.mapInArrow(run, "a long, b long, n long, m long, shared long")
     shared = met_pairs.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared"))
     return shared.filter(possible(F.col("n"), F.col("m"), F.col("shared"))).select("a", "b")
 
 
+def _times(found: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct rows among all, each with the number of times it is there."""
+    rows = np.concatenate([*found, np.zeros((0, 4), np.int64)])
+    if not len(rows):
+        return []
+    rows, times = np.unique(rows, axis=0, return_counts=True)
+    return [np.column_stack([rows, times])]
+
+
 def _sets(source: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Marked documents, nodes, and the prefix tokens that several nodes have."""
     marked = materialize(marked_sets(source, frequent), "sets")
