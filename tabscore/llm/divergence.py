@@ -49,7 +49,7 @@ SLICE_TOKENS = 2_000_000
 # One text of so many tells how many slices there are.
 SAMPLED = 16
 # Rows (source, term) of one block of terms.
-BLOCK_ROWS = 1 << 18
+BLOCK_ROWS = 1 << 16
 LARGEST = 2**31 - 1
 # Bytes of terms: ASCII letters and all bytes of other characters; only A-Z are lowered.
 LETTERS = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
@@ -212,8 +212,8 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, s
     # A group has few different shares: its counts are small numbers.
     values = rows.groupBy("lang", "source", "z", "p").agg(F.count("*").alias("n"))
     sides = values.join(other, "lang").filter("source <> item").groupBy("lang", "source", "item").agg(F.sum(F.col("n") * (F.abs(F.col("p") - F.col("y")) - apart)).alias("value"))
-    blocks = rows.groupBy("lang").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    placed = rows.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "term", "p", "z")
+    blocks = max(1, math.ceil(rows.count() / block_rows))
+    placed = rows.select("lang", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"), "source", "term", "p", "z")
     shared = placed.groupBy("lang", "block").applyInPandas(_shared, "lang string, source string, item string, value long")
     back = sides.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
     pairs = both.unionByName(sides).unionByName(back).unionByName(shared).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
