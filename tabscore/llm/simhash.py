@@ -9,9 +9,9 @@ differ in at most ``RADIUS`` bits agree on two whole blocks at least, so each
 distinct fingerprint enters one shard per pair of blocks, named by their bits. Each
 shard's fingerprints form BK-trees, whose children are keyed by their Hamming
 distance to the parent; a search follows only the edges within the radius. A shard
-larger than ``TREE_ROWS`` is cut into several trees, each shipped to its own task,
-and the shard's fingerprints are searched in each of them. So no task holds a hot
-shard, and no tree needs more memory than its bound.
+larger than ``TREE_ROWS`` is cut into slices by hash. Each slice has a tree, and each pair of
+slices is a group of its own: the tree of the one and the fingerprints of the other as
+queries. So no group is larger than two slices, however many fingerprints a shard has.
 
 A task returns spanning links of what it found, never all pairs. Components are
 joined by alternating large and small stars on tables in the shared folder.
@@ -142,13 +142,13 @@ def _find(root: np.ndarray, x: np.ndarray) -> np.ndarray:
         x = root[up]
 
 
-def shard_links(fp: np.ndarray, group: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (fingerprint, smaller-row fingerprint of its set) inside each group; ``home`` marks tree rows."""
+def shard_links(fp: np.ndarray, group: np.ndarray, home: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (fingerprint, smaller-row fingerprint of its set) inside each group; ``home`` marks tree rows, ``asks`` queries."""
     tree = BKForest(fp[home], group[home])
-    rows = np.flatnonzero(home)
+    rows, queries = np.flatnonzero(home), np.flatnonzero(asks)
     root = np.arange(len(fp))
-    for q, v in tree.search(fp, group, radius):
-        v = rows[v]
+    for q, v in tree.search(fp[queries], group[queries], radius):
+        q, v = queries[q], rows[v]
         other = q != v
         union(root, q[other], v[other])
     top = _find(root, np.arange(len(fp)))
@@ -170,15 +170,21 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS)
     large = keyed.groupBy("pair", "bits").count().filter(F.col("count") > tree_rows)
     large = large.select("pair", "bits", F.ceil(F.col("count") / tree_rows).cast("int").alias("trees"))
     placed = keyed.join(large, ["pair", "bits"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-    placed = placed.select("fp", "pair", "bits", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
-    placed = placed.select("pair", "bits", "tree", "fp", (F.col("own") == F.col("tree")).alias("home"))
-    shared = placed.repartition("pair", "bits", "tree").sortWithinPartitions("pair", "bits", "tree", "fp")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
+    # In the tree of its own slice for that slice and all later ones, and a query to the trees of all earlier ones.
+    other = F.explode(F.sequence(F.lit(0), F.col("trees") - 1))
+    placed = placed.select("pair", "bits", "fp", "own", other.alias("other"))
+    placed = placed.select(
+        "pair", "bits", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("slice"), "fp",
+        (F.col("own") <= F.col("other")).alias("home"), (F.col("own") >= F.col("other")).alias("asks"),
+    )
+    shared = placed.repartition("pair", "bits", "tree", "slice").sortWithinPartitions("pair", "bits", "tree", "slice", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
         for batch in batches:
-            held.append(tuple(np.asarray(batch.column(i)) for i in range(4)) + (batch.column(4).to_numpy(zero_copy_only=False),))
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)))
             rows += batch.num_rows
             if rows >= ROWS_AT_ONCE:
                 parts = [np.concatenate(x) for x in zip(*held)]
@@ -193,8 +199,10 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS)
 
 
 def _starts(parts: list[np.ndarray]) -> np.ndarray:
-    pair, bits, tree = parts[:3]
-    return np.r_[True, (pair[1:] != pair[:-1]) | (bits[1:] != bits[:-1]) | (tree[1:] != tree[:-1])]
+    apart = np.zeros(len(parts[0]) - 1, bool)
+    for key in parts[:4]:
+        apart |= key[1:] != key[:-1]
+    return np.r_[True, apart]
 
 
 def _last_start(parts: list[np.ndarray]) -> int:
@@ -204,7 +212,8 @@ def _last_start(parts: list[np.ndarray]) -> int:
 def _links(parts: list[np.ndarray], radius: int) -> pa.RecordBatch:
     group = np.cumsum(_starts(parts))
     several = np.bincount(group)[group] > 1
-    a, b = shard_links(parts[3][several].view(np.uint64), group[several], parts[4][several].astype(bool), radius)
+    fp, home, asks = parts[4][several].view(np.uint64), parts[5][several].astype(bool), parts[6][several].astype(bool)
+    a, b = shard_links(fp, group[several], home, asks, radius)
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
 
