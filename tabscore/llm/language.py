@@ -7,8 +7,8 @@ probabilities are the mean over all its windows, weighted by their bytes.
 
 The network is trained in numpy on the driver, on a bounded sample of labelled texts
 (``SAMPLE_TEXTS`` a language at most in expectation, chosen by a hash of the id, and
-``SAMPLE_WINDOWS`` windows of each, spread over the whole text). Prediction is
-map-only, over every window of every text.
+``SAMPLE_WINDOWS`` windows of each, spread over the whole text, and at most ``MOST_LANGUAGES``
+languages). Prediction is map-only, over every window of every text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; rows
 without an id are predicted but not learned from; repeated rows give repeated rows;
@@ -33,6 +33,8 @@ FILTERS = 8  # of each width
 EMBEDDING = 8
 SAMPLE_TEXTS = 1_000
 SAMPLE_WINDOWS = 2
+# Languages that are learned at most, the most frequent ones.
+MOST_LANGUAGES = 256
 EPOCHS = 6
 BATCH = 64
 UNKNOWN = "und"
@@ -148,7 +150,7 @@ def sample_windows(docs: DataFrame, labels: Column, texts: int = SAMPLE_TEXTS) -
     """Windows, label numbers and labels of the training sample; one row a language is counted first."""
     known = docs.select(labels.cast("string").alias("y"), column("doc_id").alias("id"), column("text").cast("string").alias("text"))
     known = known.filter(learnable(F.col("id")) & F.col("y").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("y").count()
+    counts = known.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MOST_LANGUAGES)
     # One row a language: the shares become part of the expression, so no text moves by language.
     share = {r["y"]: texts / r["count"] for r in counts.collect()}
     languages = sorted(share)
@@ -157,8 +159,9 @@ def sample_windows(docs: DataFrame, labels: Column, texts: int = SAMPLE_TEXTS) -
     at = [((F.octet_length("text") - WINDOW) * F.lit((2 * i + 1) / (2 * SAMPLE_WINDOWS))).cast("int") for i in range(SAMPLE_WINDOWS)]
     raw = F.encode("text", "UTF-8")
     cut = F.array(*[F.substring(raw, F.greatest(a, F.lit(0)) + 1, F.lit(WINDOW)) for a in at])
-    picked = known.filter(chance < wanted).select("y", cut.alias("windows"))
-    picked = picked.limit(2 * texts * max(len(languages), 1)).toArrow()
+    picked = known.select("y", cut.alias("windows"), chance.alias("chance"), wanted.alias("wanted")).filter("chance < wanted")
+    # Only repeated ids can bring more rows than this; those first by hash count.
+    picked = picked.orderBy("chance", "y", "windows").limit(2 * texts * max(len(languages), 1)).select("y", "windows").toArrow()
     flat = np.zeros((SAMPLE_WINDOWS * picked.num_rows, WINDOW), np.uint8)
     y = np.zeros(len(flat), np.int64)
     number = {x: i for i, x in enumerate(languages)}
@@ -166,8 +169,8 @@ def sample_windows(docs: DataFrame, labels: Column, texts: int = SAMPLE_TEXTS) -
         for j, window in enumerate(own):
             flat[SAMPLE_WINDOWS * i + j, : len(window)] = np.frombuffer(window, np.uint8)
             y[SAMPLE_WINDOWS * i + j] = number[label]
-    # In a fixed order, so that the fit does not depend on the order of tasks.
-    order = np.lexsort((*flat.T[:16], y))
+    # In a fixed order, so that the fit does not depend on the order of tasks; only equal windows are tied.
+    order = np.array(sorted(range(len(y)), key=lambda i: (y[i], flat[i].tobytes())), np.int64)
     return flat[order], y[order], languages
 
 
