@@ -15,7 +15,7 @@ features without texts.
 
 Defined results: a null text has no words and fails the base rules; a null language
 is a stratum of its own; of repeated labels of one id the lowest counts; rows without
-an id are judged but teach nothing; repeated rows give repeated rows; an empty table
+an id are judged but teach nothing; repeated rows give repeated rows and teach as one; an empty table
 gives an empty one; other columns are not read.
 """
 
@@ -97,6 +97,8 @@ def cutoffs(rated: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality
     marks = labels.select(column(doc_id).cast("long").alias("of"), column(quality).cast("int").alias("good")).filter("of is not null and good is not null")
     good = marks.groupBy("of").agg(F.min("good").alias("good")).filter("good = 1")
     held = rated.filter("not base_failed").join(good, F.col("doc_id") == F.col("of"), "left_semi")
+    # Rows that repeat an id are no draws of their own: the largest of each signal counts.
+    held = held.groupBy("doc_id", "stratum").agg(*[F.max(s).alias(s) for s in SIGNALS])
     sums = [F.sum(F.when(F.col(s) > c, 1).otherwise(0)).alias(f"{s}_{i}") for s, grid in SIGNALS.items() for i, c in enumerate(grid)]
     counts = materialize(held.groupBy("stratum").agg(F.count("*").alias("n"), *sums), "quality-counts")
     tests = counts.count() * sum(map(len, SIGNALS.values()))
