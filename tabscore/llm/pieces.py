@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 from tabscore.llm.common import column
 
 BLANK = "▁"
-# Words and pairs remembered per Python worker; beyond it the memory starts anew.
+# Words, their characters and pairs remembered per Python worker; beyond it the memory starts anew. Longer words are not remembered.
 WORDS_KEPT = 300_000
+WORD_CHARS = 64
+CHARS_KEPT = 4_000_000
 PAIRS_KEPT = 400_000
 # Ways to cut a text into words with their leading blanks, the finest first; a vocabulary has to allow it.
 CUTS = (re.compile(" *[A-Za-zÀ-ÖØ-öø-ɏ]+| *[^A-Za-zÀ-ÖØ-öø-ɏ ]+| +"), re.compile(" *[^ ]+| +"))
@@ -193,12 +195,16 @@ class _Memory(dict):
 
     def __init__(self, work: Callable[[str], tuple[str, str]]):
         super().__init__()
-        self.work = work
+        self.work, self.chars = work, 0
 
     def __missing__(self, word: str) -> tuple[str, str]:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        made = self[word] = self.work(word)
+        made = self.work(word)
+        if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS_KEPT or self.chars >= CHARS_KEPT:
+                self.clear()
+                self.chars = 0
+            self[word] = made
+            self.chars += len(word)
         return made
 
 
