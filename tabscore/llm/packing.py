@@ -38,7 +38,10 @@ BUCKETS = 1024
 # Half-width of the cube that the projected unit vectors are cut to, per dimension.
 REACH = 3.0
 SEED = 20240502
+# Words and their characters remembered per Python worker; longer words are not remembered.
 WORDS_KEPT = 300_000
+WORD_CHARS = 64
+CHARS_KEPT = 4_000_000
 
 
 def hashed_vectors(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -113,6 +116,7 @@ class Words(dict):
 
     def __init__(self, ranks_file: str, pattern: str, added: dict[str, int] | None = None):
         super().__init__()
+        self.chars = 0
         self.added = added or {}
         # Of several at one place the longest counts.
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
@@ -124,9 +128,13 @@ class Words(dict):
         return array("I", self.encoding.encode_ordinary(text)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        ids = self[word] = self.whole(word)
+        ids = self.whole(word)
+        if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS_KEPT or self.chars >= CHARS_KEPT:
+                self.clear()
+                self.chars = 0
+            self[word] = ids
+            self.chars += len(word)
         return ids
 
     def text(self, text: str) -> bytes:
