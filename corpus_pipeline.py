@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscore.llm.common import reach
-from tabscore.llm.copies import kept as kept_texts
 from tabscore.llm.language import UNKNOWN, fit, predict
 from tabscore.llm.packing import added_tokens, pack
 from tabscore.llm.secrets import redact
+from tabscore.llm.simhash import groups
 from tabscore.llm.substrings import dedup_substrings
 from tabscore.session import materialize
 
@@ -45,19 +45,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document goes if its five-word shingles are 0.8 or more similar to those of a smaller id that stays.
+    """Of each group that operator 2 links (3-word shingles, 2 bits), the document with the smallest id stays.
 
     Repeated rows (same id and text) count as one. Rows without an id go where a document
-    with one stands for them; where none does, they stay, equal texts as one.
+    with one stands for their group; where none does, they stay, equal texts as one.
     """
     reach(spark)
     docs = _documents(docs)
-    stays = kept_texts(docs).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"))
+    told = groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = materialize(told.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).count(), "stays")
     own = docs.withColumn("_own", F.xxhash64("text"))
     kept = own.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_semi")
     # Only repeated rows make a second move of the texts worth its cost.
-    if not docs.groupBy("doc_id", F.xxhash64("text")).count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_own"])
+    if not stays.filter("count > 1").isEmpty():
+        kept = kept.withColumn("_whole", F.sha2("text", 256)).dropDuplicates(["doc_id", "_whole"])
     return kept.select(*COLUMNS)
 
 
