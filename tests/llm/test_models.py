@@ -83,8 +83,8 @@ def test_sample_is_bounded_and_learnable(spark):
 
 
 def test_toxicity_on_the_held_out_third(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/check_h/{t}.parquet") for t in ("documents", "labels"))
-    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi").filter("doc_id < 20000")
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     got = toxicity.toxicity(some, labels).join(labels, "doc_id").filter("held_out").toPandas()
     assert got.score.between(0, 1).all()
     hit = got.predicted == 1

@@ -138,7 +138,7 @@ def test_binomial_tail_is_exact(spark, k, n, p):
 
 
 def test_cutoffs_reject_few_good_texts(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/check_h/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     got = quality.quality(some, labels).join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r["quality"]: r["kept"] for r in got}
