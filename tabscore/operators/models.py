@@ -1,14 +1,16 @@
 """Model families and the suite that fits and applies them side by side.
 
-Boosted trees come in two profiles, because leaf-wise trees are not in Spark.
+Spark's own boosted trees are level-wise, for numbers and two classes. Joint softmax for several
+classes and leaf-wise trees are in ``boosting``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -20,6 +22,8 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabscore.operators.boosting import Booster, leaf_wise, level_wise
+
 SEED = 42
 # Names of the two boosted profiles in results.
 BOOSTED, BOOSTED_ALT = "BoostedTrees", "BoostedTreesLargeLeaves"
@@ -29,6 +33,8 @@ BINS = 256
 FIT_PARTITIONS = 32
 # The deepest tree Spark grows; the usual default elsewhere is unlimited.
 MAX_DEPTH = 30
+# Members of a suite that are fitted at the same time.
+PARALLEL_FITS = 4
 
 
 def forest_regressor(trees: int = 200, depth: int = MAX_DEPTH, seed: int = SEED) -> RandomForestRegressor:
@@ -64,6 +70,18 @@ def boosted_classifier_alt(rounds: int = 200, depth: int = 6, rate: float = 0.1,
     )
 
 
+def boosted_classes(
+    classes: int, rounds: int = 200, depth: int = 6, rate: float = 0.1, rows: float = 1.0, columns: float = 1.0, seed: int = SEED
+) -> Booster:
+    """Level-wise trees for any number of classes: one softmax, a tree per class and round."""
+    return level_wise(classes, rounds, rate, depth, rows, columns, seed)
+
+
+def leaf_wise_trees(classes: int = 0, rounds: int = 200, depth: int | None = None, rate: float = 0.1, seed: int = SEED) -> Booster:
+    """Leaf-wise trees of up to 31 leaves, for numbers (0 classes) or classes."""
+    return leaf_wise(classes, rounds, rate, 31, depth, seed)
+
+
 def per_class(binary: GBTClassifier, parallelism: int = 2) -> OneVsRest:
     """Boosted trees for any number of classes: one binary model per class."""
     return OneVsRest(classifier=binary, parallelism=parallelism)
@@ -100,7 +118,7 @@ class Suite:
     failures: dict[str, str] = field(default_factory=dict)
 
     def fit(self, train: DataFrame, key: str | None = None) -> "Suite":
-        """Fit every member on the same rows; a failing one is noted and left out.
+        """Fit all members on the same rows, some at a time; a failing one is noted and left out.
 
         With a ``key`` the rows are dealt by it to a stated number of partitions and
         sorted there, so that the models do not depend on files or cores.
@@ -108,18 +126,29 @@ class Suite:
         if key is not None:
             train = train.repartition(self.partitions, key).sortWithinPartitions(key)
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        spark = train.sparkSession
         try:
             rows = train.count()
-            for m in self.members:
+
+            def one(m: Member) -> Model | str:
+                # With fair scheduling each member has a pool of its own; else jobs share the cores as they come.
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", m.name)
                 try:
-                    est = m.make(rows)
-                    self.fitted[m.name] = est.setFeaturesCol(m.features).setLabelCol(m.target).fit(train)
+                    return m.make(rows).setFeaturesCol(m.features).setLabelCol(m.target).fit(train)
                 except MemoryError:
                     raise
                 except Exception as e:  # noqa: BLE001 - one model must not end the job
                     if "OutOfMemoryError" in str(e):
                         raise
-                    self.failures[m.name] = str(e).splitlines()[0] if str(e) else type(e).__name__
+                    return str(e).splitlines()[0] if str(e) else type(e).__name__
+
+            with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+                waiting = [pool.submit(inheritable_thread_target(spark)(one), m) for m in self.members]
+                for m, found in zip(self.members, [w.result() for w in waiting]):
+                    if isinstance(found, str):
+                        self.failures[m.name] = found
+                    else:
+                        self.fitted[m.name] = found
         finally:
             train.unpersist()
         return self

@@ -8,9 +8,12 @@ Wide parameters default to the published ones; ``Effort`` makes a run smaller.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial
 
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import LogisticRegressionModel, OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -28,8 +31,10 @@ from tabscore.operators import (
     reshape,
     scale,
     shapley,
+    sparse_shapley,
     split,
     tfidf,
+    tree_shapley,
 )
 from tabscore.operators.models import Member, Suite
 from tabscore.operators.profile import BUDGET_COLUMNS, Declared
@@ -46,6 +51,8 @@ RANK_FEATURES = [
 ]
 FIRST_TEST_YEAR = 2022
 TOP_RANK = 200
+# Labels that are fitted at the same time, each with its members.
+PARALLEL_LABELS = 3
 
 
 @dataclass(frozen=True)
@@ -59,7 +66,8 @@ class Effort:
     iterations: int = 100
     background: int = 100
     pairs: int = 10
-    # "sampled" or "exact" Shapley values, "native" for what a model states itself, "none".
+    # "sampled" or "exact" Shapley values, "native" for what a model states itself, "none". Values of
+    # trees come from their leaves, so "sampled" ones are exact there.
     explain: str = "sampled"
     # Rows explained for trees and for the linear model of the budget tables.
     tree_rows: int = 500
@@ -146,9 +154,8 @@ def _z_source(df: DataFrame, features: list[str], zs: list[str], fit_on: str) ->
 
 def encode_and_impute(df: DataFrame, features: list[str], fit_on: str) -> tuple[DataFrame, list[str]]:
     """Codes for text columns, means for missing values; returns the features that are left."""
-    for c in [f for f in clean.text_columns(df) if f in features]:
-        codes = clean.label_codes(df, c, fit_on=_fit_rows(df, fit_on))
-        df = clean.label_encode(df, c, codes=codes)
+    texts = [f for f in clean.text_columns(df) if f in features]
+    df = clean.label_encode_all(df, texts, fit_on=_fit_rows(df, fit_on))
     df = clean.mean_impute(df, features, fit_on=_fit_rows(df, fit_on))
     return df, [f for f in features if f in df.columns]
 
@@ -191,8 +198,9 @@ def explain_suite(
             continue
         cols, model = features[m.features], suite.fitted[m.name]
 
-
         def explained(m=m, cols=cols, model=model) -> DataFrame:
+            if effort.explain == "sampled" and output is shapley.prediction_output and has_trees(model):
+                return importance.mean_abs(_tree_phi(test, train, key, cols, model, m.features, effort), [])
             bg = shapley.background(train, cols, key, effort.background)
             if effort.explain == "exact":
                 phi = shapley.shapley_model(test, key, cols, output(model), bg, m.features)
@@ -204,6 +212,20 @@ def explain_suite(
     return reshape.stack(parts) if parts else None
 
 
+def has_trees(model) -> bool:
+    """Whether a model's leaves give exact values."""
+    if isinstance(model, OneVsRestModel):
+        return all(has_trees(m) for m in model.models)
+    return hasattr(model, "tree_table") or hasattr(model, "treeWeights")
+
+
+def _tree_phi(rows: DataFrame, train: DataFrame, key: str, cols: list[str], model, vector: str, effort: Effort) -> DataFrame:
+    """Exact values of a tree model; several outputs (classes) as the mean of their sizes."""
+    bg = tree_shapley.background_rows(train, key, vector, effort.background)
+    phi = tree_shapley.shapley_trees(rows, key, cols, model, bg, vector)
+    return shapley.reduce_classes(phi, "mean_abs")
+
+
 def _or_native(suite: Suite, name: str, cols: list[str], effort: Effort, explained: Callable[[], DataFrame], spark) -> DataFrame:
     """The written explanation, or the model's own importance if that was asked for or the explanation failed."""
     if effort.explain not in ("sampled", "exact", "native"):
@@ -254,7 +276,7 @@ def score_benchmark(
             Member("LogisticRegression", lambda n: models.logistic(n, e.iterations), "scaled_features", "y_class", class_decode(values)),
             _trees(e),
             Member(models.BOOSTED, lambda n: models.boosted_regressor(e.rounds, e.depth, 0.1), "raw_features"),
-            Member(models.BOOSTED_ALT, lambda n: models.boosted_regressor_alt(e.rounds, e.depth, 0.1), "raw_features"),
+            Member(models.BOOSTED_ALT, lambda n: models.leaf_wise_trees(0, e.rounds, e.depth), "raw_features"),
         ]
     ).fit(train.withColumn("y_class", class_code(F.col("y"), values)), key)
     preds = materialize(suite.predict(test, [key, "y", "grp"]), "predictions")
@@ -294,7 +316,7 @@ def rank_benchmark(
         [
             _trees(e),
             Member(models.BOOSTED, lambda n: models.boosted_regressor(e.rounds, e.depth, 0.3), "raw_features", "y_scaled", mm.restore),
-            Member(models.BOOSTED_ALT, lambda n: models.boosted_regressor_alt(e.rounds, e.depth, 0.1), "raw_features"),
+            Member(models.BOOSTED_ALT, lambda n: models.leaf_wise_trees(0, e.rounds), "raw_features"),
             Member("LogisticRegression", lambda n: models.logistic(n, e.iterations), "raw_features", "y_top"),
         ]
     ).fit(train.withColumns({"y_scaled": mm.scale(F.col("y")), "y_top": at_most(F.col("y"), top).cast("double")}), key)
@@ -336,7 +358,7 @@ def enrolment_benchmark(
         [
             Member("RandomForest", lambda n: models.forest_regressor(e.trees, e.tree_depth), "scaled_features"),
             Member(models.BOOSTED, lambda n: models.boosted_regressor(e.rounds, e.depth, 0.3), "scaled_features"),
-            Member(models.BOOSTED_ALT, lambda n: models.boosted_regressor_alt(e.rounds, e.depth, 0.1), "scaled_features"),
+            Member(models.BOOSTED_ALT, lambda n: models.leaf_wise_trees(0, e.rounds), "scaled_features"),
             Member("LogisticRegression", lambda n: models.logistic(n, e.iterations), "scaled_features", "y_over", decode),
         ]
     ).fit(train.withColumn("y_over", above(F.col("y"), median).cast("double")), key)
@@ -360,16 +382,18 @@ def _class_result(preds: DataFrame, keys: list[str], mape: str, groups: tuple[st
     }
 
 
-def class_members(classes: int, e: Effort, rate: float = 0.3, linear: str = "scaled_features", tree: str = "raw_features", share: float = 1.0) -> list[Member]:
-    """The four families for ``classes`` classes; ``share`` of rows and columns that a round of the first boosted one sees."""
-    columns = "all" if share == 1.0 else str(share)
-    boosted = lambda n: models.boosted_for(classes, models.boosted_classifier(e.rounds, e.depth, rate, share, columns))
-    second = lambda n: models.boosted_for(classes, models.boosted_classifier_alt(e.rounds, e.depth, 0.1))
+def class_members(
+    classes: int, e: Effort, rate: float = 0.3, linear: str = "scaled_features", tree: str = "raw_features", share: float = 1.0, depth: int | None = None
+) -> list[Member]:
+    """The four families for ``classes`` classes.
+
+    ``share`` of rows and columns is what a round of the first boosted one sees, ``depth`` bounds the leaf-wise trees.
+    """
     return [
         Member("LogisticRegression", lambda n: models.logistic(n, e.iterations), linear),
         Member("RandomForest", lambda n: models.forest_classifier(e.trees, e.tree_depth), tree),
-        Member(models.BOOSTED, boosted, tree),
-        Member(models.BOOSTED_ALT, second, tree),
+        Member(models.BOOSTED, lambda n: models.boosted_classes(classes, e.rounds, e.depth, rate, share, share), tree),
+        Member(models.BOOSTED_ALT, lambda n: models.leaf_wise_trees(classes, e.rounds, depth), tree),
     ]
 
 
@@ -402,13 +426,13 @@ def class_benchmark(
 def label_benchmark(
     df: DataFrame, columns: Declared = BUDGET_COLUMNS, key: str | None = None, max_features: int = tfidf.MAX_FEATURES,
     stop_words: list[str] | None = None, group: str | None = None, groups: tuple[str, str] = ("LowIncome", "HighIncome"),
-    top: int = 20, effort: Effort = Effort(tree_depth=10, depth=6, iterations=500, explain="native"),
+    top: int = 20, effort: Effort = Effort(tree_depth=10, depth=6, iterations=500),
 ) -> Result:
     """School budgets: text and numbers, several labels, every model for every label.
 
-    With ``effort.explain="sampled"`` class probabilities of a row sample are explained by
-    Shapley values; that scores rows x background x orders x terms that differ dense vectors.
-    The default is what the models state themselves; ``source`` in the result says which.
+    Some labels are fitted at the same time. A sample of rows is explained: tree models exactly, from
+    their leaves (forests in probabilities, boosted trees in margins), the linear model by feature orders over the
+    terms that differ. ``source`` in the result says where a model's own importance stands in.
     """
     df, key = with_key(nan_to_null(df), key)
     df = split.hash_split(df, key)
@@ -424,17 +448,21 @@ def label_benchmark(
     # Labels x models fits read the same features: the text work is done once.
     table = materialize(wide.select(key, "is_train", "grp", "features", *labels), "label-features")
     names = tfidf.feature_names(model, numeric)
-    preds, imps, failures = [], [], {}
-    for label in labels:
+
+    def one(label: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
         rows = clean.drop_missing(table, [label])
         values = class_values(rows, label)
         coded = rows.withColumn("y", class_code(F.col(label), values))
-        members = class_members(len(values), effort, 0.1, "features", "features", 0.8)
+        members = class_members(len(values), effort, 0.1, "features", "features", 0.8, effort.depth)
         suite = Suite(members).fit(coded.where("is_train"), key)
-        failures |= {f"{label}: {m}": err for m, err in suite.failures.items()}
-        one = suite.predict(coded.where("not is_train"), [key, "y", "grp"])
-        preds.append(one.withColumn("label", F.lit(label)))
-        imps.append(_label_importance(suite, coded, key, names, effort).withColumn("label", F.lit(label)))
+        found = suite.predict(coded.where("not is_train"), [key, "y", "grp"]).withColumn("label", F.lit(label))
+        imp = _label_importance(suite, coded, key, names, effort).withColumn("label", F.lit(label))
+        return found, imp, {f"{label}: {m}": err for m, err in suite.failures.items()}
+
+    with ThreadPoolExecutor(PARALLEL_LABELS) as pool:
+        waiting = [pool.submit(inheritable_thread_target(df.sparkSession)(one), label) for label in labels]
+        preds, imps, notes = (list(c) for c in zip(*[w.result() for w in waiting]))
+    failures = {m: err for note in notes for m, err in note.items()}
     stacked = materialize(reshape.stack(preds), "predictions")
     out = _class_result(stacked, ["label", "model"], "zero_as_one", groups, readiness.TREES_FIRST)
     imp = reshape.stack(imps)
@@ -443,13 +471,20 @@ def label_benchmark(
 
 
 def _label_importance(suite: Suite, df: DataFrame, key: str, names: list[str], e: Effort) -> DataFrame:
-    x = vector_to_array("features")
+    train, test = df.where("is_train"), df.where("not is_train")
 
     def explained(name: str) -> DataFrame:
-        bg = shapley.background(df.where("is_train"), names, key, e.background, x=x)
-        rows = e.linear_rows if name == "LogisticRegression" else e.tree_rows
-        picked = split.bounded_sample(df.where("not is_train"), key, rows)
-        phi = shapley.shapley_sampled(picked, key, names, shapley.probability_output(suite.fitted[name]), bg, e.pairs, x=x)
+        model = suite.fitted[name]
+        if has_trees(model):
+            return importance.mean_abs(_tree_phi(split.bounded_sample(test, key, e.tree_rows), train, key, names, model, "features", e), [])
+        picked = split.bounded_sample(test, key, e.linear_rows)
+        if isinstance(model, LogisticRegressionModel):
+            bg = tree_shapley.background_rows(train, key, "features", e.background)
+            phi = sparse_shapley.shapley_logistic(picked, key, names, model, bg, e.pairs)
+        else:
+            x = vector_to_array("features")
+            bg = shapley.background(train, names, key, e.background, x=x)
+            phi = shapley.shapley_sampled(picked, key, names, shapley.probability_output(model), bg, e.pairs, x=x)
         return importance.mean_abs(shapley.reduce_classes(phi, "mean_abs"), [])
 
     return reshape.stack([_or_native(suite, n, names, e, partial(explained, n), df.sparkSession) for n in suite.fitted])

@@ -43,7 +43,7 @@ def closed_form_regression(t):
     members = [
         Member("forest", lambda n: models.forest_regressor(1, 1).setBootstrap(False)),
         Member("boosted", lambda n: models.boosted_regressor(3, 1)),
-        Member("boosted_alt", lambda n: models.boosted_regressor_alt(3, 1)),
+        Member("boosted_alt", lambda n: models.leaf_wise_trees(0, 1, 1, rate=1.0)),
         Member("scaled", lambda n: models.boosted_regressor(3, 1), "features", "y_scaled", mm.restore),
     ]
     df = df.withColumn("y_scaled", mm.scale(F.col("y")))
@@ -80,8 +80,8 @@ def closed_form_classes(t):
     for label, classes in (("flag", 3), ("large", 2)):
         members = [
             ("forest", lambda n: models.forest_classifier(1, 1).setBootstrap(False)),
-            ("boosted", lambda n, c=classes: models.boosted_for(c, models.boosted_classifier(3, 1))),
-            ("boosted_alt", lambda n, c=classes: models.boosted_for(c, models.boosted_classifier_alt(3, 1))),
+            ("boosted", lambda n, c=classes: models.boosted_classes(c, 3, 1, 0.3)),
+            ("boosted_alt", lambda n, c=classes: models.leaf_wise_trees(c, 3, 1)),
             ("logistic", lambda n: LogisticRegression(regParam=0.0, maxIter=100, standardization=False)),
         ]
         # Train and test part are all rows: the majority is then that of the table.
@@ -90,6 +90,49 @@ def closed_form_classes(t):
     return stack(out).select("label", "model", "side", "pred").distinct()
 
 
+@query("closed_form_softmax", f"""
+WITH {FLAGS_SQL}
+, n1 AS (SELECT side, count(*) FILTER (flag = 0)::double AS n0, count(*) FILTER (flag = 1)::double AS n1, count(*) FILTER (flag = 2)::double AS n2, count(*)::double AS n FROM f GROUP BY side)
+, w1 AS (SELECT *, {", ".join(f"-0.3 * (n / 3 - n{k}) / (n / 3 + 1) AS a{k}" for k in range(3))} FROM n1)
+, p1 AS (SELECT *, {", ".join(f"exp(a{k}) / (exp(a0) + exp(a1) + exp(a2)) AS p{k}" for k in range(3))} FROM w1)
+, w2 AS (SELECT *, {", ".join(f"a{k} - 0.3 * (n * p{k} - n{k}) / (n * 1.5 * p{k} * (1 - p{k}) + 1) AS b{k}" for k in range(3))} FROM p1)
+SELECT side, {", ".join(f"round(exp(b{k}) / (exp(b0) + exp(b1) + exp(b2)), 6) AS p{k}" for k in range(3))} FROM w2""")
+def closed_form_softmax(t):
+    """Two rounds of three classes on one 0/1 feature: each side's leaves follow from its counts (M4)."""
+    df = flags(t)
+    model = models.boosted_classes(3, 2, 1, 0.3).setLabelCol("flag").fit(df)
+    rows = df.groupBy("side").agg(F.first("features").alias("features"))
+    p = vector_to_array("probability")
+    return model.transform(rows).select("side", *[F.round(p[k], 6).alias(f"p{k}") for k in range(3)])
+
+
+def crossed(t) -> DataFrame:
+    """Orders with two 0/1 features: the status is O, the priority is urgent."""
+    s = sales_with_customer(t)
+    a = F.when(F.col("status") == "O", 1.0).otherwise(0.0)
+    b = F.when(F.col("priority") == "1-URGENT", 1.0).otherwise(0.0)
+    return s.select("row_id", "y", "is_train", a.alias("a"), b.alias("b"), array_to_vector(F.array(a, b)).alias("features"))
+
+
+@query("closed_form_leaf_wise", f"""
+WITH {SALES_SQL}
+, c AS (SELECT CASE WHEN status = 'O' THEN 1.0::double ELSE 0 END AS a, CASE WHEN priority = '1-URGENT' THEN 1.0::double ELSE 0 END AS b, y FROM role WHERE is_train)
+, cells AS (SELECT a, b, count(*) AS n, sum(y) AS s FROM c GROUP BY a, b)
+, one AS (SELECT 'a' AS first, a AS side, sum(n) AS n, sum(s) AS s, sum(s * s / n) AS parts FROM cells GROUP BY a
+          UNION ALL SELECT 'b', b, sum(n), sum(s), sum(s * s / n) FROM cells GROUP BY b)
+, root AS (SELECT first FROM one GROUP BY first ORDER BY sum(s * s / n) DESC, first LIMIT 1)
+, sides AS (SELECT side, s / n AS mean, parts - s * s / n AS gain FROM one JOIN root USING (first))
+, split AS (SELECT side FROM sides ORDER BY gain DESC, side LIMIT 1)
+SELECT a, b, round(CASE WHEN sides.side = (SELECT side FROM split) THEN cells.s / cells.n ELSE mean END, 2) AS pred
+FROM cells CROSS JOIN root JOIN sides ON sides.side = CASE WHEN first = 'a' THEN a ELSE b END""")
+def closed_form_leaf_wise(t):
+    """Three leaves on two 0/1 features: of the two sides of the first split, the one with more to gain is split again (M5)."""
+    df = crossed(t)
+    model = models.leaf_wise(0, 1, 1.0, 3).setLabelCol("y").fit(df.where("is_train"))
+    rows = df.where("is_train").groupBy("a", "b").agg(F.first("features").alias("features"))
+    return model.transform(rows).select("a", "b", F.round("prediction", 2).alias("pred"))
+
+
 @query("closed_form_probability", f"""
 WITH {FLAGS_SQL}, r AS (SELECT side, y, n / sum(n) OVER (PARTITION BY side) AS p FROM c WHERE label = 'large')
 SELECT side, round(p, 3) AS p FROM r WHERE y = 1""")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.operators import importance, models, shapley, split
+from tabscore.operators import importance, kernel_shapley, models, shapley, sparse_shapley, split, tfidf, tree_shapley
+from tabscore.operators.tree_shapley import TreeTable
+from tabscore.plans.q_features import STOP, documents
 from tabscore.plans.q_models import vectors_table
 from tabscore.plans.registry import query
 from tabscore.plans.roles import FEATURES, sales_features, sql_hash
@@ -183,5 +186,57 @@ def shapley_sampled(t):
 
 @query("shapley_class_prob")
 def shapley_class_prob(t):
-    """Class probabilities of a forest: a sample of 500 rows."""
-    return _explain_vectors(t, lambda n: models.forest_classifier(5, 4), 500, 1)
+    """Class probabilities of a full forest (100 trees), exactly, for a sample of 500 rows."""
+    df = vectors_table(t)
+    train = df.where("is_train")
+    model = models.forest_classifier().setLabelCol("y").fit(train)
+    background = tree_shapley.background_rows(train, "row_id", "features")
+    picked = split.bounded_sample(df.where("not is_train"), "row_id", 500)
+    return tree_shapley.shapley_trees(picked, "row_id", VECTOR_FEATURES, model, background)
+
+
+# Two trees stated by hand: (a <= 50: (b <= 5: 1, else 3), else 7) and (c <= 500: 2, else -1).
+TWO_TREES = TreeTable(
+    np.array([0, 1, -1, -1, -1, 2, -1, -1]), np.array([50.0, 5, 0, 0, 0, 500, 0, 0]), np.array([1, 2, -1, -1, -1, 6, -1, -1]),
+    np.array([4, 3, -1, -1, -1, 7, -1, -1]), np.array([[0.0], [0], [1], [3], [7], [0], [2], [-1]]), np.array([0, 5]), np.zeros(1),
+)
+
+
+@query("shapley_two_trees", f"""
+WITH {EVENT_SQL}
+, p AS (
+  SELECT ev.row_id, ev.a AS xa, ev.b AS xb, bg.a AS ba, bg.b AS bb,
+         CASE WHEN ev.c <= 500 THEN 2 ELSE -1 END - CASE WHEN bg.c <= 500 THEN 2 ELSE -1 END AS pc FROM ev CROSS JOIN bg)
+, v AS (
+  SELECT row_id, pc, {", ".join(f"CASE WHEN {a}a <= 50 THEN CASE WHEN {b}b <= 5 THEN 1 ELSE 3 END ELSE 7 END AS f{a}{b}" for a in "xb" for b in "xb")} FROM p)
+, s AS (
+  SELECT row_id, avg((fxb - fbb + fxx - fbx) / 2.0::double) AS pa, avg((fbx - fbb + fxx - fxb) / 2.0::double) AS pb, avg(pc::double) AS pc FROM v GROUP BY row_id)
+SELECT row_id, 'a' AS feature, round(pa, 7) AS phi FROM s UNION ALL SELECT row_id, 'b', round(pb, 7) FROM s UNION ALL SELECT row_id, 'c', round(pc, 7) FROM s""")
+def shapley_two_trees(t):
+    ev = event_table(t).withColumn("features", array_to_vector(F.array(*EVENT_FEATURES)))
+    background = tree_shapley.background_rows(ev, "row_id", "features")
+    phi = tree_shapley.shapley_trees(ev, "row_id", EVENT_FEATURES, TWO_TREES, background)
+    return phi.select("row_id", "feature", F.round("phi", 7).alias("phi"))
+
+
+@query("shapley_kernel", f"WITH {EVENT_SQL} SELECT row_id, feature, round(phi, 5) AS phi FROM phi")
+def shapley_kernel(t):
+    """With all coalitions the fit gives the exact values."""
+    ev = event_table(t)
+    score = lambda d: d.withColumn("out", F.array(product_plus(vector_to_array("features"))))
+    phi = kernel_shapley.shapley_kernel(ev, "row_id", EVENT_FEATURES, score, shapley.background(ev, EVENT_FEATURES, "row_id"))
+    return phi.select("row_id", "feature", F.round("phi", 5).alias("phi"))
+
+
+@query("shapley_text")
+def shapley_text(t):
+    """Class probabilities of a linear text model with up to 10,000 terms: 50 sampled rows, 100 background rows."""
+    docs = split.hash_split(documents(t).join(t.labels.where("quality is not null"), "doc_id"), "doc_id")
+    terms = tfidf.fit_tfidf(docs.where("is_train"), "text", stop_words=STOP)
+    df = terms.vectors(docs, "text", "features").select("doc_id", "is_train", "features", F.col("quality").cast("double").alias("y"))
+    train = df.where("is_train")
+    model = models.logistic(train.count()).setLabelCol("y").fit(train)
+    background = tree_shapley.background_rows(train, "doc_id", "features")
+    picked = split.bounded_sample(df.where("not is_train"), "doc_id", 50)
+    phi = sparse_shapley.shapley_logistic(picked, "doc_id", terms.vocabulary, model, background)
+    return phi.where("cls = 1 and phi <> 0").select("doc_id", "feature", "phi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabscore.functions.text import drop_words, with_terms, words
 from tabscore.operators import clean, scale, split, tfidf
-from tabscore.operators.ranks import exact_median
+from tabscore.operators.ranks import exact_median, exact_medians
 from tabscore.plans.q_tables import LINEITEM_GAPS_SQL, lineitem_with_gaps
 from tabscore.plans.registry import query
 from tabscore.plans.roles import FEATURES, PRIORITIES, SALES_SQL, sales, sales_features, sales_with_customer, sql_hash
@@ -251,3 +251,21 @@ def assemble_features(t):
         F.col("position").cast("bigint").alias("position"), "feature",
         F.col("c.nz").cast("bigint").alias("nonzero"), F.round(total, 6).alias("total"),
     )
+
+
+@query("label_encode_all", """
+WITH o AS (SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'nan') AS status, coalesce(o_orderpriority, 'nan') AS priority FROM orders)
+SELECT o_orderkey, (dense_rank() OVER (ORDER BY status) - 1)::bigint AS status, (dense_rank() OVER (ORDER BY priority) - 1)::bigint AS priority FROM o""")
+def label_encode_all(t):
+    """Codes of several text columns from one dictionary."""
+    df = t.orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.col("o_orderpriority").alias("priority"))
+    return clean.label_encode_all(df, ["status", "priority"])
+
+
+@query("median_all", """
+SELECT 'l_quantity' AS feature, median(l_quantity)::double AS median FROM lineitem UNION ALL SELECT 'l_extendedprice', median(l_extendedprice)::double FROM lineitem
+UNION ALL SELECT 'l_discount', median(l_discount)::double FROM lineitem UNION ALL SELECT 'l_tax', median(l_tax)::double FROM lineitem""")
+def median_all(t):
+    """Medians of several columns, narrowed together."""
+    found = exact_medians(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return t.spark.createDataFrame(list(found.items()), "feature string, median double")

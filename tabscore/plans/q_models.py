@@ -21,6 +21,8 @@ from tabscore.plans.roles import FEATURES, THRESHOLD, code_of, sales, sales_feat
 from tabscore.session import materialize, spread
 
 RAW, SCALED = "raw_features", "scaled_features"
+# Rounds of the leaf-wise and softmax fits here; 200 are the default.
+ROUNDS = 10
 KEEP = ["row_id", "y", "segment"]
 
 
@@ -83,7 +85,7 @@ def gbt_regression(t):
 
 @query("gbt_regression_alt")
 def gbt_regression_alt(t):
-    member = Member(models.BOOSTED_ALT, lambda n: models.boosted_regressor_alt(5, 4, 0.1), RAW)
+    member = Member(models.BOOSTED_ALT, lambda n: models.leaf_wise_trees(0, ROUNDS), RAW)
     return fit_and_predict(regression_table(t), [member], KEEP)
 
 
@@ -95,13 +97,13 @@ def rf_classification(t):
 
 @query("gbt_classification")
 def gbt_classification(t):
-    make = lambda n: models.per_class(models.boosted_classifier(2, 3))
+    make = lambda n: models.boosted_classes(3, ROUNDS)
     return fit_and_predict(flags_table(t), [Member(models.BOOSTED, make)], ["row_id", "y"])
 
 
 @query("gbt_classification_alt")
 def gbt_classification_alt(t):
-    make = lambda n: models.per_class(models.boosted_classifier_alt(2, 3))
+    make = lambda n: models.leaf_wise_trees(3, ROUNDS)
     return fit_and_predict(flags_table(t), [Member(models.BOOSTED_ALT, make)], ["row_id", "y"])
 
 
@@ -133,7 +135,7 @@ def small_suite(median: float) -> list[Member]:
         Member("LogisticRegression", lambda n: models.logistic(n, 20), SCALED, "over", decode),
         Member("RandomForest", lambda n: models.forest_regressor(5, 4), RAW),
         Member(models.BOOSTED, lambda n: models.boosted_regressor(3, 3, 0.1), RAW),
-        Member(models.BOOSTED_ALT, lambda n: models.boosted_regressor_alt(3, 3, 0.1), RAW),
+        Member(models.BOOSTED_ALT, lambda n: models.leaf_wise_trees(0, 3, 3), RAW),
     ]
 
 
@@ -150,7 +152,7 @@ def suite_failures(t):
         Member("RandomForest", lambda n: models.forest_regressor(3, 3), RAW),
         Member("Broken", lambda n: models.forest_regressor(3, 3), "no_such_vector"),
     ]
-    suite = Suite(members).fit(regression_table(t).where("is_train"))
+    suite = Suite(members).fit(regression_table(t).where("is_train"), "row_id")
     return suite.failure_table(t.spark)
 
 
@@ -169,8 +171,8 @@ def multilabel_suite(t):
     members = [
         ("LogisticRegression", lambda n: models.logistic(n, 20)),
         ("RandomForest", lambda n: models.forest_classifier(5, 4)),
-        (models.BOOSTED, lambda n: models.boosted_classifier(2, 3)),
-        (models.BOOSTED_ALT, lambda n: models.boosted_classifier_alt(2, 3)),
+        (models.BOOSTED, lambda n: models.boosted_classes(2, 2, 3)),
+        (models.BOOSTED_ALT, lambda n: models.leaf_wise_trees(2, 2, 3)),
     ]
     # Eight fits read the same features: they are written once, text work included.
     features = materialize(features, "text-features")
@@ -195,5 +197,5 @@ def fallback_importance(t):
         Member("RandomForest", lambda n: models.forest_regressor(5, 4), RAW),
         Member("LogisticRegression", lambda n: models.logistic(n, 20), SCALED, "over"),
     ]
-    suite = Suite(members).fit(df.where("is_train"))
+    suite = Suite(members).fit(df.where("is_train"), "row_id")
     return importance.native(t.spark, suite.fitted, FEATURES)

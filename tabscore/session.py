@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -46,6 +47,12 @@ def get_spark(app: str = "tabscore", cores: str = "*", partitions: int | None =
     return spark
 
 
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the library wherever the session was started; a cluster gets it by ``--py-files``."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    return spark
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
