@@ -13,7 +13,8 @@ filter the pairs before any is verified:
    token under each of them. Only then are the whole sets compared.
 
 Equal sets are one node. Each node is first compared with the smallest node of its
-tokens, if it shares enough tokens with it: this ties most families together. Then only pairs whose
+tokens, if it shares enough tokens with it; in a few rounds, nodes of tokens with many nodes are compared with
+the nearest node of another component. This ties families together. Then only pairs whose
 nodes are not yet in one component are looked at, inside the task that holds a token's nodes: a node brings
 a bitmap of its set, the bits that one node has and the other lacks are tokens not shared, and a pair leaves
 the task only if these are few enough. A token with more than ``MEETING`` nodes is cut into slices by hash, and
@@ -56,9 +57,12 @@ LISTS = 4
 MEETING = 512
 MEMBERS = 64
 BROADCAST_NODES = 500_000
-# Words of bitmaps compared at once, and rows of pairs that a task returns at once.
+# Words of bitmaps compared at once, and pairs of rows looked at at once.
 WORDS_AT_ONCE = 1 << 20
-ROWS_AT_ONCE = 16_384
+PAIRS_AT_ONCE = 1 << 20
+# Nodes of a token from which on its nodes are tied to their nearest ones first, and how often.
+FAMILY = 32
+ROUNDS = 4
 # Bits of a set's bitmap: a power of two, at least twice its tokens.
 LEAST_BITS = 256
 # Words remembered by a worker, and the longest of them in bytes.
@@ -157,32 +161,61 @@ def folded(words: np.ndarray) -> np.ndarray:
     return words[:, :half] | words[:, half:]
 
 
-def bitmap_pairs(n: np.ndarray, words: list[np.ndarray], of: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (of, to) whose sizes and bitmaps allow similar sets."""
-    sizes = np.array([len(w) for w in words])
-    found_a, found_b = [], []
-    for size in np.unique(sizes[of]):
-        a = of[sizes[of] == size]
-        own = np.stack([words[i] for i in a])
-        # Similar sets differ by less than a factor of two, and so do their bitmaps.
-        for other in (size // 2, size, 2 * size):
-            b = to[sizes[to] == other]
-            if not b.size or not a.size:
-                continue
-            theirs = np.stack([words[i] for i in b])
-            x, y = (folded(own), theirs) if other < size else (own, folded(theirs)) if other > size else (own, theirs)
-            step = max(1, WORDS_AT_ONCE // (y.size or 1))
-            for at in range(0, len(a), step):
-                piece, mine, m = x[at : at + step, None, :], n[a[at : at + step], None], n[b][None, :]
-                need = -(-PERCENT * (mine + m) // (100 + PERCENT))
-                fit = PERCENT * np.maximum(mine, m) <= 100 * np.minimum(mine, m)
-                fit &= mine - np.bitwise_count(piece & ~y).sum(axis=2, dtype=np.int64) >= need
-                fit &= m - np.bitwise_count(~piece & y).sum(axis=2, dtype=np.int64) >= need
-                i, j = np.nonzero(fit)
-                found_a.append(a[at + i])
-                found_b.append(b[j])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By row: how many bits x has and y lacks; halves are laid over each other down to the smaller bitmap."""
+    while x.shape[1] > y.shape[1]:
+        x = folded(x)
+    while y.shape[1] > x.shape[1]:
+        y = folded(y)
+    return np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+
+
+def overlaps(n: np.ndarray, words: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The largest overlap that the bitmaps of rows (a, b) allow: tokens whose bits the other lacks are not shared."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    most = np.zeros(len(a), np.int64)
+    for size in np.unique(sizes[a]):
+        for other in np.unique(sizes[b]):
+            rows = np.flatnonzero((sizes[a] == size) & (sizes[b] == other))
+            step = max(1, WORDS_AT_ONCE // max(size, other))
+            for at in range(0, len(rows), step):
+                r = rows[at : at + step]
+                x, y = np.stack([words[i] for i in a[r]]), np.stack([words[i] for i in b[r]])
+                most[r] = np.minimum(n[a[r]] - apart(x, y), n[b[r]] - apart(y, x))
+    return most
+
+
+def met_pairs(key: np.ndarray, part: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Distinct pairs (a, b, n, m, tokens shared here, largest overlap) that can be similar and have two roots.
+
+    Rows with one ``key`` (its columns are first, i, j, token) are a group; pairs are between the slices i and j.
+    """
+    starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+    ends = np.repeat(np.append(starts[1:], key.shape[1]), np.diff(np.append(starts, key.shape[1])))
+    later = ends - np.arange(key.shape[1]) - 1
+    _, first, code = np.unique(node, return_index=True, return_inverse=True)
+    codes, times, at = [], [], 0
+    before = np.concatenate([[0], np.cumsum(later)])
+    while at < len(later):
+        upto = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS_AT_ONCE, side="right")) - 1)
+        a = np.repeat(np.arange(at, upto), later[at:upto])
+        b = a + 1 + np.arange(len(a)) - np.repeat(before[at:upto] - before[at], later[at:upto])
+        across = (key[1][a] == key[2][a]) | (part[a] != part[b])
+        keep = across & (root[a] != root[b]) & (PERCENT * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b]))
+        x, y = code[a[keep]], code[b[keep]]
+        one, count = np.unique(np.minimum(x, y) * len(first) + np.maximum(x, y), return_counts=True)
+        codes.append(one)
+        times.append(count)
+        at = upto
+    if not codes:
+        return np.zeros((0, 6), np.int64)
+    pair, place = np.unique(np.concatenate(codes), return_inverse=True)
+    shared = np.bincount(place, np.concatenate(times), len(pair)).astype(np.int64)
+    a, b = first[pair // len(first)], first[pair % len(first)]
+    words = [np.frombuffer(w, np.uint64) for w in bits]
+    most = overlaps(n, words, a, b) if len(a) else np.zeros(0, np.int64)
+    fit = (100 + PERCENT) * most >= PERCENT * (n[a] + n[b])
+    return np.column_stack([node[a], node[b], n[a], n[b], shared, most])[fit]
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -255,7 +288,7 @@ def _texts(source: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def verify(source: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The links ``a``, ``b`` among the pairs ``a``, ``b`` of nodes."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
     texts = materialize(_texts(source, nodes.join(wanted, "node", "left_semi").select("node", "row", "digest")), "texts")
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     members = pairs.join(spread, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
@@ -303,8 +336,8 @@ def first_pairs(met: DataFrame) -> DataFrame:
     return shared.filter(_alike(F.col("n"), F.col("m")) & possible(F.col("n"), F.col("m"), F.col("shared"))).select("a", "b")
 
 
-def later_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs that share a prefix token, can be similar and are not yet in one component."""
+def later_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, nearest: bool = False) -> DataFrame:
+    """All pairs that share a prefix token, can be similar and are not yet in one component; with ``nearest`` one of them per node."""
     placed = met.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first"), F.max("met").alias("most")).filter("low <> high")
     # Tokens with the same smallest node go together, so that a pair leaves once, not once for each token it shares. Where they have
@@ -316,67 +349,41 @@ def later_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
     cut = cut.select("first", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "token", "part", "node", "n", "root", "bits")
     dealt = cut.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j", "token", "node")
 
-    def pairs(group: pa.Table) -> np.ndarray:
-        node, n, root, part = (group.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "root", "part"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        if (root == root[0]).all():
-            return np.zeros((0, 4), np.int64)
-        words = [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()]
-        a, b = bitmap_pairs(n, words, np.flatnonzero(part == i), np.flatnonzero(part == j))
-        keep = (root[a] != root[b]) & ((i != j) | (a < b))
-        a, b = a[keep], b[keep]
-        swap = node[a] > node[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return np.stack([node[a], node[b], n[a], n[b]], axis=1)
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
-        """The pairs of each token, with the key that tokens go together by."""
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        cells = {c: table.column(c).to_numpy().astype(np.int64) for c in ("first", "i", "j", "token", "part", "node", "n", "root")}
+        key = np.stack([cells[c] for c in ("first", "i", "j", "token")])
+        rows = met_pairs(key, cells["part"], cells["node"], cells["n"], cells["root"], table.column("bits").to_pylist())
+        if nearest and len(rows):
+            # The most similar partner by the bitmaps, of each node.
+            near = np.argsort(-rows[:, 5] / (rows[:, 2] + rows[:, 3]), kind="stable")
+            rows = rows[np.union1d(*[near[np.unique(rows[near, side], return_index=True)[1]] for side in (0, 1)])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], ["a", "b", "n", "m", "shared", "most"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            key = np.stack([table.column(c).to_numpy() for c in ("first", "i", "j", "token")])
-            cuts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                yield tuple(key[:3, x]), pairs(table.slice(x, y - x))
+            table = pa.Table.from_batches([*held, batch])
+            token = np.stack([table.column(c).to_numpy() for c in ("first", "i", "j", "token")])
+            last = np.flatnonzero(np.r_[True, (token[:, 1:] != token[:, :-1]).any(axis=0)])[-1]
             # The last group may go on in the next batch.
-            held = table.slice(int(cuts[-1])).combine_chunks().to_batches()
+            if last:
+                yield pairs(table.slice(0, last))
+            held = table.slice(last).combine_chunks().to_batches()
         if held:
-            table = pa.Table.from_batches(held)
-            yield tuple(table.column(c)[0].as_py() for c in ("first", "i", "j")), pairs(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, found, ready = None, [], []
-        for key, rows in groups(batches):
-            if key != last:
-                ready, found = [*ready, *_times(found)], []
-                if sum(map(len, ready)) >= ROWS_AT_ONCE:
-                    yield batch(ready)
-                    ready = []
-            last = key
-            found.append(rows)
-        yield batch([*ready, *_times(found)])
-
-    def batch(rows: list[np.ndarray]) -> pa.RecordBatch:
-        columns = np.concatenate([*rows, np.zeros((0, 5), np.int64)]).T
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "n", "m", "shared"])
-
-    met_pairs = dealt.mapInArrow(run, "a long, b long, n long, m long, shared long")
-    shared = met_pairs.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared"))
+            yield pairs(pa.Table.from_batches(held))
+
+    found = dealt.mapInArrow(run, "a long, b long, n long, m long, shared long, most long")
+    if nearest:
+        ends = F.explode(F.array(F.struct(F.col("a").alias("of"), "a", "b"), F.struct(F.col("b").alias("of"), "a", "b")))
+        like = (F.col("most") / (F.col("n") + F.col("m"))).alias("like")
+        best = found.select(like, ends.alias("e")).groupBy("e.of").agg(F.max_by("e", F.struct("like", "e.a", "e.b")).alias("e"))
+        return best.select("e.a", "e.b").distinct()
+    shared = found.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared"))
     return shared.filter(possible(F.col("n"), F.col("m"), F.col("shared"))).select("a", "b")
 
 
-def _times(found: list[np.ndarray]) -> list[np.ndarray]:
-    """The distinct rows among all, each with the number of times it is there."""
-    rows = np.concatenate([*found, np.zeros((0, 4), np.int64)])
-    if not len(rows):
-        return []
-    rows, times = np.unique(rows, axis=0, return_counts=True)
-    return [np.column_stack([rows, times])]
-
-
 def _sets(source: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Marked documents, nodes, and the prefix tokens that several nodes have."""
     marked = materialize(marked_sets(source, frequent), "sets")
@@ -410,6 +417,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     first = materialize(first_pairs(met), "pairs")
     links = materialize(verify(source, nodes, first), "links")
     roots = components(links)
+    # Families are tied together by nearest nodes, so that few of their pairs are left.
+    crowd = met.filter(F.col("met") >= FAMILY)
+    for _ in range(ROUNDS if not crowd.isEmpty() else 0):
+        more = materialize(verify(source, nodes, materialize(later_pairs(crowd, nodes, roots, True), "pairs")), "links")
+        if more.isEmpty():
+            break
+        links = materialize(links.unionByName(more), "links")
+        roots = components(links)
     later = materialize(later_pairs(met, nodes, roots), "pairs")
     if not later.isEmpty():
         links = materialize(links.unionByName(verify(source, nodes, later)), "links")
