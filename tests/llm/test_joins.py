@@ -219,7 +219,7 @@ def families():
 @pytest.mark.parametrize("small", [False, True])
 def test_components_against_all_pairs(spark, monkeypatch, small):
     if small:
-        for name, value in {"MEETING": 4, "MEMBERS": 3, "BROADCAST_NODES": 0, "FREQUENT": 10_000, "WORDS_KEPT": 50}.items():
+        for name, value in {"MEETING": 4, "FAMILY": 3, "PAIRS_AT_ONCE": 50, "MEMBERS": 3, "BROADCAST_NODES": 0, "FREQUENT": 10_000, "WORDS_KEPT": 50}.items():
             monkeypatch.setattr(jaccard, name, value)
     body = families()
     assert Counter(map(tuple, jaccard.jaccard_components(frame(spark, body)).collect())) == plain_components(body)
