@@ -27,7 +27,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.operators.tree_shapley import TreeTable, dense_rows
+from tabscore.operators.tree_shapley import TreeTable, dense_row
 from tabscore.session import materialize, reach
 
 # Rounds after which margins are written; cells of a dense piece of rows; keys a task holds before it adds them up.
@@ -206,14 +206,14 @@ class BoostedModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Append ``prediction``, and ``probability`` for classes."""
-        outputs, width = self.outputs, self.table.value.shape[1]
+        outputs = self.outputs
         reach(df.sparkSession)
 
         @F.pandas_udf("array<double>")
         def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             for batch in batches:
-                rows = dense_rows(pa.Array.from_pandas(batch.to_dict("records")))
-                yield pd.Series([outputs(x[None, :])[0] for x in rows]) if width and len(batch) else pd.Series([], dtype=object)
+                rows = (dense_row(*v) for v in zip(batch["type"], batch["size"], batch["indices"], batch["values"]))
+                yield pd.Series([outputs(x[None, :])[0] for x in rows], dtype=object)
 
         out = df.withColumn("__out", scored(F.unwrap_udt(self.features)))
         if self.classes == 0:

@@ -193,12 +193,16 @@ GAIN = np.array([[factorial(p - 1) * factorial(q) / factorial(p + q) if p else 0
 def dense_rows(vectors: pa.Array) -> Iterator[np.ndarray]:
     """The rows of an unwrapped vector column (type, size, indices, values), one dense row at a time."""
     for v in vectors.to_pylist():
-        if v["type"] == 1:
-            yield np.array(v["values"], float)
-        else:
-            row = np.zeros(v["size"])
-            row[v["indices"]] = v["values"]
-            yield row
+        yield dense_row(v["type"], v["size"], v["indices"], v["values"])
+
+
+def dense_row(kind: int, size: float | None, indices, values) -> np.ndarray:
+    """One vector; of its cells a dense one (kind 1) has only the values."""
+    if kind == 1:
+        return np.array(values, float)
+    row = np.zeros(int(size))
+    row[np.asarray(indices, np.int64)] = values
+    return row
 
 
 def background_rows(df: DataFrame, key: str, vector: str, n: int = 100, seed: int | str = 42) -> list[np.ndarray]:

@@ -114,6 +114,14 @@ def test_sampled_rounds_missing_numbers_and_constants(spark):
         models.leaf_wise_trees(0, 2).fit(df.limit(0))
 
 
+def test_dense_and_sparse_vectors_in_one_batch(spark):
+    x, y = table(60, sparse=True)
+    both = frame(spark, x[:30], y[:30]).union(frame(spark, x[30:], y[30:], True)).repartition(1)
+    model = models.leaf_wise_trees(0, 1).fit(both)
+    got = sorted(round(r["prediction"], 9) for r in model.transform(both).collect())
+    assert got == sorted(round(float(v), 9) for v in model.outputs(x)[:, 0])
+
+
 def test_boosted_members_do_not_depend_on_partitions(spark):
     x, y = table(200)
     df, found = frame(spark, x, np.digitize(y, [0, 8]).astype(float)).withColumnRenamed("label", "y"), []

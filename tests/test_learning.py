@@ -335,6 +335,11 @@ def test_a_failing_explanation_falls_back_while_running(spark, monkeypatch):
     def broken(model):
         return lambda df: df.withColumn("out", F.array(F.raise_error(F.lit("no explanation")).cast("double")))
 
+    def broken_trees(rows, key, features, *_):
+        failing = F.raise_error(F.lit("no explanation")).cast("double")
+        return rows.select(key, F.lit(0).alias("cls"), F.lit(features[0]).alias("feature"), failing.alias("phi"))
+
+    monkeypatch.setattr(benchmarks.tree_shapley, "shapley_trees", broken_trees)
     monkeypatch.setattr(shapley, "prediction_output", broken)
     monkeypatch.setattr(benchmarks._explained, "__defaults__", (broken,))
     r = small_result(spark)
