@@ -7,13 +7,15 @@ alone, which no sum of weights can say. All pairs cost one pass, as
 (sum v)^2 - sum v^2 over two.
 
 The machine is trained in numpy on the driver, on at most about ``SAMPLE_TEXTS``
-labelled texts chosen by a hash of the id; terms in fewer than ``LEAST_TEXTS`` of
-them, or as frequent under both labels up to ``LEAST_DEVIATION`` standard deviations, are
-unknown to it. Scoring is map-only and reads every whole text.
+labelled texts chosen by a hash of the id. It knows the terms of at least ``LEAST_TEXTS`` of
+them that tell the labels apart by ``LEAST_DEVIATION`` standard deviations, and both terms of each
+pair that does so beyond what either of its terms tells: such a term may be as frequent under both
+labels. Pairs are counted among the ``PAIR_TERMS`` most frequent terms, in blocks of matrix products, whatever
+the length of a text. Scoring is map-only and reads every whole text.
 
 Defined results: a null or empty text has the score of no terms; rows without an id
-are scored but not learned from; of repeated labels of one id the highest counts;
-repeated rows give repeated rows; an empty table gives an empty one; without labels
+are scored but not learned from; of repeated labels of one id the highest counts, of
+repeated rows the one with the smallest terms teaches; repeated rows give repeated rows; an empty table gives an empty one; without labels
 of both kinds the score is the share of label 1 (0 without any). Other columns are
 not read.
 """
@@ -36,6 +38,8 @@ FACTORS = 4
 SAMPLE_TEXTS = 12_000
 LEAST_TEXTS = 5
 LEAST_DEVIATION = 3.0
+PAIR_TERMS, PAIR_BLOCK = 4_096, 512
+PAIR_EVIDENCE = 36.0  # twice the log-likelihood ratio against either term's own rate: six standard deviations
 BEGINNINGS = (4, 5, 6)
 EPOCHS = 8
 BATCH = 64
@@ -92,6 +96,65 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margin(terms), -30, 30)))
 
 
+def _evidence(hits: np.ndarray, seen: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Twice the log-likelihood ratio of ``hits`` out of ``seen`` against ``rate``, negative where they are fewer than expected."""
+    share = hits / np.maximum(seen, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        told = np.where(hits > 0, hits * np.log(share / rate), 0.0) + np.where(hits < seen, (seen - hits) * np.log((1 - share) / (1 - rate)), 0.0)
+    return 2 * told * np.sign(share - rate)
+
+
+def pair_terms(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Terms of pairs whose rate of label 1 lies clearly above, or clearly below, the rates of both terms."""
+    flat, row = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    seen = np.bincount(flat, minlength=BUCKETS)
+    top = np.argsort(-seen, kind="stable")[:PAIR_TERMS]
+    top = np.sort(top[seen[top] >= LEAST_TEXTS])
+    rate = np.bincount(flat[labels[row] > 0], minlength=BUCKETS)[top] / seen[top]
+    code = np.full(BUCKETS, -1)
+    code[top] = np.arange(len(top))
+    place, toxic, found = code[flat], labels > 0, np.zeros(len(top), bool)
+
+    def block(start: int) -> np.ndarray:
+        """Which text has which of the terms from ``start`` on."""
+        inside = (place >= start) & (place < start + PAIR_BLOCK)
+        out = np.zeros((len(texts), min(PAIR_BLOCK, len(top) - start)), np.float32)
+        out[row[inside], place[inside] - start] = 1
+        return out
+
+    for i in range(0, len(top), PAIR_BLOCK):
+        x = block(i)
+        for j in range(i, len(top), PAIR_BLOCK):
+            y = x if i == j else block(j)
+            both, hits = (x.T @ y).astype(np.float64), (x[toxic].T @ y[toxic]).astype(np.float64)
+            first = _evidence(hits, both, rate[i : i + PAIR_BLOCK, None])
+            second = _evidence(hits, both, rate[None, j : j + PAIR_BLOCK])
+            clear = (np.minimum(first, second) >= PAIR_EVIDENCE) | (np.maximum(first, second) <= -PAIR_EVIDENCE)
+            clear &= both >= LEAST_TEXTS
+            found[i : i + PAIR_BLOCK] |= clear.any(axis=1)
+            found[j : j + PAIR_BLOCK] |= clear.any(axis=0)
+    return top[found]
+
+
+def gradients(fm: FactorizationMachine, texts: list[np.ndarray], labels: np.ndarray, toxic: float = 1.0) -> tuple:
+    """Slopes of the log-loss over some texts, label 1 weighing ``toxic``: of the bias, the terms and how often they occur, of their weights and vectors."""
+    sizes = np.array([len(t) for t in texts])
+    flat = np.concatenate(texts)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    v = fm.vectors[flat]
+    total = np.zeros((len(texts), v.shape[1]), v.dtype)
+    np.add.at(total, row, v)
+    squares = np.bincount(row, (v * v).sum(axis=1), len(texts))
+    linear = np.bincount(row, fm.weight[flat], len(texts))
+    margin = fm.bias + linear + 0.5 * ((total * total).sum(axis=1) - squares)
+    slope = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels) * np.where(labels > 0, toxic, 1.0)).astype(v.dtype)
+    terms, place = np.unique(flat, return_inverse=True)
+    counts = np.bincount(place, minlength=len(terms)).astype(v.dtype)
+    d_vectors = np.zeros((len(terms), v.shape[1]), v.dtype)
+    np.add.at(d_vectors, place, slope[row, None] * (total[row] - v))
+    return float(slope.sum()), terms, counts, np.bincount(place, slope[row], len(terms)), d_vectors
+
+
 def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> FactorizationMachine:
     """Fit by AdaGrad on small batches; both labels weigh the same in all."""
     rng = np.random.default_rng(seed)
@@ -104,37 +167,22 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
     hits = np.bincount(np.concatenate([t for t, y in zip(texts, labels) if y]), minlength=BUCKETS)
     deviation = np.abs(hits - share * seen) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
     known = (seen >= LEAST_TEXTS) & (deviation >= LEAST_DEVIATION)
+    known[pair_terms(texts, labels)] = True
     texts = [t[known[t]] for t in texts]
     fm.vectors[known] = rng.normal(0, 0.01, (int(known.sum()), FACTORS))
-    fm.bias = float(np.log(share / (1 - share)))
     g_weight, g_vectors = np.full(BUCKETS, 1e-6, np.float32), np.full((BUCKETS, FACTORS), 1e-6, np.float32)
     g_bias = 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            own = [texts[i] for i in pick]
-            sizes = np.array([len(t) for t in own])
-            flat = np.concatenate(own)
-            row = np.repeat(np.arange(len(own)), sizes)
-            v = fm.vectors[flat]
-            total = np.zeros((len(own), FACTORS), np.float32)
-            np.add.at(total, row, v)
-            squares = np.bincount(row, (v * v).sum(axis=1), len(own))
-            linear = np.bincount(row, fm.weight[flat], len(own))
-            margin = fm.bias + linear + 0.5 * ((total * total).sum(axis=1) - squares)
-            slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[pick]).astype(np.float32)
-            terms, place = np.unique(flat, return_inverse=True)
-            counts = np.bincount(place, minlength=len(terms)).astype(np.float32)
-            d_weight = np.bincount(place, slope[row], len(terms)) + DECAY * counts * fm.weight[terms]
-            d_vectors = np.zeros((len(terms), FACTORS), np.float32)
-            np.add.at(d_vectors, place, slope[row, None] * (total[row] - v))
+            d_bias, terms, counts, d_weight, d_vectors = gradients(fm, [texts[i] for i in pick], labels[pick], (1 - share) / share)
+            d_weight = d_weight + DECAY * counts * fm.weight[terms]
             d_vectors += DECAY * counts[:, None] * fm.vectors[terms]
             g_weight[terms] += d_weight**2
             g_vectors[terms] += d_vectors**2
             fm.weight[terms] -= RATE * d_weight / np.sqrt(g_weight[terms])
             fm.vectors[terms] -= RATE * d_vectors / np.sqrt(g_vectors[terms])
-            d_bias = float(slope.sum())
             g_bias += d_bias**2
             fm.bias -= RATE * d_bias / np.sqrt(g_bias)
     return fm
@@ -154,8 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS) -> Factor
 
     # The small side holds the sampled ids only; texts become sets of numbers before they move.
     source = docs.select(column("doc_id").cast("long").alias("id"), column("text").cast("string").alias("text"))
-    sampled = source.filter(F.col("id").isNotNull()).join(F.broadcast(marks.limit(2 * texts)), "id", "left_semi")
-    rows = sampled.mapInArrow(per_batch(hashed), "id long, terms array<int>").join(marks, "id").limit(2 * texts).toArrow().sort_by("id")
+    sampled = source.filter(F.col("id").isNotNull()).join(F.broadcast(marks), "id", "left_semi")
+    one = sampled.mapInArrow(per_batch(hashed), "id long, terms array<int>").groupBy("id").agg(F.min("terms").alias("terms"))
+    rows = one.join(marks, "id").toArrow().sort_by("id")
     terms = [np.asarray(t.values, np.int64) if len(t.values) else np.zeros(0, np.int64) for t in rows.column("terms")]
     return train(terms, rows.column("y").to_numpy().astype(np.float32))
 

@@ -99,9 +99,8 @@ def test_margin_is_the_sum_over_all_pairs():
     assert np.isclose(fm.margin(terms), want)
 
 
-def test_pairs_are_learned_that_weights_can_not_tell(monkeypatch):
+def test_pairs_are_learned_that_weights_can_not_tell():
     """Insult and group together are toxic, each alone half of the time with another word is not."""
-    monkeypatch.setattr(toxicity, "LEAST_DEVIATION", 0.0)
     rng = np.random.default_rng(2)
     texts, labels = [], []
     for _ in range(1_500):
@@ -115,6 +114,59 @@ def test_pairs_are_learned_that_weights_can_not_tell(monkeypatch):
     assert ((score > 0.5) == labels).mean() > 0.95
 
 
+def test_terms_of_telling_pairs_are_known_however_blocks_are_cut(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [np.unique(rng.integers(10, 200, 12)) for _ in range(2_000)]
+    labels = (rng.random(2_000) < 0.1).astype(np.float32)
+    assert toxicity.pair_terms(texts, labels).size == 0
+    for i in range(0, 160, 2):
+        # 5 and 6 together are toxic, each without the other is as toxic as any.
+        texts[i] = np.unique(np.append(texts[i], [5, 6]))
+        labels[i] = 1
+        texts[i + 400], texts[i + 800] = np.append(texts[i + 400], 5), np.append(texts[i + 800], 6)
+    assert {5, 6} <= set(toxicity.pair_terms(texts, labels).tolist())
+    whole = toxicity.pair_terms(texts, labels).tolist()
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", 7)
+    assert toxicity.pair_terms(texts, labels).tolist() == whole
+
+
+def test_gradients_by_finite_differences():
+    rng = np.random.default_rng(6)
+    fm = toxicity.FactorizationMachine(0.2, rng.normal(size=12) / 3, rng.normal(size=(12, 3)) / 3)
+    texts = [np.sort(rng.choice(12, n, replace=False)) for n in (4, 1, 0, 7)]
+    labels = np.array([1.0, 0.0, 1.0, 0.0])
+
+    def loss() -> float:
+        p = np.array([fm.score(t) for t in texts])
+        return float(-(2.5 * labels * np.log(p) + (1 - labels) * np.log(1 - p)).sum())
+
+    d_bias, terms, counts, d_weight, d_vectors = toxicity.gradients(fm, texts, labels, 2.5)
+    assert counts.tolist() == [sum(i in t for t in texts) for i in terms]
+    step = 1e-5
+
+    def slope(array: np.ndarray, at) -> float:
+        array[at] += step
+        up = loss()
+        array[at] -= 2 * step
+        down = loss()
+        array[at] += step
+        return (up - down) / (2 * step)
+
+    for n, term in enumerate(terms):
+        assert np.isclose(slope(fm.weight, term), d_weight[n], atol=1e-6)
+        assert np.allclose([slope(fm.vectors, (term, f)) for f in range(3)], d_vectors[n], atol=1e-6)
+    fm.bias += step
+    up = loss()
+    fm.bias -= 2 * step
+    assert np.isclose((up - loss()) / (2 * step), d_bias, atol=1e-6)
+
+
+def test_repeated_rows_teach_once(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    one, two = toxicity.fit(docs, labels), toxicity.fit(docs.union(docs).repartition(7), labels)
+    assert one.bias == two.bias and (one.weight == two.weight).all() and (one.vectors == two.vectors).all()
+
+
 def test_toxicity_of_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (5, None, 1), (None, 1, 1), (6, 1, None), (6, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(documents(spark), labels).collect()
