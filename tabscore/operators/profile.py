@@ -1,7 +1,8 @@
 """Profiles of whole tables: missing cells, feature types, distinct values.
 
 Each table is read once for its null counts, and every figure on missing cells
-derives from that pass. Distinct counts take one more pass.
+derives from that pass. Exact distinct counts take one more pass; estimated ones come from
+sketches that can be kept and merged as files arrive.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from tabscore.operators.clean import existing, numeric_columns, text_columns
 from tabscore.operators.reshape import stack, to_matrix
 from tabscore.sources.tables import nan_to_null
 
+# Registers of a distinct-value sketch, as a power of two: standard error 1.6 %.
+SKETCH_LG_K = 12
+
 TYPES = ["numeric", "categorical", "text", "label"]
 
 
@@ -235,6 +239,47 @@ def distinct_ratio(datasets: dict[str, DataFrame], digits: int = 4) -> DataFrame
     return reduce(DataFrame.unionByName, per).withColumn("ratio", round_half_even(ratio, digits))
 
 
+def sketch_profile(df: DataFrame, name: str, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """Rows, nulls and a sketch of the distinct values of every column: the part of a profile that can be kept.
+
+    One scan; a task sends one sketch of at most ``2 ** lg_k`` bytes a column, no values. Profiles of
+    files that arrive later are added by ``merge_sketches``, without reading the old files again.
+    """
+    df = nan_to_null(df)
+    names = [f"`{c}`" for c in df.columns]
+    found = df.agg(
+        F.count("*").alias("rows"),
+        *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(names)],
+        *[F.hll_sketch_agg(_identity(df, c), F.lit(lg_k)).alias(f"s{i}") for i, c in enumerate(df.columns)],
+    )
+    cells = [
+        F.struct(
+            F.lit(i).alias("position"), F.lit(c).alias("column"), (F.col("rows") - F.col(f"c{i}")).alias("nulls"), F.col(f"s{i}").alias("sketch")
+        )
+        for i, c in enumerate(df.columns)
+    ]
+    return found.select(F.lit(name).alias("dataset"), "rows", F.explode(F.array(*cells)).alias("c")).select("dataset", "c.position", "c.column", "rows", "c.nulls", "c.sketch")
+
+
+def merge_sketches(*profiles: DataFrame) -> DataFrame:
+    """One profile of all rows that the given ones have seen. Another order of merging may move an estimate within its error."""
+    return stack(list(profiles)).groupBy("dataset", "position", "column").agg(
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.hll_union_agg("sketch").alias("sketch")
+    )
+
+
+def sketch_error(lg_k: int = SKETCH_LG_K, deviations: float = 4.0) -> float:
+    """The relative error that an estimate keeps to: so many standard errors of a sketch with ``2 ** lg_k`` registers."""
+    return deviations * 1.04 / 2 ** (lg_k / 2)
+
+
+def sketch_ratio(profile: DataFrame, digits: int = 4) -> DataFrame:
+    """As ``distinct_ratio``, from sketches: estimated distinct values, never more than the values that are there."""
+    distinct = F.least(F.hll_sketch_estimate("sketch"), F.col("rows") - F.col("nulls"))
+    ratio = F.when(F.col("rows") > 0, F.col("distinct") / F.col("rows")).otherwise(F.lit(0.0))
+    return profile.select("dataset", "position", "column", "rows", distinct.alias("distinct")).withColumn("ratio", round_half_even(ratio, digits))
+
+
 def diversity_summary(ratios: DataFrame, digits: int = 4) -> DataFrame:
     """Mean, largest and smallest ratio with their columns; ties go to the first column."""
     entries = F.array_sort(F.collect_list(F.struct("position", "column", "ratio")))

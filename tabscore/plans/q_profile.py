@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscore.operators import profile
@@ -190,6 +193,20 @@ def distinct_ratio(t):
     return profile.distinct_ratio(wide_datasets(t)).withColumn("position", F.col("position").cast("bigint"))
 
 
+@query("distinct_sketch", f"""WITH {RATIO_SQL} SELECT dataset, position::bigint AS position, "column", rows, "distinct", true AS within FROM ratios""")
+def distinct_sketch(t):
+    """Sketches of two parts of each table, merged, held against the exact counts within the stated error."""
+    wide, merged = wide_datasets(t), []
+    for name, df in wide.items():
+        first = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) % 2 == 0
+        merged.append(profile.merge_sketches(profile.sketch_profile(df.where(first), name), profile.sketch_profile(df.where(~first), name)))
+    told = profile.sketch_ratio(reduce(DataFrame.unionByName, merged)).select("dataset", "column", F.col("distinct").alias("estimate"))
+    exact = profile.distinct_ratio(wide)
+    within = F.abs(F.col("estimate") - F.col("distinct")) <= profile.sketch_error() * F.col("distinct")
+    # One row a column of the profiled tables on either side.
+    return exact.join(told, ["dataset", "column"]).select("dataset", F.col("position").cast("bigint").alias("position"), "column", "rows", "distinct", within.alias("within"))
+
+
 @query("diversity_summary", f"""
 WITH {RATIO_SQL}
 SELECT dataset, round_even(avg(ratio), 4) AS avg_diversity,

@@ -47,21 +47,32 @@ def infer_types(strings: DataFrame) -> dict[str, str]:
     return out
 
 
+def has_broken_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a quoted value may run over several lines: its first and last line have an odd number of quotes.
+
+    Quotes inside quoted values are doubled, so they change no parity. A stray quote in an
+    unquoted value counts as well, which costs speed, not rows.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType | None = None,
     na_tokens: list[str] = NA_TOKENS,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """CSV with a header row; NA tokens become NULL before any type is applied.
 
-    With ``schema`` the file is scanned once and values are cast strictly. Without
-    it one extra pass finds the types (the tokens would otherwise turn a numeric
-    column into text). ``multi_line`` keeps line breaks inside quotes, at the price
-    that one file is read by one task; without it, a file that has none is split. NaN
-    counts as missing.
+    Values are cast strictly to ``schema``. Without it one extra pass finds the types (the
+    tokens would otherwise turn a numeric column into text). ``multi_line`` keeps line
+    breaks inside quotes, at the price that one file is read by one task; without it files
+    are split. By default a pass over the lines, split among tasks, decides. NaN counts as missing.
     """
+    if multi_line is None:
+        multi_line = has_broken_lines(spark, path)
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
     reader = spark.read.options(**options)
     if schema is not None:

@@ -276,6 +276,22 @@ def test_distinct_ratio_of_odd_values(spark):
     assert got == {"d": 2, "s": 2, "a": 2, "e": 0}
 
 
+def test_sketches_merge_within_their_error(spark):
+    df = spark.range(60_000).selectExpr("id", "id % 700 AS few", "repeat(cast(id % 9000 AS string), 20) AS s", "if(id % 3 = 0, null, id) AS gaps", "cast(null AS string) AS none")
+    parts = [profile.sketch_profile(df.where(f"id % 5 = {i}"), "d") for i in range(3)] + [profile.sketch_profile(df.where("id % 5 > 2"), "d")]
+
+    def told(p):
+        return {r["column"]: (r["rows"], r["distinct"]) for r in profile.sketch_ratio(p).collect()}
+
+    nothing = profile.sketch_profile(df.where("false"), "d")
+    for merged in (profile.merge_sketches(*parts), profile.merge_sketches(nothing, profile.merge_sketches(*parts[2:]), *parts[1::-1])):
+        one = told(merged)
+        for name, true in {"id": 60_000, "few": 700, "s": 9_000, "gaps": 40_000, "none": 0}.items():
+            assert one[name][0] == 60_000 and abs(one[name][1] - true) <= profile.sketch_error() * true
+    empty = profile.sketch_ratio(profile.sketch_profile(df.where("false"), "d")).collect()
+    assert {(r["rows"], r["distinct"], r["ratio"]) for r in empty} == {(0, 0, 0.0)}
+
+
 def test_diversity_ties(spark):
     df = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "a int, b int, c int")
     r = profile.diversity_summary(profile.distinct_ratio({"d": df})).first()
@@ -417,6 +433,16 @@ def test_rows_without_a_key_have_a_place(spark):
     assert sum(r["count"] for r in grouped) == 100 and None not in {r["g"] for r in grouped}
 
 
+def test_csv_files_are_split_unless_a_value_spans_lines(spark, tmp_path):
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_text('a,b\n1,"x ""y"", z"\n2,"w"\n')
+    broken.write_text('a,b\n1,"x\n""y"""\n2,w\n')
+    assert not csvio.has_broken_lines(spark, str(plain)) and csvio.has_broken_lines(spark, str(broken))
+    assert csvio.has_broken_lines(spark, [str(plain), str(broken)])
+    assert rows(csvio.read_csv(spark, str(plain))) == [(1, 'x "y", z'), (2, "w")]
+    assert rows(csvio.read_csv(spark, str(broken))) == [(1, 'x\n"y"'), (2, "w")]
+
+
 def test_csv_keeps_blanks_quotes_and_line_breaks(spark, tmp_path):
     texts = ["  lead", "trail  ", "a\nb", 'say "x", then\r\n', "plain", None, "tab\there"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
