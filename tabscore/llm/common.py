@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,18 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one column, so that no name of theirs meets one of the work columns."""
+    return F.struct(*[column(c).alias(c) for c in df.columns])
+
+
+def beside(name: str, added: Sequence[str]) -> str:
+    """The name under which a column comes back beside ``added`` ones: its own, or with ``_`` behind it if they take that."""
+    while name.lower() in added:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """The held-out third: crc32 of the id as text leaves 1 modulo 3; a row without id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.llm.common import column
+from tabscore.llm.common import column, whole_row
 from tabscore.session import materialize
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -140,10 +140,10 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, each stretch of overlapping spans replaced by ``MASK``."""
     found = find_secrets(docs, None, doc_id, text, MASKED).filter(F.size("found") > 0)
-    marks = found.select(F.col("blob").alias("_of"), F.col("found").alias("_found")).distinct()
-    own = docs.withColumn("_blob", F.sha2(F.coalesce(column(text).cast("string"), F.lit("")), 256))
-    both = own.join(marks, F.col("_blob") == F.col("_of"), "left")
-    raw = column(text).cast("string")
+    marks = found.select(F.col("blob").alias("of"), "found").distinct()
+    own = docs.select(whole_row(docs).alias("row"), F.sha2(F.coalesce(column(text).cast("string"), F.lit("")), 256).alias("blob"))
+    both = own.join(marks, F.col("blob") == F.col("of"), "left")
+    raw = F.col("row")[text].cast("string")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("made"))
 
     def step(state: Column, s: Column) -> Column:
@@ -152,6 +152,6 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         made = F.when(fresh, F.concat(state["made"], gap, F.lit(MASK))).otherwise(state["made"])
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), made.alias("made"))
 
-    masked = F.aggregate("_found", begin, step, lambda state: F.concat(state["made"], F.substring(raw, state["at"] + 1, F.length(raw))))
-    both = both.withColumn("_masked", F.when(F.col("_found").isNull(), raw).otherwise(masked))
-    return both.select(*[(F.col("_masked") if c == text else column(c)).alias(c) for c in docs.columns])
+    masked = F.aggregate("found", begin, step, lambda state: F.concat(state["made"], F.substring(raw, state["at"] + 1, F.length(raw))))
+    both = both.select("row", F.when(F.col("found").isNull(), raw).otherwise(masked).alias("masked"))
+    return both.select(*[(F.col("masked") if c == text else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ least its first copy of everything, so texts below ``MIN_CHUNK`` bytes only lose
 whole equal texts of ``MIN_SPAN`` bytes and more; rows without an id come before all
 ids; rows that repeat an id count as one document and get the same treatment, each
 with its own text; an empty table gives an empty one; other columns are kept as
-they are and cannot clash with the work columns.
+they are; one that has the name of an added column comes back with ``_`` behind it.
 """
 
 from __future__ import annotations
@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscore.llm.common import column, utf8
+from tabscore.llm.common import beside, column, utf8, whole_row
 from tabscore.session import materialize
 
 MIN_CHUNK = 32
 MEAN_BITS = 5  # a border after each byte with chance 1 / 2**5, so about 64 bytes a chunk
 MAX_CHUNK = 512
-MIN_SPAN = 48
+# A passage of 50 words has about 300 bytes and loses the chunks that its two ends cut; a shorter run is a phrase or a line.
+MIN_SPAN = 80
+ADDED = ("n_removed", "n_spans", "spans")
 NO_ID = -(2**63)
 
 # The gear table: one random 16-bit value a byte value, drawn from a fixed seed.
@@ -144,19 +146,19 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Adds ``n_removed`` (characters cut out), ``n_spans`` and ``spans`` (byte ranges
     of the text before, ``start-end`` joined by commas).
     """
-    spans = duplicate_spans(docs, doc_id, text).select(F.col("doc").alias("_span_doc"), F.col("mark").alias("_span_mark"), F.col("spans").alias("_spans"))
-    kept = docs.withColumns({"_row_doc": _doc(doc_id), "_row_mark": _mark(text)})
-    both = kept.join(spans, (F.col("_row_doc") == F.col("_span_doc")) & (F.col("_row_mark") == F.col("_span_mark")), "left")
-    raw = column(text).cast("string")
+    spans = duplicate_spans(docs, doc_id, text).select(F.col("doc").alias("of"), F.col("mark").alias("whose"), "spans")
+    own = docs.select(whole_row(docs).alias("row"), _doc(doc_id).alias("doc"), _mark(text).alias("mark"))
+    both = own.join(spans, (F.col("doc") == F.col("of")) & (F.col("mark") == F.col("whose")), "left")
+    raw = F.col("row")[text].cast("string")
     binary = F.encode(raw, "UTF-8")
-    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("_spans", lambda s: F.array(s["start"], s["end"]))), F.array(F.octet_length(raw)))
-    kept_parts = F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda i: F.decode(F.substring(binary, F.get(edges, 2 * i) + 1, F.get(edges, 2 * i + 1) - F.get(edges, 2 * i)), "UTF-8"))
-    after = F.when(F.col("_spans").isNull(), raw).otherwise(F.array_join(kept_parts, ""))
-    both = both.withColumn("_after", after)
-    named = F.coalesce(F.array_join(F.transform("_spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ","), F.lit(""))
+    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))), F.array(F.octet_length(raw)))
+    kept_parts = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: F.decode(F.substring(binary, F.get(edges, 2 * i) + 1, F.get(edges, 2 * i + 1) - F.get(edges, 2 * i)), "UTF-8"))
+    after = F.when(F.col("spans").isNull(), raw).otherwise(F.array_join(kept_parts, ""))
+    both = both.select("row", raw.alias("before"), after.alias("after"), "spans")
+    named = F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ","), F.lit(""))
     return both.select(
-        *[(F.col("_after") if c == text else column(c)).alias(c) for c in docs.columns if c not in ("n_removed", "n_spans", "spans")],
-        F.coalesce(F.length(raw) - F.length("_after"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.when(F.col("_spans").isNull(), 0).otherwise(F.size("_spans")), F.lit(0)).cast("long").alias("n_spans"),
+        *[(F.col("after") if c == text else F.col("row")[c]).alias(beside(c, ADDED)) for c in docs.columns],
+        F.coalesce(F.length("before") - F.length("after"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")), F.lit(0)).cast("long").alias("n_spans"),
         named.alias("spans"),
     )

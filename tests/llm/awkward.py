@@ -1,6 +1,6 @@
 """A small table with every awkward case, and empty forms of the tables."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark string, digest string, `a.b` int, words string, blob string, spans string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark string, digest string, `a.b` int, words string, blob string, spans string, found string, _blob string, _spans string, _row_doc string, n_removed string"
 LONG = "the long word story of one passage that never ends, number {} again. "
 
 
@@ -24,7 +24,7 @@ def rows() -> list[tuple]:
         (12, "a", "en"),
         (12, "a", "en"),
     ]
-    return [(i, t, lang, "src", len(t or ""), "m", "d", 1, "w", "b", "s") for i, t, lang in body]
+    return [(i, t, lang, "src", len(t or ""), "m", "d", 1, "w", "b", "s", "f", "_b", "_s", "_r", "n") for i, t, lang in body]
 
 
 def documents(spark):

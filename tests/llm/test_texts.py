@@ -266,7 +266,9 @@ def plain_dedup(table: list[tuple]) -> list[tuple]:
 
 def test_substrings_of_awkward_rows(spark):
     out = substrings.dedup_substrings(documents(spark))
-    assert out.columns[: len(documents(spark).columns) - 1] == [c for c in documents(spark).columns if c != "spans"]
+    own = {"spans": "spans_", "n_removed": "n_removed_"}
+    assert out.columns == [own.get(c, c) for c in documents(spark).columns] + ["n_removed", "n_spans", "spans"]
+    assert {(r.mark, r.digest, r["a.b"], r.spans_, r._spans, r._row_doc, r.n_removed_) for r in out.collect()} == {("m", "d", 1, "s", "_s", "_r", "n")}
     got = sorted(((r.doc_id, r.text, r.n_spans) for r in out.collect()), key=repr)
     assert got == plain_dedup([(r[0], r[1]) for r in rows()])
     assert substrings.dedup_substrings(no_documents(spark)).count() == 0
@@ -275,6 +277,26 @@ def test_substrings_of_awkward_rows(spark):
     assert by_id[6].n_removed == 0 and by_id[7].n_removed > 300 and by_id[8].n_removed > 300 and by_id[1].n_removed == 0
 
 
+def test_passages_go_and_common_lines_stay(spark):
+    """Planted passages of 55 words lose the greater part of their second copy; a line that many texts share stays."""
+    rng = np.random.default_rng(7)
+    words = ["".join(chr(c) for c in rng.integers(97, 123, rng.integers(2, 9))) for _ in range(4_000)]
+
+    def prose(n):
+        return " ".join(rng.choice(words, n))
+
+    line = "A line that many texts share, of eight words."
+    passages = [prose(55) for _ in range(150)]
+    table = [(2 * i + j, f"{prose(90)} {p} {prose(90)}") for i, p in enumerate(passages) for j in (0, 1)]
+    clean = [(1_000 + i, f"{prose(90)}\n{line}\n{prose(90)}") for i in range(150)]
+    out = {r.doc_id: r for r in substrings.dedup_substrings(spark.createDataFrame(table + clean, "doc_id long, text string")).collect()}
+    caught = [out[2 * i + 1].n_removed > 0 for i in range(150)]
+    assert np.mean(caught) >= 0.95
+    assert not any(out[2 * i].n_removed for i in range(150)) and not any(out[d].n_removed for d, _ in clean)
+    cut = sum(out[2 * i + 1].n_removed for i in range(150)) / sum(len(p) for p in passages)
+    assert cut > 0.5, cut
+
+
 def test_substrings_over_all_documents(spark, sf):
     from tabscore.llm.queries import QUERIES
 
