@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabscore.llm.chat import format_chats
 from tabscore.llm.common import reach
@@ -146,23 +147,35 @@ def op6(t: Tables) -> DataFrame:
 
 
 CHAT_SQL = r"""
-WITH c AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY ALL),
-r AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n_results, min(text) AS result FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+WITH u AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, turn, min(text) AS text FROM u GROUP BY ALL),
+r AS (SELECT conv_id, turn - 1 AS turn, text AS result, sum(count(*)) OVER (PARTITION BY conv_id, turn) AS n_results
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, conversations.turn, text),
 l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level
   FROM (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM c)),
 b AS (SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.turn, r.turn) AS turn, l.conv_id IS NOT NULL AS called, r.conv_id IS NOT NULL AS answered, text, level, n_results, result
-  FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn)
-SELECT conv_id, conv_id || ':' || turn AS call_id, CASE WHEN called THEN 'reply' END AS name, level, coalesce(n_results, 0) AS n_results,
-  called AND answered AS linked, called AND text IS NOT NULL AS valid,
+  FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn),
+a AS (
+  SELECT conv_id, turn, CASE WHEN called THEN 'call' ELSE 'result' END AS kind, called, answered, text, level, n_results, result FROM b
+  UNION ALL
+  SELECT u.conv_id, u.turn, 'repeat', true, false, u.text, NULL, 0, NULL FROM u JOIN c ON u.conv_id = c.conv_id AND u.turn = c.turn AND u.text IS DISTINCT FROM c.text)
+SELECT conv_id, conv_id || ':' || turn AS call_id, kind, CASE WHEN called THEN 'reply' END AS name, coalesce(level, -1)::BIGINT AS level, coalesce(n_results, 0)::BIGINT AS n_results,
+  CASE WHEN answered THEN turn + 1 ELSE -1 END::BIGINT AS turn, called AND answered AS linked, called AND text IS NOT NULL AS valid,
   CASE WHEN called THEN '{"arguments":{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"turn":' || turn || '}' ELSE '{"arguments":null' END
     || ',"id":"' || conv_id || ':' || turn || '","name":' || CASE WHEN called THEN '"reply"' ELSE 'null' END || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') || '}' AS call_json
-FROM b
+FROM a
+UNION ALL
+SELECT DISTINCT conv_id, NULL, 'message', NULL, -1, 0, coalesce(turn, -1)::BIGINT, false, false,
+  '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"turn":' || coalesce(turn::VARCHAR, 'null') || '}'
+FROM conversations WHERE conv_id IS NULL OR turn IS NULL OR role IS NULL OR role NOT IN ('user', 'assistant')
 """
 
 
 @query("op3_chat", CHAT_SQL)
 def op3(t: Tables) -> DataFrame:
-    return format_chats(t.conversations)
+    """Without a level or turn: -1."""
+    out = format_chats(t.conversations)
+    return out.withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("level", "turn")})
 
 
 NEGATIVES_SQL = """

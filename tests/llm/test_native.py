@@ -149,23 +149,38 @@ def test_cutoffs_reject_few_good_texts(spark):
 
 
 def test_chat_of_awkward_rows(spark):
-    call = json.dumps({"tool_calls": [{"id": "a", "name": "add", "arguments": {"y": 2, "x": 1}}, {"id": "b", "name": "add", "arguments": {"x": "1", "y": 2}, "after": "a"}, {"id": "c", "name": "other", "arguments": {}, "after": "b"}]})
+    call = json.dumps({"tool_calls": [{"id": "a", "name": "add", "arguments": {"y": 2, "x": 1}}, {"id": "b", "name": "add", "arguments": {"x": "1", "y": 2}, "after": "a"}, {"id": "c", "name": "other", "arguments": {}, "after": "b"}, {"id": "d", "name": "add", "arguments": {}, "after": ["a", "c"]}, {"name": "lone", "arguments": {}}], "content": "I add."})
     body = [
-        (1, 0, "user", "hello"), (1, 1, "assistant", "hi"), (1, 2, "user", 'quote " and\nline'), (1, 3, "assistant", "yes"), (1, 3, "assistant", "again"),
+        (1, 0, "user", "hello"), (1, 1, "assistant", "hi"), (1, 2, "user", 'quote " and\nline'), (1, 3, "assistant", "yes"), (1, 3, "assistant", "yes"), (1, 3, "assistant", "again"),
         (1, 4, "user", None), (1, 6, "user", "late"), (1, 6, "user", "late"), (1, 7, "assistant", call),
         (1, 8, "tool", '{"tool_call_id": "a", "content": "3"}'), (1, 9, "tool", '{"tool_call_id": "zz", "content": "?"}'), (1, 10, "tool", "no json"),
-        (2, 5, "assistant", "nobody asked"), (None, 0, "user", "x"), (3, None, "user", "x"), (3, 0, None, "x"), (3, 1, "system", "x"), (3, 2, "user", "{not json"),
+        (2, 5, "assistant", "nobody asked"), (None, 0, "user", "x"), (3, None, "user", "x"), (3, 0, None, "x"), (3, 1, "system", "x"), (3, 1, "system", "x"), (3, 2, "user", "{not json"), (3, 2, "user", "{other"),
+        (4, 0, "user", "go"), (4, 1, "assistant", '{"tool_calls": [], "content": "done"}'),
     ]
     df = spark.createDataFrame([(*r, "i", "n", 1) for r in body], "conv_id long, turn long, role string, text string, call_id string, name string, level int")
     out = chat.format_chats(df, {"add": {"x": ("integer", True), "y": ("number", False)}})
-    got = {r.call_id: r for r in out.collect()}
-    assert set(got) == {"1:0", "1:2", "1:4", "1:6", "1:tool:a", "1:tool:b", "1:tool:c", "1:tool:zz", "2:4", "3:2"}
-    assert [got[k].level for k in ("1:0", "1:2", "1:4", "1:6", "1:tool:a", "1:tool:b", "1:tool:c", "1:tool:zz")] == [0, 1, 2, 3, 0, 1, 2, None]
+    table = out.collect()
+    messages = [json.loads(r.call_json) for r in table if r.kind == "message"]
+    assert sorted(messages, key=str) == sorted([
+        {"content": "no json", "role": "tool", "turn": 10}, {"content": "x", "role": "user", "turn": 0}, {"content": "x", "role": "user", "turn": None},
+        {"content": "x", "role": None, "turn": 0}, {"content": "x", "role": "system", "turn": 1}, {"content": "I add.", "role": "assistant", "turn": 7},
+        {"content": '{"arguments":"{}","name":"lone"}', "role": "assistant", "turn": 7},
+    ], key=str)
+    repeats = [r for r in table if r.kind == "repeat"]
+    assert [(r.call_id, r.valid, json.loads(r.call_json)["arguments"]["text"]) for r in repeats] == [("3:2", True, "{other")]
+    both = sorted((r.turn, json.loads(r.call_json)["result"], r.n_results) for r in table if r.call_id == "1:2")
+    assert both == [(3, "again", 3), (3, "yes", 3)]
+    got = {r.call_id: r for r in table if r.kind in ("call", "result") and not (r.call_id == "1:2" and '"yes"' in r.call_json)}
+    assert len(got) == len(table) - len(messages) - len(repeats) - 1
+    assert set(got) == {"1:0", "1:2", "1:4", "1:6", "1:tool:a", "1:tool:b", "1:tool:c", "1:tool:d", "1:tool:zz", "2:4", "3:2", "4:0"}
+    assert [got[k].level for k in ("1:0", "1:2", "1:4", "1:6", "1:tool:a", "1:tool:b", "1:tool:c", "1:tool:d", "1:tool:zz")] == [0, 1, 2, 3, 0, 1, 2, 3, None]
     assert [got[k].valid for k in ("1:0", "1:2", "1:4", "1:tool:a", "1:tool:b", "1:tool:c", "2:4")] == [True, True, False, True, False, False, False]
-    assert got["1:2"].n_results == 2 and got["1:2"].linked and not got["1:6"].linked and not got["2:4"].linked and got["2:4"].name is None
+    assert got["1:2"].linked and not got["1:6"].linked and not got["2:4"].linked and got["2:4"].name is None and got["2:4"].kind == "result"
     assert got["1:tool:a"].call_json == '{"arguments":{"x":1,"y":2},"id":"1:tool:a","name":"add","result":"3"}'
     assert json.loads(got["1:2"].call_json) == {"arguments": {"text": 'quote " and\nline', "turn": 2}, "id": "1:2", "name": "reply", "result": "again"}
     assert json.loads(got["2:4"].call_json) == {"arguments": None, "id": "2:4", "name": None, "result": "nobody asked"}
+    # An empty list of calls is a plain answer.
+    assert got["4:0"].linked and json.loads(got["4:0"].call_json)["result"] == '{"tool_calls": [], "content": "done"}'
     assert no_python(out)
     assert chat.format_chats(df.limit(0)).count() == 0
 
@@ -177,6 +192,32 @@ def test_levels_of_chains_cycles_and_missing_parents(spark):
     assert got == {"x": None, "y": None, "z": None, "self": None, "lone": 0, "lost": 0} | {f"n{i}": i for i in range(300)}
 
 
+def test_levels_of_calls_with_several_needs(spark):
+    """Longest paths of a random graph of chains and joins, against plain recursion."""
+    import random
+
+    rng = random.Random(11)
+    needs = {i: sorted({rng.randrange(max(0, i - 12), i) for _ in range(rng.choice((0, 1, 1, 1, 1, 2, 3)))}) if i else [] for i in range(160)}
+    needs |= {200: [201], 201: [200, 3], 202: [201, 4], 203: [202], 204: [5, 999], 205: [205, 1], 206: [7, 7]}
+    want: dict = {}
+
+    def level(i, path=()):
+        if i in path:
+            return None
+        if i not in want:
+            below = [level(n, (*path, i)) for n in needs[i] if n in needs]
+            value = None if None in below else max([b + 1 for b in below], default=0)
+            if path and value is None:
+                return None
+            want[i] = value
+        return want[i]
+
+    for i in needs:
+        level(i)
+    df = spark.createDataFrame([(str(i), [str(n) for n in ns]) for i, ns in needs.items()], "call_id string, after array<string>")
+    assert {int(r.call_id): r.level for r in chat.levels(df).collect()} == want
+
+
 # ---- pipeline -----------------------------------------------------------------
 
 
