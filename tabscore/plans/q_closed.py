@@ -19,6 +19,7 @@ from tabscore.operators.reshape import stack
 from tabscore.plans.q_models import multilabel
 from tabscore.plans.registry import query
 from tabscore.plans.roles import FEATURES, SALES_SQL, sales_features, sales_with_customer
+from tabscore.session import spread
 
 
 def sides(t) -> DataFrame:
@@ -54,7 +55,8 @@ def closed_form_regression(t):
 def flags(t) -> DataFrame:
     """Line items: one 0/1 feature, two labels of two and three classes."""
     side = F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0)
-    li = t.lineitem.select(
+    # Every core fits and predicts, even if the table is one small file.
+    li = spread(t.lineitem).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), side.alias("side"), array_to_vector(F.array(side)).alias("features"),
         F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("flag"),
         (F.col("l_quantity") > 20).cast("int").alias("large"),

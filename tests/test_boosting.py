@@ -276,3 +276,36 @@ def test_importance_of_boosted_members(spark):
     model = models.leaf_wise_trees(0, 3).fit(frame(spark, x, y))
     got = importance.native(spark, {"l": model}, list("abcd")).collect()
     assert {r["source"] for r in got} == {"native"} and max(got, key=lambda r: r["importance"])["feature"] == "a"
+
+
+def test_equal_rows_move_together_and_give_the_same_trees(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (400, 2)).astype(float)
+    number = x[:, 0] + rng.normal(size=400)
+    for classes, y in ((0, number), (3, rng.integers(0, 3, 400).astype(float))):
+        growth, df = Growth(classes, 2, 0.3, 5, None, least_rows=5), frame(spark, x, y)
+        seen, added_up = [], boosting._added_up
+        with monkeypatch.context() as m:
+            m.setattr(boosting, "_added_up", lambda state, *rest: seen.append(added_up(state, *rest)) or seen[-1])
+            together = Booster(growth).fit(df).table.score(x)
+        rows = seen[0].agg(F.count("*"), F.sum("n")).first()
+        assert rows[0] <= 9 * max(classes, 1) and rows[1] == 400
+        with monkeypatch.context() as m:
+            m.setattr(boosting, "DIFFERENT", 0.0)
+            assert Booster(growth).fit(df).table.score(x) == pytest.approx(together, abs=1e-9)
+
+
+def test_many_rows_are_scored_and_explained_together(spark, monkeypatch):
+    x, y = table(200)
+    df = frame(spark, x, y)
+    model, calls = models.leaf_wise_trees(0, 2).fit(df), []
+    paths = tree_shapley.LeafPaths(model.tree_table())
+    met = np.stack([paths.inside(b) for b in x[:7]])
+    assert tree_shapley.few_sets(paths)
+    want = np.stack([paths.values(row, met, 4) for row in x])
+    assert tree_shapley.LeafTables(paths, met, 4).values(x) == pytest.approx(want, abs=1e-12)
+    monkeypatch.setattr(tree_shapley, "explain_rows", lambda *a: calls.append(a))
+    got = tree_shapley.shapley_trees(df, "k", list("abcd"), model, list(x[:7])).orderBy("k", "feature").collect()
+    assert not calls and [r["phi"] for r in got] == pytest.approx(want.ravel().tolist(), abs=1e-12)
+    matrices = [m for _, m in tree_shapley.dense_matrices(df.coalesce(1).select(F.unwrap_udt("features").alias("v")).toArrow()["v"].combine_chunks(), 1 << 20)]
+    assert len(matrices) == 1 and matrices[0] == pytest.approx(x)
