@@ -14,7 +14,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ from tabscore.operators.shapley import _background_scores, _place, point
 from tabscore.session import reach
 
 COALITIONS = 2_048
+# Coalitions up to which a formula's scores are columns of one row.
+FEW_COALITIONS = 64
 
 
 def kernel_weights(m: int) -> np.ndarray:
@@ -47,6 +49,13 @@ def coalitions(m: int, most: int = COALITIONS, seed: int = 42) -> tuple[np.ndarr
     return z, times.astype(float)
 
 
+def solver(z: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Features x (empty, full, coalitions): the values of ``solve`` are this matrix times the scores, for every row."""
+    m = z.shape[1]
+    unit = np.eye(2 + len(z))
+    return np.stack([solve(z, weight, one[2:], one[0], one[1]) for one in unit], axis=1).reshape(m, -1)
+
+
 def solve(z: np.ndarray, weight: np.ndarray, v: np.ndarray, empty: float, full: float) -> np.ndarray:
     """The values that minimise the weighted squares and sum to ``full - empty``."""
     m = z.shape[1]
@@ -61,17 +70,27 @@ def solve(z: np.ndarray, weight: np.ndarray, v: np.ndarray, empty: float, full:
 
 
 def shapley_kernel(
-    df: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame], bg: Column,
+    df: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame] | None, bg: Column,
     most: int = COALITIONS, seed: int = 42, vector: str = "features", x: Column | None = None,
+    formula: Callable[[list[Column]], Column] | None = None,
 ) -> DataFrame:
     """Values of any scored model: ``key, cls, feature, phi``.
 
+    A model that is a column ``formula`` of the features needs no ``score``: where coalitions are few, they are
+    columns of one row and only the background multiplies rows.
+
     Each row is scored once per coalition and background row and once as it is; scores are averaged
     over the background where they were made, so a row brings its v(S) to one task, in number bounded by ``most``.
+    The coalitions are the same for every row, so the fit is solved once and applied to batches of rows.
     """
     m = len(features)
     reach(df.sparkSession)
     z, weight = coalitions(m, most, seed)
+    fit = solver(z, weight)
+    if formula is not None and len(z) <= FEW_COALITIONS:
+        return _of_formula(df, key, features, formula, bg, z, fit, point(features) if x is None else x)
+    if formula is not None:
+        score = lambda d: d.withColumn("out", F.array(formula([F.get(vector_to_array(vector), F.lit(j)) for j in range(m)])))
     # Members of each coalition, as flags; row 0 stands for the full one.
     members = F.array(F.array(*[F.lit(True)] * m), *[F.lit([bool(c) for c in row]) for row in z]) if len(z) <= 64 else None
     placed = _place(df, key, point(features) if x is None else x)
@@ -93,7 +112,27 @@ def shapley_kernel(
     @F.pandas_udf("array<double>")
     def fitted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for v, empty in batches:
-            yield pd.Series([solve(z, weight, np.asarray(one[1:]), e, one[0]) for one, e in zip(v, empty)])
+            scores = np.stack(v.to_numpy()) if len(v) else np.zeros((0, len(z) + 1))
+            told = np.hstack([empty.to_numpy(float)[:, None], scores])
+            yield pd.Series(list(told @ fit.T))
 
     phis = lists.select(F.col("__key").alias(key), "cls", F.posexplode(fitted("v", "empty")).alias("j", "phi"))
     return phis.select(key, "cls", F.get(F.lit(features), F.col("j")).alias("feature"), "phi")
+
+
+def _of_formula(df: DataFrame, key: str, features: list[str], formula: Callable[[list[Column]], Column], bg: Column, z: np.ndarray, fit: np.ndarray, x: Column) -> DataFrame:
+    """The same values with all coalitions as columns: a row's mean scores come from one pass over the background."""
+    m = len(features)
+    sets = [np.zeros(m, bool), np.ones(m, bool), *z.astype(bool)]
+    paired = _place(df, key, x).select("__row", "__key", "x", F.explode(bg).alias("b"))
+    scored = paired.select("__row", "__key", *[formula([F.col("x" if one[j] else "b")[j] for j in range(m)]).alias(f"v{i}") for i, one in enumerate(sets)])
+    means = scored.groupBy("__row", "__key").agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(len(sets))])
+
+    def value(j: int) -> Column:
+        out = F.lit(0.0)
+        for i, c in enumerate(fit[j]):
+            out = out + float(c) * F.col(f"v{i}")
+        return out
+
+    phis = means.select(F.col("__key").alias(key), F.lit(0).alias("cls"), *[value(j).alias(f) for j, f in enumerate(features)])
+    return phis.unpivot([key, "cls"], features, "feature", "phi")
