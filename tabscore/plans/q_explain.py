@@ -14,6 +14,7 @@ from tabscore.plans.q_features import STOP, documents
 from tabscore.plans.q_models import vectors_table
 from tabscore.plans.registry import query
 from tabscore.plans.roles import FEATURES, sales_features, sql_hash
+from tabscore.session import materialize
 
 EVENT_FEATURES = ["a", "b", "c"]
 LINEAR = {"a": 1.0, "b": -2.0, "c": 0.5}
@@ -160,8 +161,8 @@ def shapley_model(t):
     df = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sales_features(t))
     train, test = df.where("is_train"), df.where("not is_train")
     model = models.boosted_regressor(5, 3, 0.1).setLabelCol("y").fit(train)
-    bg = shapley.background(train, FEATURES, "row_id")
-    phi = shapley.shapley_model(test, "row_id", FEATURES, shapley.prediction_output(model), bg)
+    bg = tree_shapley.background_rows(train, "row_id", "features")
+    phi = tree_shapley.shapley_trees(test, "row_id", FEATURES, model, bg)
     return phi.select("row_id", "feature", "phi")
 
 
@@ -223,8 +224,8 @@ def shapley_two_trees(t):
 def shapley_kernel(t):
     """With all coalitions the fit gives the exact values."""
     ev = event_table(t)
-    score = lambda d: d.withColumn("out", F.array(product_plus(vector_to_array("features"))))
-    phi = kernel_shapley.shapley_kernel(ev, "row_id", EVENT_FEATURES, score, shapley.background(ev, EVENT_FEATURES, "row_id"))
+    bg = shapley.background(ev, EVENT_FEATURES, "row_id")
+    phi = kernel_shapley.shapley_kernel(ev, "row_id", EVENT_FEATURES, None, bg, formula=product_plus)
     return phi.select("row_id", "feature", F.round("phi", 5).alias("phi"))
 
 
@@ -233,7 +234,8 @@ def shapley_text(t):
     """Class probabilities of a linear text model with up to 10,000 terms: 50 sampled rows, 100 background rows."""
     docs = split.hash_split(documents(t).join(t.labels.where("quality is not null"), "doc_id"), "doc_id")
     terms = tfidf.fit_tfidf(docs.where("is_train"), "text", stop_words=STOP)
-    df = terms.vectors(docs, "text", "features").select("doc_id", "is_train", "features", F.col("quality").cast("double").alias("y"))
+    # Counts, fit, background and explained rows read these vectors: the text work is done once.
+    df = materialize(terms.vectors(docs, "text", "features").select("doc_id", "is_train", "features", F.col("quality").cast("double").alias("y")), "text-features")
     train = df.where("is_train")
     model = models.logistic(train.count()).setLabelCol("y").fit(train)
     background = tree_shapley.background_rows(train, "doc_id", "features")
