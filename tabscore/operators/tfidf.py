@@ -21,15 +21,11 @@ def term_totals(docs: DataFrame, text: str, stop_words: list[str] | None = None)
     Each document lists every occurrence once and every distinct term once, so no
     grouping by document is needed.
     """
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    entries = F.concat(
-        F.transform("t", lambda w: F.struct(w.alias("term"), one.alias("c"), zero.alias("d"))),
-        F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), zero.alias("c"), one.alias("d"))),
-    )
+    cut = with_terms(docs.select(text), text, stop_words, "t").select(F.size("t").alias("n"), F.concat("t", F.array_distinct("t")).alias("t"))
+    occurs = F.col("pos") < F.col("n")
     return (
-        with_terms(docs.select(text), text, stop_words, "t")
-        .select(F.explode(entries).alias("e")).select("e.*")
-        .groupBy("term").agg(F.sum("c").alias("total"), F.sum("d").alias("docs"))
+        cut.select("n", F.posexplode("t").alias("pos", "term"))
+        .groupBy("term").agg(F.sum(occurs.cast("bigint")).alias("total"), F.sum((~occurs).cast("bigint")).alias("docs"))
     )
 
 
