@@ -125,7 +125,9 @@ def _of_formula(df: DataFrame, key: str, features: list[str], formula: Callable[
     m = len(features)
     sets = [np.zeros(m, bool), np.ones(m, bool), *z.astype(bool)]
     paired = _place(df, key, x).select("__row", "__key", "x", F.explode(bg).alias("b"))
-    scored = paired.select("__row", "__key", *[formula([F.col("x" if one[j] else "b")[j] for j in range(m)]).alias(f"v{i}") for i, one in enumerate(sets)])
+    # A mean over the background counts every row of it: a score that is missing is no score of zero weight.
+    missing = F.raise_error(F.lit("a score is missing: the formula needs every feature"))
+    scored = paired.select("__row", "__key", *[F.coalesce(formula([F.col("x" if one[j] else "b")[j] for j in range(m)]).cast("double"), missing).alias(f"v{i}") for i, one in enumerate(sets)])
     means = scored.groupBy("__row", "__key").agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(len(sets))])
 
     def value(j: int) -> Column:
